@@ -42,10 +42,10 @@ SEEDS = {
     "science": "placebo cohort hipotes hypothes plasma farmacocin pharmaco espectrom spectrom multivari aleatori randomis receptor recepteur semivida sesgo biais replic investigador correlacion correlat endpoint",
     "law": "tribunal court clausul patent brevet reglament regulament reglem sancion multa coima amende demandant deroga revoga abroge juridic inspecc alzada etiquetado rotulag publicidad sentenc ruling incumplim licence licenc",
     "sport": "atlet athlet dopaj dopag doping arbitr medall medalh medail maraton marathon ciclist cyclist federac competic competit corredor entrenad treinad entrain coach orina urina temporada referee",
-    "software": "servidor serveur server script usuari utilizad utilisat contrasen password senha indexa sincron synchron interfaz interfac modulo module migrac administrador sistema base datos database error codigos",
+    "software": "servidor serveur server script usuari utilizad utilisat contrasen password senha indexa sincron synchron interfaz interfac modulo module migrac administrador sistema database error codigos",
     "economics": "precio preco prix price copago copagam factur presupuest orcament budget asegurador segurador assureur insurer mayorist grossist wholesal descuent desconto remise discount mercado marche market comprador buyer financi subasta margen margem marge",
-    "veterinary": "perro cachorr chien yegua egua jument ganad troupeau herd porcin suin ruminal pienso veterin lechon leitao porcel piglet cojera canin equin matader antiparasit rebano collar mare feline",
-    "nutrition": "dieta dietet calori gluten proteina proteic legumbr legumin calcio calcium hierro vitamin desayun breakfast grasa gordura edulcor adocant sweeten pomelo menu folico nutric nutrit fiber fibra",
+    "veterinary": "perro cachorr chien yegua egua jument ganad troupeau herd porcin suin ruminal pienso veterin lechon leitao porcel piglet cojera canin equin matader antiparasit rebano feline chevrett",
+    "nutrition": "dieta dietet calori gluten proteic legumbr legumin calcio calcium hierro vitamin desayun breakfast grasa gordura edulcor adocant sweeten pomelo menu folico nutric nutrit fiber fibra",
     "manufacturing": "reactor reator reacteur envasad embalag packag granulac granulat excipient estearat stearat tolva tremie hopper compresor prensa liofiliz freeze recubr revest enrob coating secador secheur dryer piloto tamiz steril esteril",
     "education": "profesor professor teacher alumn aluno eleve student seminari leccion licao lecon lesson rubric temari facultad faculdad ensenan curso exercic ejercic aula classroom califica taller workshop evalua ensino",
 }
@@ -224,9 +224,9 @@ def posteriors(counts: dict[int, float], subjects: int, rounds: int = 60) -> tup
             some = w[:, :k].sum(1)
             right = w[np.flatnonzero(voted), v[voted, j]].sum()
             # words of a subject seldom stand in sentences on nothing: without this bound the model may explain a sparse function's votes away
-            accuracy[j] = np.clip((right + 8) / (some[voted].sum() + 10), 0.85 if j < 2 else 0.15, 0.995)
+            accuracy[j] = np.clip((right + 8) / (some[voted].sum() + 10), 0.93 if j < 2 else 0.15, 0.995)
             coverage[j] = np.clip((some[voted].sum() + 5) / (some.sum() + 10), 0.01, 0.99)
-            noise[j] = np.clip((w[voted, k].sum() + 0.5) / (w[:, k].sum() + 10), 0.002, 0.1 if j < 2 else 0.99)
+            noise[j] = np.clip((w[voted, k].sum() + 0.5) / (w[:, k].sum() + 10), 0.002, 0.03 if j < 2 else 0.99)
     # without a lexicon's vote a sentence treats nothing, whatever source and section say
     bare = (v[:, 0] < 0) & (v[:, 1] < 0) if len(v) else np.zeros(0, bool)
     post[bare] = 0
