@@ -34,6 +34,67 @@ _KEY_SCHEMA = "key bigint, rank bigint, node bigint"
 _FOUND_SCHEMA = "a bigint, b bigint, key bigint, block int, nodes array<bigint>, ranks array<bigint>, mask bigint, value bigint"
 
 
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def band_keys(minima: np.ndarray, rows: int, keys: int) -> np.ndarray:
+    """(keys, n) index keys of 44 bits, each from its own `rows` minima."""
+    out = np.empty((keys, minima.shape[1]), np.uint64)
+    for k in range(keys):
+        h = np.full(minima.shape[1], k + 1, np.uint64)
+        for j in range(k * rows, (k + 1) * rows):
+            h = shingles.mix(h ^ minima[j].astype(np.uint64))
+        out[k] = h >> np.uint64(20)
+    return out
+
+
+def ranks(minima: np.ndarray) -> np.ndarray:
+    """Gray ranks of the fingerprints, in the order of signed numbers."""
+    return shingles.gray_rank(shingles.fingerprint(minima)) ^ np.uint64(1 << 63)
+
+
+def signed_rows(texts: DataFrame, key: str, text: str = "text", width: int = 3, rows: int = ROWS, keys: int = KEYS) -> DataFrame:
+    """(key, node, rank, keys ARRAY<BIGINT>) of every row with a shingle; the keys of a node are null but at its first row in a task."""
+    src = texts.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, shingles.SLICE_ROWS):
+                part = batch.slice(at, shingles.SLICE_ROWS)
+                row, node, minima = shingles.signatures(*shingles.shingle_sets(part.column(1).to_pylist(), width), rows * keys)
+                if not len(row):
+                    continue
+                old = np.array([x in met or met.add(x) is not None for x in node.tolist()], bool)
+                values = pa.array(_signed(np.ascontiguousarray(band_keys(minima, rows, keys).T).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * keys), values)
+                lists = lists.filter(pa.array(~old)).take(pa.array(np.where(old, 0, np.cumsum(~old) - 1), mask=old))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(_signed(node)), pa.array(_signed(ranks(minima))), lists], names=[key, "node", "rank", "keys"])
+
+    return src.mapInArrow(run, f"`{key}` {src.schema['_k'].dataType.simpleString()}, node bigint, rank bigint, keys array<bigint>")
+
+
+def index_keys(texts: DataFrame, text: str = "text", width: int = 3, rows: int = ROWS, keys: int = KEYS) -> DataFrame:
+    """(key, rank, node) of every text with a shingle; equal sets of shingles once in a task."""
+    src = texts.select(F.col(text).cast("string").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, shingles.SLICE_ROWS):
+                part = batch.slice(at, shingles.SLICE_ROWS)
+                _, node, minima = shingles.signatures(*shingles.shingle_sets(part.column(0).to_pylist(), width), rows * keys)
+                new = np.array([x not in met and met.add(x) is None for x in node.tolist()], bool)
+                node, minima = node[new], minima[:, new]
+                if not len(node):
+                    continue
+                out = band_keys(minima, rows, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(out.ravel())), pa.array(_signed(np.tile(ranks(minima), keys))), pa.array(_signed(np.tile(node, keys)))], names=["key", "rank", "node"])
+
+    return src.mapInArrow(run, _KEY_SCHEMA)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
