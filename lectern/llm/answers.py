@@ -56,15 +56,20 @@ def folded(c: Column) -> Column:
     return F.translate(F.translate(F.lower(c), _FROM, _TO), "’‘", "''")
 
 
-def words(c: Column) -> Column:
-    """Folded words of letters and digits."""
-    return F.filter(F.split(folded(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def words(f: Column) -> Column:
+    """Words of letters and digits of a folded text."""
+    return F.filter(F.split(f, r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
 #: Letters and marks that belong to one of the languages; worth two words.
 MARKS = {"es": "[¿¡ñ]", "pt": "[ãõ]", "fr": "[œùûëï]|\\b[ldnsj]['’]", "de": "[ßäö]"}
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: a generator in between keeps later uses from repeating their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _hits(tokens: Column, lang: str, text: Column) -> Column:
     found = F.size(F.filter(tokens, lambda x: x.isin(WORDS[lang].split())))
     return found + F.when(F.lower(text).rlike(MARKS[lang]), F.lit(2)).otherwise(F.lit(0)) if lang in MARKS else found
@@ -74,14 +79,16 @@ def _ending(a: Column) -> Column:
     """The last two words of an answer, figures as 0, words with a capital inside a sentence as N."""
     plain = F.regexp_replace(F.regexp_replace(a, r"\([^()]*\)\s*(?=[.!?…]*\s*$)", ""), r"[\s.!?…\"»”')\]]+$", "")
     shaped = F.regexp_replace(F.regexp_replace(plain, r"\d+(?:[.,]\d+)*", "0"), r"(?<=\s)\p{Lu}[\p{L}-]{5,}", "N")
-    return folded(F.regexp_extract(shaped, r"(\S+\s+\S+)$", 1))
+    return folded(F.regexp_extract(F.right(shaped, F.lit(60)), r"(\S+\s+\S+)$", 1))
 
 
 def scored(pairs: DataFrame, key: str = "qa_id", question: str = "question", answer: str = "answer") -> DataFrame:
     """(key, defects ARRAY<STRING>) of every row, in the order of the rules."""
     p = pairs.select(F.col(key).alias("_k"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a"))
-    p = p.withColumn("t", F.regexp_replace(F.coalesce("a", F.lit("")), r"^[\p{Z}\p{C}]+|[\p{Z}\p{C}]+$", "")).withColumn("f", folded(F.col("t")))
-    p = p.withColumn("wa", words(F.col("t"))).withColumn("wq", words(F.coalesce("q", F.lit("")))).withColumn("end", _ending(F.col("t")))
+    p = held(p, t=F.regexp_replace(F.coalesce("a", F.lit("")), r"^[\p{Z}\p{C}]+|[\p{Z}\p{C}]+$", ""))
+    p = held(p, f=folded(F.col("t")), fq=folded(F.coalesce("q", F.lit(""))), end=_ending(F.col("t")))
+    p = held(p, wa=words(F.col("f")), wq=words(F.col("fq")))
+    p = held(p, da=F.array_distinct("wa"), dq=F.array_distinct("wq"), last=F.try_element_at(F.col("wa"), F.lit(-1)))
 
     bare = F.regexp_replace("f", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     empty = (bare == "") | bare.isin(BLANKS)
@@ -91,11 +98,11 @@ def scored(pairs: DataFrame, key: str = "qa_id", question: str = "question", ans
     denied = F.arrays_overlap(extra, F.array(*[F.lit(x) for x in "no not non nao ne pas si sim oui yes never nunca jamais".split()]))
     copy = (F.size("wq") > 0) & (shared >= 0.8 * F.size(F.array_distinct("wq"))) & (F.size(extra) <= 3) & ~denied
 
-    refusal = F.col("f").rlike("|".join(f"(?:{r})" for r in REFUSALS))
+    # every way begins at a word, which is asked once for all of them
+    refusal = F.col("f").rlike(r"\b(?:" + "|".join(r.removeprefix(r"\b").replace(r"|\b", "|") for r in REFUSALS) + ")")
 
     langs = list(WORDS)
-    for lang in langs:
-        p = p.withColumn(f"a_{lang}", _hits(F.array_distinct("wa"), lang, F.col("t"))).withColumn(f"q_{lang}", _hits(F.array_distinct("wq"), lang, F.coalesce("q", F.lit(""))))
+    counts = {f"a_{x}": _hits(F.col("da"), x, F.col("t")) for x in langs} | {f"q_{x}": _hits(F.col("dq"), x, F.coalesce("q", F.lit(""))) for x in langs}
     q_best, a_best = F.greatest(*[f"q_{x}" for x in langs]), F.greatest(*[f"a_{x}" for x in langs])
     same = F.greatest(*[F.when(F.col(f"q_{x}") == q_best, F.col(f"a_{x}")).otherwise(F.lit(-1)) for x in langs])
     latin = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{IsLatin}]", ""))
@@ -107,14 +114,14 @@ def scored(pairs: DataFrame, key: str = "qa_id", question: str = "question", ans
     opened = marks(r"(", r")") | marks(r"\[", r"\]") | marks("«", "»") | marks("“", "”") | marks("{", "}") | (F.length(F.regexp_replace("t", '[^"]', "")) % 2 == 1)
     broken = F.col("t").rlike(r"(?:\.\.|…|\[\s*(?:\.\.\.|…)\s*\]|[,;:(\[{«“\-–—/])$")
     closed = F.col("t").rlike(r"[.!?。！？][\"»”’')\]]*$") & ~broken
-    last = F.try_element_at(F.col("wa"), F.lit(-1))
+    last = F.col("last")
     n = F.size(F.split("t", r"\s+"))
     hangs = last.isin(OPEN_WORDS.split()) & (n >= 2)
 
     good = p.filter(closed & ~opened & ~hangs & (F.col("end") != "")).groupBy("end").agg(F.count("*").alias("times")).filter(F.col("times") >= LEAST_ENDINGS).select("end", F.lit(True).alias("known"))
     # words that occur before the end of an answer, or close one: what a cut through a word leaves is rarely among them
     whole = p.select(F.explode(F.array_distinct(F.when(closed, F.col("wa")).otherwise(F.slice("wa", 1, F.greatest(F.size("wa") - 1, F.lit(0)))))).alias("last")).groupBy("last").agg(F.count("*").alias("times")).filter(F.col("times") >= LEAST_ENDINGS).select("last", F.lit(True).alias("word"))
-    p = p.withColumn("last", last).join(good, "end", "left").join(whole, "last", "left")
+    p = held(p, **counts).join(good, "end", "left").join(whole, "last", "left")
     cut_off = ~closed & F.when(n >= 6, F.col("known").isNull()).otherwise(F.col("word").isNull() & ~F.coalesce(last.rlike(r"^\d+$"), F.lit(False)))
     truncated = broken | opened | (~closed & (hangs | cut_off))
 
