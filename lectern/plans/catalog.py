@@ -1,19 +1,412 @@
-"""Queries of the core over the test tables, with the SQL that says the same."""
+"""Queries of the core over the test tables, with the SQL that says the same.
+
+Searches take as queries every row whose id is divisible by 50, against all rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern import schemas
+from lectern.functions import parsing
+from lectern.functions import text as tx
+from lectern.operators import answer, chunking, entities, evaluate, providers, qa, rerank, sections, vectors
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- text
+
+_NOISY = r"""'  ' || text || chr(8203) || 'ﬁn' || chr(10) || chr(10) || chr(10) || chr(10) || 'a   b' || chr(1) || chr(160)"""
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, {_NOISY} AS x FROM documents)
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(x,
+        '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}]', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'),
+        '\n{{3,}}', E'\n\n', 'g'), ' {{2,}}', ' ', 'g'), '^[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ''), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '') AS text
+    FROM t""")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    """All cleaning steps but composition, on texts with noise added. The appended ligature keeps the repair of Latin-1 from applying to any."""
+    noisy = F.concat(F.lit("  "), "text", F.lit("​ﬁn\n\n\n\na   b\x01\xa0"))
+    return _t(spark, d, "documents").select("doc_id", tx.normalize(noisy, compose=False).alias("text"))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ñ', 'n' || chr(771))) AS text FROM documents")
+def nfc_normalize(spark: SparkSession, d: str) -> DataFrame:
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("é")), F.lit("ñ"), F.lit("ñ"))
+    return _t(spark, d, "documents").select("doc_id", tx.nfc(apart).alias("text"))
+
+
+@query()
+def undo_mojibake(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", tx.undo_mojibake(F.col("text")).alias("text"))
+
+
+_TOKENS = r"""list_distinct(list_filter(regexp_split_to_array(translate(lower(coalesce(answer, '')), '.,;:()[]"''¿?¡!' || chr(10) || chr(9), '                '), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''))"""
+
+
+@query(f"SELECT qa_id, list_aggregate(list_sort({_TOKENS}), 'string_agg', ' ') AS tokens, len({_TOKENS}) AS n FROM (SELECT DISTINCT * FROM qa_pairs)")
+def token_set(spark: SparkSession, d: str) -> DataFrame:
+    q = _t(spark, d, "qa_pairs").distinct()
+    return q.select("qa_id", F.nullif(F.array_join(F.array_sort(tx.token_set(F.col("answer"))), " "), F.lit("")).alias("tokens"), F.size(tx.token_set(F.col("answer"))).cast("bigint").alias("n"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:50], ' ') AS text FROM documents WHERE text IS NOT NULL")
+def clip_words(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").filter("text is not null").select("doc_id", tx.clip_words(F.col("text"), 50).alias("text"))
+
+
+@query("SELECT document_id || '_' || chunk_id AS uid, regexp_replace(document_id || '.txt', '\\.[^.]*$', '') AS stem, count(*) AS n FROM chunks GROUP BY 1, 2")
+def uid_build(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "chunks")
+    return c.groupBy(tx.uid(F.col("document_id"), F.col("chunk_id")).alias("uid"), tx.stem(F.concat("document_id", F.lit(".txt"))).alias("stem")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, string_agg(line || chr(10) || chr(10), '' ORDER BY pos) AS text FROM l GROUP BY doc_id""")
+def join_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages put together; here the lines of a document stand for its pages."""
+    from lectern.sources import io
+
+    pages = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page_no", "text"))
+    return io.join_pages(pages, "doc_id")
+
+
+# --- chunks and entities
+
+_CHUNKS = """
+    WITH RECURSIVE s AS (
+        SELECT doc_id, text, 0 AS pos, 0 AS b, length(text) AS n FROM documents WHERE length(text) > 0
+        UNION ALL
+        SELECT doc_id, text, pos + 1, CASE WHEN e - 200 > b THEN e - 200 ELSE b + 800 END, n FROM (
+            SELECT *, CASE WHEN b + 800 >= n THEN n ELSE b + 800 + length(regexp_extract(substring(text, b + 801, 50), '^[^ \\n]*')) END AS e FROM s)
+        WHERE (CASE WHEN e - 200 > b THEN e - 200 ELSE b + 800 END) < n),
+    c AS (SELECT doc_id, pos, b, CASE WHEN b + 800 >= n THEN n ELSE b + 800 + length(regexp_extract(substring(text, b + 801, 50), '^[^ \\n]*')) END AS e, text FROM s)
+"""
+
+
+@query(_CHUNKS + "SELECT doc_id, pos, 'chunk_' || pos AS chunk_id, substring(text, b + 1, e - b) AS text, b AS \"start\", e AS \"end\" FROM c")
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk(_t(spark, d, "documents"))
+
+
+@query(_CHUNKS + "SELECT doc_id, count(*) AS chunks, sum(e - b)::BIGINT AS chars, max(e - b) AS longest FROM c GROUP BY doc_id")
+def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
+    size = F.length("text")
+    return chunking.chunk(_t(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(size).alias("chars"), F.max(size).alias("longest"))
+
+
+_MENTIONS = """m AS (SELECT doc_id, i - 1 AS ord, e[i].entity_group AS entity_group, e[i].word AS word, e[i]."start" AS "start"
+    FROM (SELECT DISTINCT doc_id, entities AS e FROM ner_entities WHERE entities IS NOT NULL), unnest(range(1, len(e) + 1)) AS r(i))"""
+
+
+@query(f"WITH {_MENTIONS} SELECT * FROM m")
+def ner_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return entities.mentions(_t(spark, d, "ner_entities"))
+
+
+@query(f"""{_CHUNKS}, {_MENTIONS}
+    SELECT c.doc_id, c.pos, m.entity_group, string_agg(m.word, '|' ORDER BY m.ord, m.word) AS words, count(*) AS n FROM c JOIN m ON c.doc_id = m.doc_id AND m."start" BETWEEN c.b AND c.e
+    GROUP BY ALL""")
+def assign_entities(spark: SparkSession, d: str) -> DataFrame:
+    c = chunking.chunk(_t(spark, d, "documents"))
+    got = entities.assign(c, entities.mentions(_t(spark, d, "ner_entities")))
+    words = F.filter("words", lambda x: x.isNotNull())
+    return got.select("doc_id", "pos", "entity_group", F.when(F.size(words) > 0, F.array_join(words, "|")).alias("words"), F.size("words").cast("bigint").alias("n"))
+
+
+@query(f"""{_CHUNKS}, {_MENTIONS}, g AS (SELECT c.doc_id, c.pos, count(DISTINCT m.entity_group) AS kinds FROM c LEFT JOIN m ON c.doc_id = m.doc_id AND m."start" BETWEEN c.b AND c.e GROUP BY ALL)
+    SELECT kinds, count(*) AS chunks FROM g GROUP BY kinds""")
+def chunk_entity_maps(spark: SparkSession, d: str) -> DataFrame:
+    c = chunking.chunk(_t(spark, d, "documents")).select("doc_id", "pos", "start", "end")
+    got = entities.with_entities(c, entities.mentions(_t(spark, d, "ner_entities")))
+    return got.groupBy(F.size("entities").cast("bigint").alias("kinds")).agg(F.count("*").alias("chunks"))
+
+
+def _signal(labels: str) -> str:
+    return f"array_to_string(list_transform(list_filter(coalesce(entities, []), lambda e: e.entity_group IN ({labels})), lambda e: lower(coalesce(e.word, ''))), '|')"
+
+
+@query(f"""SELECT doc_id, {_signal("'CHEM'")} AS meds, {_signal("'Dose', 'Strength'")} AS doses, {_signal("'DISO'")} AS diso, {_signal("'Form', 'Route'")} AS forms FROM ner_entities""")
+def query_signals(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "ner_entities").select("doc_id", entities.signals(F.col("entities")).alias("s"))
+    return s.select("doc_id", *[F.array_join(f"s.{n}", "|").alias(n) for n in entities.SIGNAL_LABELS])
+
+
+_LEXICON = (("Según", "REF"), ("mg", "UNIT"), ("with", "REF"), ("dosis", "TERM"))
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, t[i] AS word, i - 1 AS ord, CAST(coalesce(list_sum(list_transform(t[1:i - 1], lambda x: length(x) + 1)), 0) AS INT) AS "start"
+        FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\n]') AS t FROM documents WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS r(i))
+    SELECT doc_id, ord, entity_group, word, "start" FROM w JOIN (VALUES {', '.join(map(str, _LEXICON))}) AS l(word, entity_group) USING (word)""")
+def tag_entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities.tag(_t(spark, d, "documents"), spark.createDataFrame(_LEXICON, "word string, entity_group string"))
+
+
+_HEADS = ("composi", "conserva", "adverten", "resum", "warnings", "storage")
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, i AS pos, t[i] AS line, translate(lower(trim(t[i], ' ' || chr(9) || chr(160))), 'áéíóúñ', 'aeioun') AS clean FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS r(i)),
+    h AS (SELECT *, regexp_matches(clean, '^({'|'.join(_HEADS)})') AS head FROM l),
+    r AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM h),
+    s AS (SELECT doc_id, run, max(CASE WHEN head THEN regexp_extract(clean, '^\\S+') END) AS title, string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY pos) AS body, count(*) FILTER (NOT head) AS n FROM r WHERE run > 0 GROUP BY doc_id, run HAVING count(*) FILTER (NOT head) > 0),
+    k AS (SELECT *, min(run) OVER (PARTITION BY doc_id, title) AS first, max(run) OVER (PARTITION BY doc_id, title) AS last FROM s)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS ord, title, md5(body) AS body FROM k WHERE run = last""")
+def split_sections(spark: SparkSession, d: str) -> DataFrame:
+    s = sections.split_sections(_t(spark, d, "documents"), headings=_HEADS)
+    return s.withColumn("body", F.md5("body"))
+
+
+# --- vectors
+
+_COS = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))"
+_TOP = f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS vector_pos, q.label AS q_label, v.label AS v_label, round({_COS}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_pos) AS vec_rank FROM s QUALIFY vec_rank <= 5)"""
+
+
+def _top(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    return vectors.top_k(e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "vector_pos"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings").select("vec_id", vectors.l2_normalize(F.col("embedding")).alias("u"))
+    return e.select("vec_id", F.round(vectors.inner_product(F.col("u"), F.col("u")), 6).alias("norm"), F.round(F.col("u")[0], 6).alias("first"))
+
+
+@query("SELECT min(len(embedding)) AS dimension, count(*) AS n FROM embeddings")
+def dimension_check(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    return e.agg(F.lit(vectors.check_dimension(e, "embedding")).cast("bigint").alias("dimension"), F.count("*").alias("n"))
+
+
+@query(_TOP + " SELECT query_id, vector_pos, score, vec_rank FROM t")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d)
+
+
+@query(_TOP + ", r AS (SELECT *, 2 * (q_label = v_label)::INT AS rerank_score FROM t) SELECT query_id, vector_pos, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, vec_rank) AS final_rank FROM r")
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Hits reranked; that labels are equal stands for a mention of the question in the passage."""
+    e = _t(spark, d, "embeddings").select("vec_id", "label")
+    hits = _top(spark, d).join(e.toDF("query_id", "q"), "query_id").join(e.toDF("vector_pos", "v"), "vector_pos")
+    return rerank.rerank(hits.withColumn("rerank_score", 2 * (F.col("q") == F.col("v")).cast("int"))).select("query_id", "vector_pos", "rerank_score", "final_rank")
+
+
+def _weigh(name: str, labels: str, weight: int) -> str:
+    return f"{weight} * len(list_filter(list_transform(list_filter(coalesce(n.entities, []), lambda e: e.entity_group IN ({labels})), lambda e: lower(coalesce(e.word, ''))), lambda w: contains(lower(coalesce(c.text, '')), w)))"
+
+
+@query(f"""
+    WITH n AS (SELECT DISTINCT doc_id, entities FROM ner_entities), c AS (SELECT DISTINCT doc_id, chunk_id, text FROM chunks)
+    SELECT c.doc_id, c.chunk_id, CASE WHEN len(list_filter(coalesce(n.entities, []), lambda e: e.entity_group IN ('CHEM', 'DISO', 'Form', 'Route'))) > 0
+        THEN {_weigh('meds', "'CHEM'", 2)} + {_weigh('diso', "'DISO'", 1)} + {_weigh('forms', "'Form', 'Route'", 1)} ELSE -1 END AS rerank_score
+    FROM c JOIN n ON c.doc_id = n.doc_id""")
+def rerank_score(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of passages against the mentions of their document; -1 stands for no score."""
+    n = _t(spark, d, "ner_entities").select("doc_id", "entities").distinct().select("doc_id", entities.signals(F.col("entities")).alias("s"))
+    c = _t(spark, d, "chunks").select("doc_id", "chunk_id", "text").distinct()
+    return c.join(n, "doc_id").select("doc_id", "chunk_id", F.coalesce(rerank.rerank_score(F.col("s"), F.col("text")), F.lit(-1)).cast("bigint").alias("rerank_score"))
+
+
+@query("""
+    WITH b AS (SELECT coalesce(max(vector_pos), -1) + 1 AS base FROM metadata WHERE batch_id = 1)
+    SELECT base + row_number() OVER (ORDER BY batch_id, m.vector_pos) - 1 AS vector_pos, uid, m.vector_pos AS old FROM metadata m, b WHERE batch_id > 1""")
+def index_append(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of later batches if they were appended to the first."""
+    m = _t(spark, d, "metadata")
+    new = m.filter("batch_id > 1").select("batch_id", F.col("vector_pos").alias("old"), "uid")
+    return vectors.next_positions(m.filter("batch_id = 1"), new, ["batch_id", "old"]).select("vector_pos", "uid", "old")
+
+
+@query("SELECT uid, max(vector_pos) AS position FROM metadata GROUP BY uid")
+def mapping_latest(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.latest_positions(_t(spark, d, "metadata"))
+
+
+@query("SELECT uid, count(*) AS n FROM (SELECT document_id || '_' || chunk_id AS uid FROM chunks UNION ALL SELECT uid FROM metadata) GROUP BY uid")
+def bag_union(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "chunks").select(tx.uid(F.col("document_id"), F.col("chunk_id")).alias("uid"))
+    return c.unionByName(_t(spark, d, "metadata").select("uid")).groupBy("uid").agg(F.count("*").alias("n"))
+
+
+# --- answers and evaluation
+
+_PLAIN = """translate(lower({}), '.,;:()[]"''¿?¡!' || chr(10) || chr(9), '                ')"""
+_SETS = r"list_distinct(list_filter(regexp_split_to_array({}, '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> ''))"
+_A, _Q_ = _SETS.format(_PLAIN.format("answer")), _SETS.format(_PLAIN.format("question"))
+
+
+@query(f"SELECT qa_id, CASE WHEN len({_A}) > 0 THEN round(len(list_intersect({_A}, {_Q_})) / len({_A}), 6) END AS ratio, coalesce(len(list_intersect({_A}, {_Q_})) / nullif(len({_A}), 0) > 0.3, false) AS grounded FROM (SELECT DISTINCT * FROM qa_pairs)")
+def grounding_check(spark: SparkSession, d: str) -> DataFrame:
+    q = _t(spark, d, "qa_pairs").distinct()
+    return q.select("qa_id", F.round(answer.grounding_ratio(F.col("answer"), F.col("question")), 6).alias("ratio"), answer.grounded(F.col("answer"), F.col("question")).alias("grounded"))
+
+
+@query(f"""
+    WITH w AS (SELECT DISTINCT qa_id, document_id, unnest({_A}) AS token FROM (SELECT DISTINCT * FROM qa_pairs) WHERE document_id IS NOT NULL),
+    c AS (SELECT DISTINCT document_id, unnest({_SETS.format(_PLAIN.format('text'))}) AS token FROM chunks)
+    SELECT qa_id, count(*) AS tokens, count(c.token) AS found, count(c.token) / count(*) > 0.3 AS grounded FROM w LEFT JOIN c ON w.document_id = c.document_id AND w.token = c.token GROUP BY qa_id""")
+def grounding_in_leaflet(spark: SparkSession, d: str) -> DataFrame:
+    """Grounding of each answer in all passages of its leaflet, by a join of tokens, so a leaflet of many passages is never put together in one row."""
+    q = _t(spark, d, "qa_pairs").distinct().filter("document_id is not null")
+    a = q.select("qa_id", "document_id", F.explode(tx.token_set(F.col("answer"))).alias("token")).distinct()
+    c = _t(spark, d, "chunks").select("document_id", F.explode(tx.token_set(F.col("text"))).alias("token")).distinct().withColumn("hit", F.lit(1))
+    by = a.join(c, ["document_id", "token"], "left").groupBy("qa_id").agg(F.count("*").alias("tokens"), F.count("hit").alias("found"))
+    return by.withColumn("grounded", F.col("found") / F.col("tokens") > answer.GROUNDED)
+
+
+@query(f"""
+    SELECT qa_id, CASE WHEN question IS NULL THEN 'no_context' WHEN answer = '{answer.ABSTENTION}' THEN 'abstained'
+        WHEN NOT coalesce(len(list_intersect({_A}, {_Q_})) / nullif(len({_A}), 0) > 0.3, false) THEN 'invalidated' ELSE 'answered' END AS status
+    FROM (SELECT DISTINCT qa_id, question, CASE WHEN qa_id % 7 = 0 THEN '{answer.ABSTENTION}' ELSE answer END AS answer FROM qa_pairs)""")
+def answer_status(spark: SparkSession, d: str) -> DataFrame:
+    """Status of each pair; every seventh answer is replaced by the abstention, as the table has none."""
+    q = _t(spark, d, "qa_pairs").select("qa_id", "question", F.when(F.col("qa_id") % 7 == 0, answer.ABSTENTION).otherwise(F.col("answer")).alias("answer")).distinct()
+    n = F.col("question").isNotNull().cast("int")
+    return q.select("qa_id", answer.status(n, F.col("answer"), answer.grounded(F.col("answer"), F.col("question"))).alias("status"))
+
+
+_EDGE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"""
+    SELECT document_id, string_agg('[Fuente ' || i || ' | documento: ' || document_id || ' | chunk: ' || coalesce(chunk_id, '?') || ' | score (similitud vectorial): 0.5]' || chr(10) || regexp_replace(regexp_replace(coalesce(text, ''), '^{_EDGE}', ''), '{_EDGE}$', '') || chr(10), chr(10) ORDER BY i) AS block
+    FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY vector_pos) AS i FROM metadata QUALIFY i <= 5) GROUP BY document_id""")
+def context_block(spark: SparkSession, d: str) -> DataFrame:
+    """The context of the first five passages of each leaflet: a top five, as of a question."""
+    from pyspark.sql import Window
+
+    m = _t(spark, d, "metadata").withColumn("i", F.row_number().over(Window.partitionBy("document_id").orderBy("vector_pos"))).filter("i <= 5")
+    hits = m.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("i", "document_id", "chunk_id", "text", F.lit(0.5).alias("score")))).alias("hits"))
+    return hits.select("document_id", answer.context_block(F.col("hits")).alias("block"))
+
+
+_MEANS = ", ".join(f"round(avg({m}), 9) AS {m}" for m in schemas.METRICS)
+
+
+@query(f"SELECT dataset, grouping(dataset)::INT AS is_total, count(*) AS n, {_MEANS} FROM (SELECT DISTINCT * FROM eval_metrics) WHERE NOT coalesce(isnan(faithfulness + answer_relevance + context_relevance + context_precision + context_recall + bert_precision + bert_recall + bert_f1), false) GROUP BY GROUPING SETS ((dataset), ())")
+def metric_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the rows without NaN, each row once."""
+    e = _t(spark, d, "eval_metrics").distinct().filter(~F.coalesce(F.isnan(sum((F.col(m) for m in schemas.METRICS[1:]), F.col(schemas.METRICS[0]))), F.lit(False)))
+    s = evaluate.summary(e)
+    return s.select("dataset", "is_total", "n", *[F.round(m, 9).alias(m) for m in schemas.METRICS])
+
+
+_REPLIES = ('{"score": 0.7}', 'x {"score": 1.5} y', '{"a": {"score": 1}}', '{"score": "0.7"}', '{"score": null}', "{}", "no", '{"score": -1}', 'a {"score":0.2} {"score":0.9}', '{"score":1} xx', '[{"question":"a","answer":"b"}] z', "] [")
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("event_id") % len(_REPLIES) + 1).cast("int")).alias("reply"))
+
+
+_REPLIED = "(SELECT event_id, ([" + ", ".join("'" + r + "'" for r in _REPLIES) + f"])[event_id % {len(_REPLIES)} + 1] AS reply FROM events)"
+
+
+def _json_score(x: str) -> str:
+    return f"coalesce(TRY_CAST(CASE WHEN json_valid({x}) THEN json_extract_string({x}, '$.score') END AS DOUBLE), 0.0)"
+
+
+@query(f"SELECT event_id, greatest(0.0, least(1.0, {_json_score('j')})) AS score FROM (SELECT event_id, regexp_extract(reply, '\\{{.*?\\}}') AS j FROM {_REPLIED})")
+def parse_judge_score(spark: SparkSession, d: str) -> DataFrame:
+    return _replies(spark, d).select("event_id", parsing.judge_score(F.col("reply")).alias("score"))
+
+
+@query(f"SELECT event_id, CASE WHEN regexp_full_match(reply, '\\s*\\{{.*\\}}\\s*') THEN {_json_score('reply')} ELSE 0.0 END AS score FROM {_REPLIED}")
+def parse_validation_score(spark: SparkSession, d: str) -> DataFrame:
+    return _replies(spark, d).select("event_id", parsing.validation_score(F.col("reply")).alias("score"))
+
+
+@query(f"SELECT event_id FROM {_REPLIED} WHERE (CASE WHEN regexp_full_match(reply, '\\s*\\{{.*\\}}\\s*') THEN {_json_score('reply')} ELSE 0.0 END) >= 0.6")
+def qa_accept_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _replies(spark, d).filter(parsing.accepted(parsing.validation_score(F.col("reply")))).select("event_id")
+
+
+@query(f"SELECT event_id, CASE WHEN reply LIKE '[{{%' THEN 1 ELSE 0 END AS pairs FROM {_REPLIED}")
+def extract_qa_json(spark: SparkSession, d: str) -> DataFrame:
+    return _replies(spark, d).select("event_id", F.size(parsing.qa_pairs(F.col("reply"))).alias("pairs"))
+
+
+# --- whole ways, with the deterministic providers
+
+
+def _retrieved(spark: SparkSession, d: str) -> DataFrame:
+    m = _t(spark, d, "metadata").filter("text is not null and text <> ''")
+    table = m.select("vector_pos", "document_id", "chunk_id", "text", providers.embedding(F.col("text")).alias("embedding"))
+    none = F.array().cast("array<struct<entity_group:string,word:string,start:int>>")
+    drug = F.regexp_extract("question", r"([A-Z][a-z]{6,}(?:-q)?)", 1)
+    mention = F.array(F.struct(F.lit("CHEM").alias("entity_group"), drug.alias("word"), F.lit(0).alias("start")))
+    q = _t(spark, d, "qa_pairs").filter("qa_id % 50 = 0 and question is not null").dropDuplicates(["qa_id"])
+    return answer.retrieve(q.select(F.col("qa_id").alias("query_id"), "question", F.when(drug != "", mention).otherwise(none).alias("entities")), table)
+
+
+def _model() -> providers.Extractive:
+    return providers.Extractive(answer.ABSTENTION)
+
+
+@query()
+def rag_answers(spark: SparkSession, d: str) -> DataFrame:
+    got = answer.answer(_retrieved(spark, d), _model)
+    return got.select("query_id", "question", "answer", "status", F.size("hits").alias("n_hits"))
+
+
+@query()
+def rag_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    truth = _t(spark, d, "qa_pairs").dropDuplicates(["qa_id"]).select(F.col("qa_id").alias("query_id"), F.col("answer").alias("truth"), "dataset")
+    return evaluate.summary(evaluate.evaluate(_retrieved(spark, d).join(truth, "query_id"), _model))
+
+
+class _Maker:
+    """Makes one pair of each section, from its first line."""
+
+    def reply(self, prompts: list[str]) -> list[str]:
+        import json
+
+        out = []
+        for p in prompts:
+            if "{score}" in p:
+                out.append('{"faithful": true, "score": 0.9}')
+            else:
+                body = p.split("TEXTO:\n")[-1].strip().split("\n")[0]
+                out.append("Aquí: " + json.dumps([{"question": "¿Qué dice la sección?", "answer": body}], ensure_ascii=False) if body else "nada")
+        return out
+
+
+@query()
+def qa_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return qa.build(sections.split_sections(_t(spark, d, "documents"), headings=_HEADS), _Maker)
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return rag_answers(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lec
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each Spark context, so that workers find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lectern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    into = Path(tempfile.mkdtemp(prefix="lectern-ship-")) / "lectern.zip"
+    with zipfile.ZipFile(into, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    # the driver's own temporary folder: Spark copies the file to every executor
+    sc.addPyFile(str(into))
+    sc._lectern_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
