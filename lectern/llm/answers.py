@@ -122,7 +122,7 @@ def scored(pairs: DataFrame, key: str = "qa_id", question: str = "question", ans
     # words that occur before the end of an answer, or close one: what a cut through a word leaves is rarely among them
     whole = p.select(F.explode(F.array_distinct(F.when(closed, F.col("wa")).otherwise(F.slice("wa", 1, F.greatest(F.size("wa") - 1, F.lit(0)))))).alias("last")).groupBy("last").agg(F.count("*").alias("times")).filter(F.col("times") >= LEAST_ENDINGS).select("last", F.lit(True).alias("word"))
     p = held(p, **counts).join(good, "end", "left").join(whole, "last", "left")
-    cut_off = ~closed & F.when(n >= 6, F.col("known").isNull()).otherwise(F.col("word").isNull() & ~F.coalesce(last.rlike(r"^\d+$"), F.lit(False)))
+    cut_off = ~closed & F.when(n >= 6, F.col("known").isNull()).otherwise((n >= 4) & F.col("word").isNull() & ~F.coalesce(last.rlike(r"^\d+$"), F.lit(False)))
     truncated = broken | opened | (~closed & (hangs | cut_off))
 
     flag = lambda c, name: F.when(F.coalesce(c, F.lit(False)), F.lit(name))

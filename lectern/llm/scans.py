@@ -163,6 +163,16 @@ def around(w: str, i: int) -> list:
     return ["*", ("c", c), ("l", q, c), ("r", c, n), ("b", q, c, n), ("rr", c, n, o), ("ll", p, q, c)]
 
 
+def merged(w: str) -> Iterator[str]:
+    """w with one pair of signs read as the one that it often stands for."""
+    for right, wrongs in _MULTI.items():
+        for wrong in wrongs:
+            at = w.find(wrong)
+            while at >= 0:
+                yield w[:at] + right + w[at + len(wrong) :]
+                at = w.find(wrong, at + 1)
+
+
 class Editor:
     """Proposes known words for unknown ones by at most two edits, the ones that its perceptron finds likeliest first."""
 
@@ -199,6 +209,8 @@ class Editor:
         if w in self.near:
             return True
         known, near = self.known, self.near
+        if any(x in known for x in merged(w)):
+            return True
         return any((x := w[:i] + w[i + 1 :]) in known or x in near for i in range(len(w)))
 
     def edit(self, w: str, also: set[str] = frozenset()) -> str | None:
@@ -227,6 +239,9 @@ class Editor:
         for _, i, op in steps:
             if ok(x := self._apply(w, [(i, op)])):
                 return x
+        # two signs that were one: a replacement and a deletion side by side
+        if (x := next(filter(ok, merged(w)), None)) is not None:
+            return x
         # two edits: only of characters that the model would rather change
         top = [s for s in steps if s[0] > -1.0][:14]
         for k, (_, i, op) in enumerate(top):
