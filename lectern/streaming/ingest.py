@@ -17,7 +17,7 @@ def index_rows(documents: DataFrame, embed: Callable = providers.HashEmbedder) -
     """(document_id, chunk_id, uid, text, start, end, embedding) of documents (document_id, text). Works on streams too, as nothing is shuffled."""
     clean = documents.select("document_id", tx.normalize(F.col("text")).alias("text"))
     c = chunk(clean, key="document_id").drop("pos")
-    return c.withColumn("uid", tx.uid(F.col("document_id"), F.col("chunk_id"))).withColumn("embedding", vectors.l2_normalize(providers.embedding(F.col("text"), embed)).cast("array<float>"))
+    return c.withColumn("uid", tx.uid(F.col("document_id"), F.col("chunk_id"))).withColumn("raw", providers.embedding(F.col("text"), embed)).withColumn("embedding", vectors.l2_normalize(F.col("raw")).cast("array<float>")).drop("raw")
 
 
 def ingest(spark: SparkSession, source: DataFrame, table: str, checkpoint: str, embed: Callable = providers.HashEmbedder) -> StreamingQuery:
