@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import spread
+
 #: Size, overlap and reach of a chunk in code points.
 SIZE, OVERLAP, REACH = 800, 200, 50
 SLICE_ROWS = 2000
@@ -34,7 +36,7 @@ def chunk(documents: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
     Each text is a row of its own, so the work spreads without a shuffle. drop_tail leaves out the last chunk where it lies within the one before.
     """
-    src = documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).filter("_t is not null and _t <> ''")
+    src = spread(documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).filter("_t is not null and _t <> ''"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

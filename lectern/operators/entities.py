@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import spread
+
 #: Code points of a bucket in the range join.
 BUCKET = 800
 #: Which entity labels feed which signal, fixed values.
@@ -19,7 +21,7 @@ def mentions(ner: DataFrame, key: str = "doc_id", entities: str = "entities") ->
 
 def tag(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A gazetteer tagger: (key, ord, entity_group, word, start) of the tokens between spaces and line feeds that the lexicon (word, entity_group) has."""
-    tokens = documents.select(key, F.posexplode(F.split(text, r"[ \n]", -1)).alias("ord", "word"))
+    tokens = spread(documents.select(key, text)).select(key, F.posexplode(F.split(text, r"[ \n]", -1)).alias("ord", "word"))
     before = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     placed = tokens.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int"))
     return placed.join(lexicon.select("word", "entity_group"), "word").select(key, "ord", "entity_group", "word", "start")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import spread
 
 #: Beginnings of folded lines that open a section, fixed values.
 HEADINGS = ("conservacion", "advertencias", "composicion")
@@ -17,7 +18,7 @@ def split_sections(documents: DataFrame, headings: tuple[str, ...] = HEADINGS, k
     The title is the heading line's first word, folded. Text before the first heading is dropped; a section without a line is none; of several with one title the last counts.
     The windows run within one document, whose lines are bounded by a text.
     """
-    lines = documents.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("clean", tx.fold_heading(F.col("line")))
+    lines = spread(documents.select(key, text)).select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("clean", tx.fold_heading(F.col("line")))
     head = F.col("clean").rlike("^(?:" + "|".join(headings) + ")")
     lines = lines.withColumn("head", head)
     w = Window.partitionBy(key).orderBy("pos")

@@ -14,6 +14,7 @@ from lectern import schemas
 from lectern.functions import parsing
 from lectern.functions import text as tx
 from lectern.operators import answer, chunking, entities, evaluate, providers, qa, rerank, sections, vectors
+from lectern.session import spread
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -274,7 +275,7 @@ def grounding_in_leaflet(spark: SparkSession, d: str) -> DataFrame:
     """Grounding of each answer in all passages of its leaflet, by a join of tokens, so a leaflet of many passages is never put together in one row."""
     q = _t(spark, d, "qa_pairs").distinct().filter("document_id is not null")
     a = q.select("qa_id", "document_id", F.explode(tx.token_set(F.col("answer"))).alias("token")).distinct()
-    c = _t(spark, d, "chunks").select("document_id", F.explode(tx.token_set(F.col("text"))).alias("token")).distinct().withColumn("hit", F.lit(1))
+    c = spread(_t(spark, d, "chunks").select("document_id", "text")).select("document_id", F.explode(tx.token_set(F.col("text"))).alias("token")).distinct().withColumn("hit", F.lit(1))
     by = a.join(c, ["document_id", "token"], "left").groupBy("qa_id").agg(F.count("*").alias("tokens"), F.count("hit").alias("found"))
     return by.withColumn("grounded", F.col("found") / F.col("tokens") > answer.GROUNDED)
 
@@ -355,7 +356,7 @@ def extract_qa_json(spark: SparkSession, d: str) -> DataFrame:
 
 def _retrieved(spark: SparkSession, d: str) -> DataFrame:
     m = _t(spark, d, "metadata").filter("text is not null and text <> ''")
-    table = m.select("vector_pos", "document_id", "chunk_id", "text", providers.embedding(F.col("text")).alias("embedding"))
+    table = spread(m.select("vector_pos", "document_id", "chunk_id", "text")).select("vector_pos", "document_id", "chunk_id", "text", providers.embedding(F.col("text")).alias("embedding"))
     none = F.array().cast("array<struct<entity_group:string,word:string,start:int>>")
     drug = F.regexp_extract("question", r"([A-Z][a-z]{6,}(?:-q)?)", 1)
     mention = F.array(F.struct(F.lit("CHEM").alias("entity_group"), drug.alias("word"), F.lit(0).alias("start")))

@@ -67,6 +67,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it comes straight from fewer splits than there are cores: a table that small is shuffled cheaply, and Python work on it isn't done by one task. Others stay as they are."""
+    if df.isStreaming:
+        return df
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    # a plan with a shuffle has its own partitioning, and asking for it would run it
+    if plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan") or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def keep_matching(df: DataFrame, keys: DataFrame, on: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose `on` is in keys: the keys are broadcast only if counted at most `bound`, else shuffled."""
     keys = keys.select(on).distinct()
