@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import spread
+
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 #: Answers that must close with an ending for it to count as one.
 LEAST_ENDINGS = 3
@@ -84,7 +86,7 @@ def _ending(a: Column) -> Column:
 
 def scored(pairs: DataFrame, key: str = "qa_id", question: str = "question", answer: str = "answer") -> DataFrame:
     """(key, defects ARRAY<STRING>) of every row, in the order of the rules."""
-    p = pairs.select(F.col(key).alias("_k"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a"))
+    p = spread(pairs.select(F.col(key).alias("_k"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a")))
     p = held(p, t=F.regexp_replace(F.coalesce("a", F.lit("")), r"^[\p{Z}\p{C}]+|[\p{Z}\p{C}]+$", ""))
     p = held(p, f=folded(F.col("t")), fq=folded(F.coalesce("q", F.lit(""))), end=_ending(F.col("t")))
     p = held(p, wa=words(F.col("f")), wq=words(F.col("fq")))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import spread
+
 #: Encodings by which UTF-8 was read, and (read as, really) for single-byte pairs.
 READ_AS = ("cp1252", "latin-1", "iso8859-2", "cp1250", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1251", "cp1254", "cp1257", "koi8-r", "cp1253", "cp866")
 SINGLE = (("cp1251", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1250", "cp1252"), ("iso8859-2", "cp1252"), ("koi8-r", "cp1252"), ("cp1253", "cp1252"), ("iso8859-5", "cp1252"), ("cp1257", "cp1252"), ("cp866", "cp1252"))
@@ -202,7 +204,7 @@ def words(text: str) -> set[str]:
 
 def frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
     """(word, docs) of words outside ASCII over all documents; counted in each task before the shuffle."""
-    src = documents.select(F.col(text).cast("string").alias("_t"))
+    src = spread(documents.select(F.col(text).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -229,7 +231,7 @@ def repaired(documents: DataFrame, key: str = "doc_id", text: str = "text", know
     """(key, garbled, text): every document with its text restored as far as it can be; only_found leaves out the rest."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(known or known_words(documents, text))
-    src = documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+    src = spread(documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Repairer(*shared.value)

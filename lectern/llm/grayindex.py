@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import shingles
-from lectern.session import cut
+from lectern.session import cut, spread
 
 #: Fingerprints compared directly, in a block, and kept in one task before a group is cut into blocks.
 LEAF, BLOCK, HOT = 32, 512, 4096
@@ -56,7 +56,7 @@ def ranks(minima: np.ndarray) -> np.ndarray:
 
 def signed_rows(texts: DataFrame, key: str, text: str = "text", width: int = 3, rows: int = ROWS, keys: int = KEYS) -> DataFrame:
     """(key, node, rank, keys ARRAY<BIGINT>) of every row with a shingle; the keys of a node are null but at its first row in a task."""
-    src = texts.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+    src = spread(texts.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set = set()
@@ -77,7 +77,7 @@ def signed_rows(texts: DataFrame, key: str, text: str = "text", width: int = 3,
 
 def index_keys(texts: DataFrame, text: str = "text", width: int = 3, rows: int = ROWS, keys: int = KEYS) -> DataFrame:
     """(key, rank, node) of every text with a shingle; equal sets of shingles once in a task."""
-    src = texts.select(F.col(text).cast("string").alias("_t"))
+    src = spread(texts.select(F.col(text).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set = set()

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm import grayindex, shingles
 from lectern.llm.links import components
-from lectern.session import cut, keep_matching
+from lectern.session import cut, keep_matching, spread
 
 
 def nodes_of(texts: DataFrame, key: str, text: str = "text", width: int = 3, with_text: bool = False) -> DataFrame:
     """(node, key[, text]) of every row with a shingle; rows with equal sets of shingles have equal nodes."""
-    src = texts.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+    src = spread(texts.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")))
     kind = src.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import spread
+
 #: Share of the clean documents that must have a word for it to be known, and least number; times its rate in marked ones.
 LEAST_SHARE, LEAST_DOCS, LEAST_RATIO = 5e-5, 2, 0.15
 #: Documents that the judge of lines is trained on, and words and pairs that the editor is, at most.
@@ -490,7 +492,7 @@ class Reader:
 
 def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """(word, clean, marked): documents with the word among those without and with marks at first sight; '' counts all documents."""
-    src = documents.select(F.col(text).cast("string").alias("_t"))
+    src = spread(documents.select(F.col(text).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two: tuple[Counter, Counter] = (Counter(), Counter())
@@ -544,7 +546,7 @@ def fit_reader(documents: DataFrame, text: str = "text") -> Reader:
 def read_scans(documents: DataFrame, key: str = "doc_id", text: str = "text", reader: Reader | None = None, repair: bool = True) -> DataFrame:
     """(key, text) of the scanned documents, repaired; without repair only (key)."""
     shared = documents.sparkSession.sparkContext.broadcast(reader or fit_reader(documents, text))
-    src = documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+    src = spread(documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")))
     kind = src.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import cut
+from lectern.session import cut, spread
 
 #: Labelled documents that the lexicon is fitted on, at most (the first in the order of a hash).
 LABELLED_DOCS = 20_000
@@ -239,7 +239,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     spark = documents.sparkSession
     voter = voter or fit_voter(documents, labels, subjects, key)
     shared = spark.sparkContext.broadcast(voter)
-    src = documents.select(F.col(key).alias("_k"), F.col("text").cast("string").alias("_t"), "source", "holder").filter("_t is not null and _t <> ''")
+    src = spread(documents.select(F.col(key).alias("_k"), F.col("text").cast("string").alias("_t"), "source", "holder").filter("_t is not null and _t <> ''"))
     kind = src.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

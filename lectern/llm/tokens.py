@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import spread
+
 #: Where the vocabulary files are; a parameter everywhere below.
 VOCABULARY_DIR = "/opt/tokenizers"
 #: Mean characters between hash cuts; a power of two.
@@ -138,7 +140,7 @@ class ChunkEncoder:
 
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", directory: str = VOCABULARY_DIR) -> DataFrame:
     """(key, ids ARRAY<INT>) for every row, in one pass without a shuffle."""
-    src = documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+    src = spread(documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = ChunkEncoder(tokenizer, directory)
@@ -156,7 +158,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", tok
 
 def token_counts(documents: DataFrame, keys: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", directory: str = VOCABULARY_DIR) -> DataFrame:
     """The columns `keys` and n_tokens of every row; ids stay in the worker."""
-    src = documents.select(*[F.col(k) for k in keys], F.col(text).cast("string").alias("_t"))
+    src = spread(documents.select(*[F.col(k) for k in keys], F.col(text).cast("string").alias("_t")))
     schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
