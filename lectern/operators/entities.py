@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,29 @@ def tag(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str
     return placed.join(lexicon.select("word", "entity_group"), "word").select(key, "ord", "entity_group", "word", "start")
 
 
+def run_tagger(documents: DataFrame, make: Callable[[], Callable[[str], list[dict]]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, entities, error): the mentions that a model finds in each text. make() gives, in a worker, a function from a text to mentions.
+
+    A text on which it fails, and a null text, has no mentions; what failed is told in error and doesn't end the run.
+    """
+    src = documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
+        for batch in batches:
+            found, errors = [], []
+            for t in batch.column(1).to_pylist():
+                try:
+                    got, error = [{k: m.get(k) for k in ("entity_group", "word", "start")} for m in (find(t) if t else [])], None
+                except Exception as e:  # noqa: BLE001 - whatever a model raises
+                    got, error = [], f"{type(e).__name__}: {e}"
+                found.append(got), errors.append(error)
+            kind = pa.list_(pa.struct([("entity_group", pa.string()), ("word", pa.string()), ("start", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind), pa.array(errors, pa.string())], names=[key, "entities", "error"])
+
+    return src.mapInArrow(run, f"`{key}` {src.schema['_k'].dataType.simpleString()}, entities array<struct<entity_group:string,word:string,start:int>>, error string")
+
+
 def assign(chunks: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mentions whose start lies in [start, end] of a chunk, both ends included: (key, pos, entity_group, words), words in the order of the mentions.
 

@@ -18,6 +18,15 @@ def summary(rows: DataFrame, dataset: str = "dataset", metrics: tuple[str, ...]
     return rows.groupingSets([[F.col(dataset)], []], F.col(dataset)).agg(F.grouping(dataset).cast("int").alias("is_total"), F.count("*").alias("n"), *[F.avg(m).alias(m) for m in metrics])
 
 
+def report(rows: DataFrame) -> str:
+    """A summary as text, a block for each dataset and one for all questions, in three decimals."""
+    out = []
+    for r in rows.orderBy("is_total", "dataset").toLocalIterator():
+        out.append(f"{'all questions' if r['is_total'] else r['dataset']} (n = {r['n']})")
+        out += [f"  {m}: {'-' if r[m] is None else format(r[m], '.3f')}" for m in METRICS]
+    return "\n".join(out)
+
+
 def _judge(what: str, a: Column, b: Column, *more: Column) -> Column:
     parts = [F.lit(f'{what} Responde solo con un JSON: {{"score": número entre 0 y 1}} {{score}}\n<A>'), F.coalesce(a, F.lit("")), F.lit("</A>\n<B>"), F.coalesce(b, F.lit("")), F.lit("</B>\n")]
     return F.concat(*parts, *[x for m in more for x in (F.coalesce(m, F.lit("")), F.lit("\n"))])

@@ -57,6 +57,31 @@ def test_tag(spark):
     assert sorted(r["start"] for r in entities.tag(d, lex).collect()) == [4, 13]
 
 
+def test_tagger(spark):
+    def make():
+        def find(t):
+            if "boom" in t:
+                raise ValueError("boom")
+            return [{"entity_group": "CHEM", "word": t, "start": 0, "more": 1}]
+
+        return find
+
+    d = spark.createDataFrame([(1, "a"), (2, "boom"), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (len(r["entities"]), r["error"]) for r in entities.run_tagger(d, make).collect()}
+    assert got == {1: (1, None), 2: (0, "ValueError: boom"), 3: (0, None)}
+
+
+def test_settings(tmp_path):
+    from lectern import config
+
+    (tmp_path / "env").write_text("# c\nA = 'x'\n\nB=\n")
+    values = config.read_env_file(str(tmp_path / "env"))
+    assert config.required("A", values) == "x"
+    with pytest.raises(OSError, match="B"):
+        config.required("B", values)
+    assert config.read_env_file(str(tmp_path / "none")) == {}
+
+
 def test_sections(spark):
     d = spark.createDataFrame([(1, "intro\nConservación del medicamento\nA\nADVERTENCIAS:\nComposición\nB\nconservacion\nC"), (2, None), (3, "nada")], "doc_id bigint, text string")
     assert [tuple(r) for r in sections.split_sections(d).orderBy("ord").collect()] == [(1, 1, "conservacion", "C"), (1, 2, "composicion", "B")]
@@ -130,6 +155,7 @@ def test_summary(spark):
     rows = spark.createDataFrame([("a", *[1.0] * 8), ("a", *[0.0] * 8), ("b", *[None] * 8)], "dataset string, " + ", ".join(f"{x} double" for x in m))
     got = {(r["dataset"], r["is_total"]): (r["n"], r["bert_f1"]) for r in evaluate.summary(rows).collect()}
     assert got == {("a", 0): (2, 0.5), ("b", 0): (1, None), (None, 1): (3, 0.5)}
+    assert "all questions (n = 3)" in evaluate.report(evaluate.summary(rows))
     s = spark.createDataFrame([("a b", "b c d")], "a string, b string").select(evaluate.token_score(F.col("a"), F.col("b")).alias("s")).first()["s"]
     assert (s["precision"], round(s["recall"], 6)) == (0.5, 0.333333)
 
