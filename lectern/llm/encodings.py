@@ -146,10 +146,36 @@ def _lost(word: str) -> bool:
     return False
 
 
+def odd(word: str) -> int:
+    """Characters outside ASCII that sit ill in a word: capitals after small letters, signs between letters, other scripts beside Latin."""
+    n = 0
+    for i, c in enumerate(word):
+        if c < "\x80":
+            continue
+        before, after = word[i - 1] if i else " ", word[i + 1] if i + 1 < len(word) else " "
+        if c.isalpha():
+            foreign = ord(c) > 0x24F and c not in "αβµ"
+            n += c.isupper() and before.islower() or foreign and (before < "\x80" and before.isalpha() or after < "\x80" and after.isalpha())
+        else:
+            n += before.isalpha() and after.isalpha() and c not in "’·"
+    return n
+
+
 class Repairer:
     def __init__(self, known: dict[str, int], least: int = LEAST_DOCS):
         self.known, self.least = known, least
         self.met: dict[str, tuple[bool, str]] = {}
+        self.by: dict[str, tuple[str, str]] = {}
+        #: known words by their shape, where lost characters are U+FFFD; those that one word dwarfs all others for
+        shapes: dict[str, list[tuple[int, str]]] = {}
+        for w, n in known.items():
+            if "�" not in w and any(c.isalpha() and c < "\x80" for c in w):
+                shapes.setdefault(_RUN.sub(lambda m: "�" * len(m.group()), w), []).append((n, w))
+        self.shapes = {}
+        for shape, found in shapes.items():
+            found.sort(reverse=True)
+            if found[0][0] >= least and (len(found) == 1 or found[0][0] >= TIMES * found[1][0]):
+                self.shapes[shape] = found[0][1]
 
     def _single(self, word: str) -> str | None:
         core = word.strip(_OUTER)
@@ -171,6 +197,7 @@ class Repairer:
             # a word needs plain letters beside; lone characters are told only from ones that text doesn't use
             if inner and not inner.isascii() and n > times and (plain >= 2 or len(core) > 1 and plain or cost(core) > 2 * len(core)):
                 best, times = got, n
+                self.by[word] = (read, real)
         return best
 
     def word(self, word: str) -> tuple[bool, str]:
@@ -180,13 +207,21 @@ class Repairer:
             got = _RUN.sub(lambda m: unnest(m.group()), word)
             core = word.strip(_OUTER) or word
             # a word that many documents have, and that would become one that none has, is correct as it is
-            if got != word and self.known.get(core, 0) > self.known.get(got.strip(_OUTER) or got, 0):
+            inner = got.strip(_OUTER) or got
+            if got != word and not inner.isascii() and self.known.get(core, 0) > self.known.get(inner, 0):
                 got = word
+            if got == word and "Ã" in word:
+                # a lead byte whose second, read as a soft hyphen, was cleaned away
+                again = _RUN.sub(lambda m: unnest(m.group()), re.sub("Ã(?![\x80-\xbf])", "Ã\xad", word))
+                if self.known.get(again.strip(_OUTER), 0) > max(self.least, TIMES * self.known.get(core, 0)) - 1:
+                    got = again
             if got == word or _lost(got):
                 got = self._single(got) or got
+            if "�" in got and (inner := got.strip(_OUTER)) in self.shapes:
+                got = got.replace(inner, self.shapes[inner], 1)
             found = (got != word or _lost(word) and self.known.get(word.strip(_OUTER), 0) < self.least * 20, got)
             if len(self.met) >= CACHE_WORDS:
-                self.met.clear()
+                self.met.clear(), self.by.clear()
             self.met[word] = found
         return found
 
@@ -194,7 +229,24 @@ class Repairer:
         return not text.isascii() and any(self.word(w)[0] for w in words(text))
 
     def restore(self, text: str) -> str:
-        return "".join(self.word(w)[1] if not w.isascii() else w for w in re.split(r"([ \n\t\r]+)", text))
+        """The text with its words restored. Words that no frequency tells follow the pair of encodings that most of the document's words speak for, if they sit ill as they are and better then."""
+        parts = re.split(r"([ \n\t\r]+)", text)
+        votes = Counter(self.by[w] for w in set(parts) if not w.isascii() and self.word(w)[0] and w in self.by)
+        pair = votes.most_common(1)[0][0] if votes else None
+
+        def one(w: str) -> str:
+            if w.isascii():
+                return w
+            got = self.word(w)[1]
+            if got == w and pair and odd(w) and (data := _encode(w, pair[0])) is not None:
+                try:
+                    again = data.decode(pair[1])
+                except UnicodeDecodeError:
+                    return w
+                return again if odd(again) < odd(w) else w
+            return got
+
+        return "".join(map(one, parts))
 
 
 def words(text: str) -> set[str]:
