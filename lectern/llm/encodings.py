@@ -39,6 +39,15 @@ _OUTER = "".join(chr(i) for i in range(33, 128) if not chr(i).isalnum()) + "“
 _COMMON = set("áéíóúüñàèìòùâêîôûãõäëïöçœæøåßÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÃÕÄËÏÖÇŒÆØÅ¿¡ºª“”‘’–—•…€™®©°±µ½¼¾²³¹×·«»§¶†£≤≥≈αβ")
 
 
+_ASCII_OUTER = "".join(chr(i) for i in range(33, 128) if not chr(i).isalnum())
+
+
+def key_of(word: str) -> str:
+    """The form under which a word is counted: without outer marks, or with those outside ASCII where nothing else is."""
+    core = word.strip(_OUTER)
+    return core if core and not core.isascii() else word.strip(_ASCII_OUTER) or word
+
+
 def _sloppy(codec: str) -> dict[str, int]:
     """Character to byte for all bytes; one that the encoding leaves open stands for the control character of its number."""
     out = {}
@@ -178,9 +187,7 @@ class Repairer:
                 self.shapes[shape] = found[0][1]
 
     def _single(self, word: str) -> str | None:
-        core = word.strip(_OUTER)
-        if not core or core.isascii():
-            core = word
+        core = key_of(word)
         have = self.known.get(core, 0)
         best, times = None, max(self.least, TIMES * max(1, have)) - 1
         plain = sum(c.isalpha() and c < "\x80" for c in core)
@@ -192,8 +199,10 @@ class Repairer:
                 got = data.decode(real)
             except UnicodeDecodeError:
                 continue
-            inner = got.strip(_OUTER)
+            inner = key_of(got)
             n = self.known.get(inner, 0)
+            if cost(got) > cost(word) or odd(got) > odd(word):
+                continue
             # a word needs plain letters beside; lone characters are told only from ones that text doesn't use
             if inner and not inner.isascii() and n > times and (plain >= 2 or len(core) > 1 and plain or cost(core) > 2 * len(core)):
                 best, times = got, n
@@ -205,21 +214,21 @@ class Repairer:
         found = self.met.get(word)
         if found is None:
             got = _RUN.sub(lambda m: unnest(m.group()), word)
-            core = word.strip(_OUTER) or word
+            core = key_of(word)
             # a word that many documents have, and that would become one that none has, is correct as it is
-            inner = got.strip(_OUTER) or got
+            inner = key_of(got)
             if got != word and not inner.isascii() and self.known.get(core, 0) > self.known.get(inner, 0):
                 got = word
             if got == word and "Ã" in word:
                 # a lead byte whose second, read as a soft hyphen, was cleaned away
                 again = _RUN.sub(lambda m: unnest(m.group()), re.sub("Ã(?![\x80-\xbf])", "Ã\xad", word))
-                if self.known.get(again.strip(_OUTER), 0) > max(self.least, TIMES * self.known.get(core, 0)) - 1:
+                if self.known.get(key_of(again), 0) > max(self.least, TIMES * self.known.get(core, 0)) - 1:
                     got = again
             if got == word or _lost(got):
                 got = self._single(got) or got
             if "�" in got and (inner := got.strip(_OUTER)) in self.shapes:
                 got = got.replace(inner, self.shapes[inner], 1)
-            found = (got != word or _lost(word) and self.known.get(word.strip(_OUTER), 0) < self.least * 20, got)
+            found = (got != word or _lost(word) and self.known.get(key_of(word), 0) < self.least * 20, got)
             if len(self.met) >= CACHE_WORDS:
                 self.met.clear(), self.by.clear()
             self.met[word] = found
@@ -263,7 +272,7 @@ def frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and not t.isascii():
-                    counts.update({c for w in words(t) if (c := w.strip(_OUTER) or w) and not c.isascii() and len(c) <= 40})
+                    counts.update({c for w in words(t) if len(c := key_of(w)) <= 40 and not c.isascii()})
             if len(counts) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "docs"])
                 counts = Counter()
