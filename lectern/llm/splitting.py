@@ -1,14 +1,14 @@
 """Cutting oversized texts and files into pieces at natural boundaries, with overlap, by ranges.
 
 A text is never handled as a whole: it is read in ranges with halos on both sides. Each range begins at a cut that both
-neighbours find alike (the first natural boundary at or after the range's edge, within the halo; else the edge), plans its
+neighbours find alike (the first natural boundary at or after the range's edge, within the halo; else one before; else the edge), plans its
 own cuts from there, and tells how many pieces and how much length it has. Piece numbers, and for files code point
 offsets, come from prefix sums over the ranges of an item. Pieces are emitted by offset from the range and its halo.
 
 Between cuts c and d lies the piece from c - overlap to d (from c for the first piece), so neighbours share exactly
 `overlap` code points and a piece has at most `limit`. The last of the strongest boundaries in reach is taken: blank line,
-line end, end of a sentence, end of a clause, white space; where there is none the cut is made at the limit, but not
-before a combining mark or joiner.
+line end, end of a sentence, end of a clause, white space, first in the last half of a step and then in its first half;
+where there is none in the whole step the cut is made at the limit, but not before a combining mark or joiner.
 
 Null and empty texts, and texts of at most `limit` code points, have no pieces. A null start counts as 0. Rows repeated
 whole are cut once. Pieces together cover the text; with overlaps dropped they give it back.
@@ -36,8 +36,8 @@ _BLANK = re.compile(r"\s")
 _TIED = "‍︎️"
 
 
-def best_cut(text: str, low: int, high: int) -> int:
-    """The cut c, low < c <= high, after which a new piece begins; text[c - 1] ends the old one."""
+def natural_cut(text: str, low: int, high: int) -> int | None:
+    """The last of the strongest boundaries c, low < c <= high, after which a new piece begins; text[c - 1] ends the old one. None if there is none."""
     window = text[low:high]
     for mark in ("\n\n", "\n"):
         if (at := window.rfind(mark)) >= 0:
@@ -48,14 +48,19 @@ def best_cut(text: str, low: int, high: int) -> int:
             pass
         if last:
             return low + last.end()
+    return None
+
+
+def hard_cut(text: str, low: int, high: int) -> int:
+    """The cut at high, or before it, so that it parts no combining mark or joiner."""
     c = high
     while c > low + 1 and c < len(text) and (text[c] in _TIED or text[c - 1] == "‍" or unicodedata.combining(text[c])):
         c -= 1
     return c
 
 
-def snapped(text: str, edge: int, reach: int) -> int:
-    """The first natural boundary at or after edge, within reach; else edge."""
+def snapped(text: str, edge: int, reach: int, back: int) -> int:
+    """The first natural boundary at or after edge, within reach; else the last of the strongest before it, within back; else edge."""
     window = text[edge : edge + reach]
     for mark in ("\n\n", "\n"):
         if (at := window.find(mark)) >= 0:
@@ -63,14 +68,18 @@ def snapped(text: str, edge: int, reach: int) -> int:
     for pattern in (_SENTENCE, _BLANK):
         if m := pattern.search(window):
             return edge + m.end()
-    return edge
+    return natural_cut(text, max(0, edge - back), edge) or edge
 
 
 def plan(text: str, begin: int, end: int, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
-    """Cuts after begin, the last at end. Steps are at most limit - overlap; a natural cut is sought in the last half of a step first."""
+    """Cuts after begin, the last at end. Steps are at most limit - overlap; a natural cut is sought in the last half of a step first, then in the first half.
+
+    No cut is made within the first overlap code points of the text, as neighbours share that many.
+    """
     step, out, p = limit - overlap, [], begin
     while end - p > step:
-        c = best_cut(text, p + step // 2, p + step)
+        half = p + step // 2
+        c = natural_cut(text, half, p + step) or natural_cut(text, max(p, overlap - 1), half) or hard_cut(text, half, p + step)
         out.append(c)
         p = c
     return [*out, end] if end > p else out
@@ -79,6 +88,8 @@ def plan(text: str, begin: int, end: int, limit: int = LIMIT, overlap: int = OVE
 def oversized_pieces(chunks: DataFrame, keys: tuple[str, ...] = ("document_id", "chunk_id"), text: str = "text", start: str = "start", limit: int = LIMIT, overlap: int = OVERLAP, range_size: int = RANGE) -> DataFrame:
     """(*keys, piece, text, start, end) of every text longer than limit; end is outside."""
     halo = 2 * limit
+    # less than what the cut of the edge before may reach, so that cuts of edges keep their order
+    back = max(0, min(limit - overlap, range_size - halo))
     big = chunks.select(*keys, F.col(text).cast("string").alias("_t"), F.coalesce(F.col(start), F.lit(0)).cast("bigint").alias("_s")).filter(F.length("_t") > limit)
     # the text itself tells rows of one key apart; its hash stands for it in the shuffle
     big = big.withColumn("_h", F.xxhash64("_t", "_s")).withColumn("_n", F.length("_t"))
@@ -93,8 +104,8 @@ def oversized_pieces(chunks: DataFrame, keys: tuple[str, ...] = ("document_id",
             rows = []
             for row in b.itertuples(index=False):
                 x, edge, n = row.x, int(row.edge) - int(row.at), int(row.n) - int(row.at)
-                begin = snapped(x, edge, halo) if row.r else 0
-                end = n if edge + range_size >= n else min(n, snapped(x, edge + range_size, halo))
+                begin = snapped(x, edge, halo, back) if row.r else 0
+                end = n if edge + range_size >= n else min(n, snapped(x, edge + range_size, halo, back))
                 c = begin
                 for k, d in enumerate(plan(x, begin, end, limit, overlap) if end > begin else []):
                     lo = max(0, c - overlap) if (row.r or k) else 0
@@ -116,6 +127,8 @@ def file_pieces(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
     """
     total, halo = os.path.getsize(path), 8 * limit
     ranges = -(-total // range_size)
+    # a range of bytes has a quarter as many code points at least
+    back = max(0, min(limit - overlap, range_size // 4 - limit))
     kinds = "r bigint, k int, text string, lo bigint, hi bigint, length bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,9 +141,9 @@ def file_pieces(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
                 skip = next((i for i in range(min(4, len(data))) if data[i] & 0xC0 != 0x80), 0) if at else 0
                 x = data[skip:].decode("utf-8", "replace")
                 inner = lambda pos: len(data[skip : pos - at].decode("utf-8", "ignore"))  # noqa: E731 - code points before a byte
-                begin = snapped(x, inner(r * range_size), limit) if r else 0
+                begin = snapped(x, inner(r * range_size), limit, back) if r else 0
                 last = (r + 1) * range_size >= total
-                end = len(x) if last else min(len(x), snapped(x, inner((r + 1) * range_size), limit))
+                end = len(x) if last else min(len(x), snapped(x, inner((r + 1) * range_size), limit, back))
                 rows, c = [], begin
                 for k, d in enumerate(plan(x, begin, end, limit, overlap) if end > begin else []):
                     lo = max(0, c - overlap) if (r or k) else 0

@@ -99,6 +99,27 @@ def test_pieces(spark):
     assert splitting.oversized_pieces(d.limit(0)).count() == 0
 
 
+def test_cut_before_long_run(spark):
+    prose = "Una frase. Otra frase termina aquí.\n"
+    text = "x" * 400 + "\n" + "y" * 100 + " " + "z" * 3000
+    assert splitting.plan(text, 0, len(text))[0] == 401
+    # a boundary in the first half only, behind a cut and at the start of the text
+    text = prose * 20 + "z" * 2000
+    cuts = splitting.plan(text, 0, len(text))
+    assert 20 * len(prose) in cuts and cuts[cuts.index(20 * len(prose)) + 1] == 20 * len(prose) + 650
+    text = prose * 8 + "z" * 2000
+    assert splitting.plan(text, 0, len(text))[0] == 8 * len(prose)
+    # neighbours share 200 code points even if the only boundary lies before
+    text = prose + "z" * 2000
+    assert splitting.plan(text, 0, len(text))[0] == 650
+    # a range's edge within the run
+    text = "a b. " * 390 + "z" * 9000
+    d = spark.createDataFrame([("d", "c", text, 0)], "document_id string, chunk_id string, text string, start int")
+    p = splitting.oversized_pieces(d, range_size=2000).orderBy("piece").collect()
+    assert 1950 in {x["end"] for x in p} and 2000 not in {x["end"] for x in p}
+    assert all(a["end"] - b["start"] == 200 for a, b in zip(p, p[1:])) and "".join([p[0]["text"], *[x["text"][200:] for x in p[1:]]]) == text
+
+
 @pytest.mark.parametrize("size", [5000, 1 << 20])
 def test_file(spark, tmp_path, size):
     r = random.Random(2)
