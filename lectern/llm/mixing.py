@@ -6,8 +6,9 @@ flow has one node for each pattern and source, whatever the number of documents,
 are then selected in a seeded order: all of a pattern for each whole copy, and for the rest those up to a cut in that order,
 found from a histogram of the order, so no source is sorted or gathered in one task.
 
-The total defaults to the largest at which every source that has tokens reaches its share, which is as near to the
-targets as the caps allow. With a total given, quotas beyond the caps stay unfilled and the report shows it.
+The total defaults to the largest at which every source that has tokens reaches its share, so the scarcest source decides
+the size of the mix. With a total given, quotas beyond the caps stay unfilled and the report shows it; the total WHOLE
+stands for all tokens of documents that may be taken, so that scarce sources stop at their caps and none shrinks the rest.
 Documents without a source, or with one that has no target, stay out. Null and empty texts have no tokens and are not
 taken. Repeated document ids count once. Without documents or targets the mix is empty, and the report lists the targets with nothing.
 """
@@ -24,6 +25,8 @@ from lectern.llm.tokens import VOCABULARY_DIR, token_counts
 from lectern.session import cut
 
 SEED = 20
+#: The total that stands for all tokens of the corpus with a source that has a share and copies.
+WHOLE = "whole"
 #: Parts of the seeded order in the histogram, and membership patterns that the driver routes at most.
 PARTS, MOST_PATTERNS = 4096, 20_000
 
@@ -91,7 +94,7 @@ def sized(documents: DataFrame, key: str = "doc_id", source: str = "source", tex
 class Mix:
     """A plan for one set of documents and targets: selected() and shares()."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, key: str = "doc_id", **how):
+    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, key: str = "doc_id", **how):
         self.key, self.docs = key, cut(sized(documents, key, **how))
         self.targets = {r["source"]: (float(r["target_share"]), max(0, int(r["max_repeats"] or 0))) for r in targets.filter("source is not null and target_share is not null").distinct().collect()}
         groups = self.docs.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).limit(MOST_PATTERNS + 1).collect()
@@ -100,6 +103,8 @@ class Mix:
         arcs = [(tuple(g["pattern"]), s, self.targets[s][1]) for g in groups for s in g["pattern"] if s in self.targets and self.targets[s][1]]
         self.supply = {p: n for g in groups if (p := tuple(g["pattern"])) in {a[0] for a in arcs} for n in [int(g["n"])]}
         reach = {s: sum(self.supply[p] * c for p, t, c in arcs if t == s) for s in self.targets}
+        if total_tokens == WHOLE:
+            total_tokens = sum(n for p, n in self.supply.items() if any(s in self.targets and min(self.targets[s]) > 0 for s in p))
         self.total = total_tokens if total_tokens is not None else self._largest(arcs, reach)
         self.flow = min_cost_flow(self.supply, arcs, {s: round(self.total * share) for s, (share, _) in self.targets.items() if reach[s]})
 

@@ -64,12 +64,16 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(_t(spark, d, "documents"))
 
 
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"), total_tokens=mixing.WHOLE)
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.Mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).selected()
+    return _mix(spark, d).selected()
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.Mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets")).shares()
+    return _mix(spark, d).shares()
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:

@@ -329,6 +329,19 @@ def test_mix(spark):
     assert {x["source"]: round(x["actual_share"], 1) for x in mixing.Mix(lists, t).shares().collect()} == {"big": 0.8, "small": 0.2, "none": 0.0}
 
 
+def test_scarce_source(spark, tmp_path):
+    # one short document of a source with a target must not shrink the mix of the others
+    r = random.Random(4)
+    docs = [(i, "big" if i < 200 else "other", passage(r, 40)) for i in range(300)] + [(300, "tiny", "una frase corta"), (301, "unused", passage(r, 9000)), (302, None, passage(r, 40))]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("big", 0.6, 1), ("other", 0.3, 2), ("tiny", 0.1, 3), ("unused", 0.0, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    got = {x["doc_id"]: x for x in queries.p8_mix(spark, str(tmp_path)).collect()}
+    assert got[300]["copies"] == 3 and not {301, 302} & got.keys() and len(got) > 250
+    share = {x["source"]: x for x in queries.p8_shares(spark, str(tmp_path)).collect()}
+    assert share["tiny"]["actual_share"] < 0.1 and share["tiny"]["most_copies"] == 3 and share["unused"]["tokens"] == 0
+    assert abs(share["big"]["tokens"] / share["other"]["tokens"] - 2) < 0.05
+
+
 # --- 9
 
 
