@@ -219,6 +219,15 @@ def test_incremental(spark, hot, monkeypatch):
         assert incremental.not_accepted(d.limit(0)).count() == 0
 
 
+def test_incremental_any_weights(spark, monkeypatch):
+    # no weights, however they are learned, keep a candidate from the exact check: a text against itself many times over
+    monkeypatch.setattr(incremental, "fit_weights", lambda x, y: np.array([0.0, 0.0, 0.0, -50.0]))
+    short = passage(random.Random(11), 40)
+    rows = [(1, short, 1), (2, " ".join([short] * 20), 2), (3, short + " " * 3000, 2), (4, passage(random.Random(12), 40), 2)]
+    d = spark.createDataFrame([(p, "u", None, t, b) for p, t, b in rows], "vector_pos bigint, uid string, document_id string, text string, batch_id int")
+    assert {x[0] for x in incremental.not_accepted(d).collect()} == walk([(p, t, b) for p, t, b in rows]) == {2, 3}
+
+
 # --- 4
 
 
