@@ -35,6 +35,7 @@ LAYERS, LEAST_DOCS, LEAST_SHARE, TIMES = 4, 3, 2e-5, 10
 CACHE_WORDS = 300_000
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_LOST_BYTE = re.compile("[\ufffd\x80-\x9f]")
 _OUTER = "".join(chr(i) for i in range(33, 128) if not chr(i).isalnum()) + "“”‘’«»¿¡–—…•"
 _COMMON = set("áéíóúüñàèìòùâêîôûãõäëïöçœæøåßÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÃÕÄËÏÖÇŒÆØÅ¿¡ºª“”‘’–—•…€™®©°±µ½¼¾²³¹×·«»§¶†£≤≥≈αβ")
 
@@ -228,7 +229,8 @@ class Repairer:
                 got = self._single(got) or got
             if "�" in got and (inner := got.strip(_OUTER)) in self.shapes:
                 got = got.replace(inner, self.shapes[inner], 1)
-            found = (got != word or _lost(word) and self.known.get(key_of(word), 0) < self.least * 20, got)
+            # lost bytes are garbled however many documents have the word; a capital within it may be the way it is written
+            found = (got != word or _LOST_BYTE.search(word) is not None or _lost(word) and self.known.get(key_of(word), 0) < self.least * 20, got)
             if len(self.met) >= CACHE_WORDS:
                 self.met.clear(), self.by.clear()
             self.met[word] = found

@@ -70,6 +70,12 @@ def test_encodings(spark):
     assert encodings.repaired(d.limit(0)).count() == 0
 
 
+def test_frequent_lost_bytes():
+    # lost bytes are found however many documents have the word; a frequent capital within a word is not
+    work = encodings.Repairer({"revisi\ufffdn": 5000, "pausi\x93n": 5000, "miÉl": 5000, "según": 9000})
+    assert work.garbled("la revisi\ufffdn") and work.garbled("la pausi\x93n") and not work.garbled("según miÉl")
+
+
 # --- 2
 
 
