@@ -14,8 +14,8 @@ from lectern.schemas import METRICS
 
 
 def summary(rows: DataFrame, dataset: str = "dataset", metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """(dataset, is_total, n, mean of each metric): a row for each dataset, and one over all questions (not a mean of means). Nulls don't count in a mean; no rows give the total row with n = 0."""
-    return rows.groupingSets([[F.col(dataset)], []], F.col(dataset)).agg(F.grouping(dataset).cast("int").alias("is_total"), F.count("*").alias("n"), *[F.avg(m).alias(m) for m in metrics])
+    """(dataset, is_total, n, mean of each metric): a row for each dataset, and one over all questions (not a mean of means). Nulls and NaN don't count in a mean, but their rows do in n; no rows give the total row with n = 0."""
+    return rows.groupingSets([[F.col(dataset)], []], F.col(dataset)).agg(F.grouping(dataset).cast("int").alias("is_total"), F.count("*").alias("n"), *[F.avg(F.when(~F.isnan(m), F.col(m))).alias(m) for m in metrics])
 
 
 def report(rows: DataFrame) -> str:

@@ -160,6 +160,14 @@ def test_summary(spark):
     assert (s["precision"], round(s["recall"], 6)) == (0.5, 0.333333)
 
 
+def test_summary_nan(spark):
+    m = evaluate.METRICS
+    nan = float("nan")
+    rows = spark.createDataFrame([("a", nan, *[1.0] * 7), ("a", *[0.0] * 8), ("b", *[nan] * 8)], "dataset string, " + ", ".join(f"{x} double" for x in m))
+    got = {(r["dataset"], r["is_total"]): (r["n"], r[m[0]], r[m[7]]) for r in evaluate.summary(rows).collect()}
+    assert got == {("a", 0): (2, 0.0, 0.5), ("b", 0): (1, None, None), (None, 1): (3, 0.0, 0.5)}
+
+
 def test_qa(spark):
     class Model:
         def reply(self, prompts):
