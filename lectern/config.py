@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from pathlib import Path
 
 
@@ -37,3 +37,9 @@ class Settings:
     accept_from: float = 0.6
     answer_temperature: float = 0.2
     answer_tokens: int = 600
+
+    @classmethod
+    def of(cls, values: dict[str, str]) -> Settings:
+        """Settings from values by name in capitals after LECTERN_ (LECTERN_TOP_K=8); those that aren't given keep their defaults."""
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        return cls(**{n: kind(values[k]) for n, kind in kinds.items() if (k := f"LECTERN_{n.upper()}") in values})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,13 +24,21 @@ def universal_newlines(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition. Spark has none, so a pandas function runs, but only texts with a character beyond U+02FF reach its work."""
+    """Canonical composition. Spark has none, so an Arrow function runs over batches.
 
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
+    Within it only texts with a character from U+0300 on become Python strings, as composition leaves all others as they are; a batch without one is handed back untouched.
+    """
+
+    @F.arrow_udf("string")
+    def compose(s: pa.Array) -> pa.Array:
         import unicodedata
 
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+        import pyarrow.compute as pc
+
+        may = pc.fill_null(pc.match_substring_regex(s, "[^\\x{00}-\\x{2FF}]"), False)
+        if not pc.any(may).as_py():
+            return s
+        return pc.replace_with_mask(s, may, pa.array([unicodedata.normalize("NFC", x) for x in s.filter(may).to_pylist()], s.type))
 
     return compose(c)
 
@@ -109,3 +118,19 @@ def uid(document: Column, chunk: Column) -> Column:
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^.]*$", "")
+
+
+def fixed(c: Column, digits: int, least: int | None = None) -> Column:
+    """A double with `digits` decimals (at least `least`, further zeros dropped), rounded half to even on its exact binary value: 2.675 gives 2.67, 0.0625 gives 0.062."""
+    least = digits if least is None else least
+    shape = "0" + ("." + "0" * least + "#" * (digits - least) if digits else "")
+    return F.call_function("format_number", c.cast("double"), F.lit(shape))
+
+
+def html_text(c: Column) -> Column:
+    """The text of an HTML page: scripts, styles, comments and tags out, the five named entities read, blanks squeezed."""
+    c = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
+    c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return strip(F.regexp_replace(c, rf"(?U)[{SPACE}]+", " "))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import spread
 
 #: Code points of a bucket in the range join.
 BUCKET = 800
+#: Rows of a lexicon up to which it goes to the workers as a whole.
+LEXICON_ROWS = 200_000
 #: Which entity labels feed which signal, fixed values.
 SIGNAL_LABELS = {"meds": ("CHEM",), "doses": ("Dose", "Strength"), "diso": ("DISO",), "forms": ("Form", "Route")}
 
@@ -22,12 +24,61 @@ def mentions(ner: DataFrame, key: str = "doc_id", entities: str = "entities") ->
     return one.select(key, F.posexplode("_e").alias("ord", "_m")).select(key, "ord", "_m.entity_group", "_m.word", "_m.start")
 
 
-def tag(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A gazetteer tagger: (key, ord, entity_group, word, start) of the tokens between spaces and line feeds that the lexicon (word, entity_group) has."""
-    tokens = spread(documents.select(key, text)).select(key, F.posexplode(F.split(text, r"[ \n]", -1)).alias("ord", "word"))
-    before = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int"))
-    return placed.join(lexicon.select("word", "entity_group"), "word").select(key, "ord", "entity_group", "word", "start")
+def tag(documents: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", bound: int = LEXICON_ROWS) -> DataFrame:
+    """A gazetteer tagger: (key, ord, entity_group, word, start) of the tokens between spaces and line feeds that the lexicon (word, entity_group) has.
+
+    A lexicon of at most `bound` rows, counted first, goes to the workers, and one pass finds its words; nothing is shuffled. A larger one
+    is joined: each text's distinct words meet it, and only those that it has are placed. Null texts have no mention.
+    """
+    lexicon = lexicon.select(F.col("word").cast("string").alias("word"), F.col("entity_group").cast("string").alias("entity_group")).filter("word is not null")
+    src = spread(documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).filter("_t is not null"))
+    kind = src.schema["_k"].dataType.simpleString()
+    rows = lexicon.limit(bound + 1).collect()
+    if len(rows) <= bound:
+        names: dict[str, list] = {}
+        for r in rows:
+            names.setdefault(r["word"], []).append(r["entity_group"])
+        return src.mapInArrow(_tagging(key, lambda batch: (batch, names)), _tagged(key, kind))
+    words = src.withColumn("_w", F.explode(F.array_distinct(F.split("_t", r"[ \n]", -1)))).select("_k", "_w")
+    # equal texts of one key are told apart by nothing, and needn't be: a key's words are those of all its rows
+    own = words.join(lexicon, words["_w"] == lexicon["word"]).groupBy("_k").agg(F.collect_list(F.struct("word", "entity_group")).alias("_l"))
+    return src.join(own.withColumn("_l", F.array_distinct("_l")), "_k").select("_k", "_t", "_l").mapInArrow(_tagging(key, _own_words), _tagged(key, kind))
+
+
+def _tagged(key: str, kind: str) -> str:
+    return f"`{key}` {kind}, ord int, entity_group string, word string, start int"
+
+
+def _own_words(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[dict]]:
+    """The words of each row's own list."""
+    every = []
+    for words in batch.column(2).to_pylist():
+        own: dict[str, list] = {}
+        for x in words:
+            own.setdefault(x["word"], []).append(x["entity_group"])
+        every.append(own)
+    return batch, every
+
+
+def _tagging(key: str, lexicon: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch, names = lexicon(batch)
+            row, number, group, word, start = [], [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                own = names[i] if isinstance(names, list) else names
+                tokens = t.replace("\n", " ").split(" ")
+                if own.keys().isdisjoint(tokens):
+                    continue
+                at = 0
+                for n, w in enumerate(tokens):
+                    if w in own:
+                        for g in own[w]:
+                            row.append(i), number.append(n), group.append(g), word.append(w), start.append(at)
+                    at += len(w) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(group, pa.string()), pa.array(word, pa.string()), pa.array(start, pa.int32())], names=[key, "ord", "entity_group", "word", "start"])
+
+    return run
 
 
 def run_tagger(documents: DataFrame, make: Callable[[], Callable[[str], list[dict]]], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,8 +118,12 @@ def assign(chunks: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFram
 def with_entities(chunks: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """chunks with an entities map; one without a mention has an empty map."""
     maps = assign(chunks, found.filter("entity_group is not null"), key).groupBy(key, "pos").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_group", "words")))).alias("entities"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
-    return chunks.join(maps, [key, "pos"], "left").withColumn("entities", F.coalesce("entities", empty))
+    return chunks.drop("entities").join(maps, [key, "pos"], "left").withColumn("entities", F.coalesce("entities", no_entities()))
+
+
+def no_entities() -> Column:
+    """An empty map of mentions."""
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
 
 
 def signals(entities: Column) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.functions import parsing
 from lectern.functions import text as tx
-from lectern.operators import answer, chunking, entities, evaluate, providers, qa, rerank, sections, vectors
-from lectern.session import spread
+from lectern.operators import answer, chunking, entities, evaluate, providers, qa, rerank, sections, vectors, vectortable
+from lectern.session import scratch, spread
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -57,9 +57,38 @@ def nfc_normalize(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", tx.nfc(apart).alias("text"))
 
 
-@query()
+_LATIN = "coalesce(CASE WHEN regexp_full_match({0}, '(?s)[\\x{{00}}-\\x{{FF}}]*') THEN TRY(decode(unhex(array_to_string(list_transform(string_split({0}, ''), lambda c: printf('%02X', unicode(c))), '')))) END, {0})"
+_AS_LATIN = "array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: chr(('0x' || h)::INT)), '')"
+
+
+@query(f"SELECT doc_id, {_LATIN.format('text')} AS text, {_LATIN.format('read_wrong')} AS undone FROM (SELECT doc_id, text, {_AS_LATIN} AS read_wrong FROM documents WHERE text <> '')")
 def undo_mojibake(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", tx.undo_mojibake(F.col("text")).alias("text"))
+    """The repair on the texts as they are, and on each of them read as Latin-1, where it gives the text back."""
+    t = _t(spark, d, "documents").filter("text <> ''")
+    wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return t.select("doc_id", tx.undo_mojibake(F.col("text")).alias("text"), tx.undo_mojibake(wrong).alias("undone"))
+
+
+@query("SELECT eval_id, qa_id, printf('%.3f', faithfulness) AS three, printf('%.2f', faithfulness / 8) AS two FROM (SELECT DISTINCT eval_id, qa_id, faithfulness FROM eval_metrics) WHERE faithfulness IS NOT NULL AND NOT isnan(faithfulness)")
+def display_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores as they are shown: rounded on their exact binary value."""
+    e = _t(spark, d, "eval_metrics").select("eval_id", "qa_id", "faithfulness").distinct().filter("faithfulness is not null and not isnan(faithfulness)")
+    return e.select("eval_id", "qa_id", F.replace(tx.fixed(F.col("faithfulness"), 3), F.lit(","), F.lit("")).alias("three"), F.replace(tx.fixed(F.col("faithfulness") / 8, 2), F.lit(","), F.lit("")).alias("two"))
+
+
+_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_PAGE_SQL = "'<html><style>p {a: b}</style><!-- x -->' || chr(10) || '<p class=\"a\">' || text || '</p>&amp;lt;&nbsp;<script>if (a<b) 1</script ></html>'"
+for _pattern in (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", r"(?s)<[^>]*>"):
+    _PAGE_SQL = f"regexp_replace({_PAGE_SQL}, '{_pattern}', ' ', 'g')"
+for _name, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    _PAGE_SQL = f"replace({_PAGE_SQL}, '{_name}', '{_sign}')"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace({_PAGE_SQL}, '{_BLANKS}', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL")
+def html_page_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of pages; each text is set into a page first."""
+    page = F.concat(F.lit('<html><style>p {a: b}</style><!-- x -->\n<p class="a">'), "text", F.lit("</p>&amp;lt;&nbsp;<script>if (a<b) 1</script ></html>"))
+    return _t(spark, d, "documents").filter("text is not null").select("doc_id", tx.html_text(page).alias("text"))
 
 
 _TOKENS = r"""list_distinct(list_filter(regexp_split_to_array(translate(lower(coalesce(answer, '')), '.,;:()[]"''¿?¡!' || chr(10) || chr(9), '                '), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''))"""
@@ -168,13 +197,15 @@ def tag_entities(spark: SparkSession, d: str) -> DataFrame:
 _HEADS = ("composi", "conserva", "adverten", "resum", "warnings", "storage")
 
 
-@query(f"""
-    WITH l AS (SELECT doc_id, i AS pos, t[i] AS line, translate(lower(trim(t[i], ' ' || chr(9) || chr(160))), 'áéíóúñ', 'aeioun') AS clean FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS r(i)),
+_SECTIONS_SQL = f"""WITH l AS (SELECT doc_id, i AS pos, t[i] AS line, translate(lower(trim(t[i], ' ' || chr(9) || chr(160))), 'áéíóúñ', 'aeioun') AS clean FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL), unnest(range(1, len(t) + 1)) AS r(i)),
     h AS (SELECT *, regexp_matches(clean, '^({'|'.join(_HEADS)})') AS head FROM l),
     r AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM h),
     s AS (SELECT doc_id, run, max(CASE WHEN head THEN regexp_extract(clean, '^\\S+') END) AS title, string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY pos) AS body, count(*) FILTER (NOT head) AS n FROM r WHERE run > 0 GROUP BY doc_id, run HAVING count(*) FILTER (NOT head) > 0),
-    k AS (SELECT *, min(run) OVER (PARTITION BY doc_id, title) AS first, max(run) OVER (PARTITION BY doc_id, title) AS last FROM s)
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS ord, title, md5(body) AS body FROM k WHERE run = last""")
+    k AS (SELECT *, min(run) OVER (PARTITION BY doc_id, title) AS first, max(run) OVER (PARTITION BY doc_id, title) AS last FROM s),
+    o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS ord, title, body FROM k WHERE run = last)"""
+
+
+@query(_SECTIONS_SQL + " SELECT doc_id, ord, title, md5(body) AS body FROM o")
 def split_sections(spark: SparkSession, d: str) -> DataFrame:
     s = sections.split_sections(_t(spark, d, "documents"), headings=_HEADS)
     return s.withColumn("body", F.md5("body"))
@@ -243,6 +274,20 @@ def index_append(spark: SparkSession, d: str) -> DataFrame:
     return vectors.next_positions(m.filter("batch_id = 1"), new, ["batch_id", "old"]).select("vector_pos", "uid", "old")
 
 
+@query("""
+    WITH m AS (SELECT uid, text, vector_pos AS old, batch_id > 1 AS later FROM metadata),
+    p AS (SELECT *, row_number() OVER (ORDER BY later, uid, old) - 1 AS vector_pos FROM m)
+    SELECT vector_pos, uid, old, text FROM p WHERE later OR uid IS NULL OR uid NOT IN (SELECT uid FROM m WHERE later AND uid IS NOT NULL)""")
+def vector_table(spark: SparkSession, d: str) -> DataFrame:
+    """A written vector table: the first load, then all later batches, which replace the rows of their uids."""
+    m = _t(spark, d, "metadata").select("uid", F.col("vector_pos").alias("old"), "text", "batch_id")
+    m = spread(m).withColumn("embedding", providers.embedding(F.col("text")))
+    at = scratch(spark, "vectors")
+    vectortable.append(at, m.filter("batch_id = 1").drop("batch_id"), order=("uid", "old"))
+    vectortable.append(at, m.filter("batch_id > 1").drop("batch_id"), order=("uid", "old"), upsert=True)
+    return vectortable.load(spark, at).select("vector_pos", "uid", "old", "text")
+
+
 @query("SELECT uid, max(vector_pos) AS position FROM metadata GROUP BY uid")
 def mapping_latest(spark: SparkSession, d: str) -> DataFrame:
     return vectors.latest_positions(_t(spark, d, "metadata"))
@@ -294,29 +339,71 @@ def answer_status(spark: SparkSession, d: str) -> DataFrame:
 _EDGE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+_SHOWN = "CASE WHEN vector_pos % 1000 = 0 THEN '0.0' ELSE rtrim(printf('%.3f', (vector_pos % 1000) / 1000.0), '0') END"
+
+
 @query(f"""
-    SELECT document_id, string_agg('[Fuente ' || i || ' | documento: ' || document_id || ' | chunk: ' || coalesce(chunk_id, '?') || ' | score (similitud vectorial): 0.5]' || chr(10) || regexp_replace(regexp_replace(coalesce(text, ''), '^{_EDGE}', ''), '{_EDGE}$', '') || chr(10), chr(10) ORDER BY i) AS block
+    SELECT document_id, string_agg('(pasaje ' || i || ', de ' || document_id || ', parte ' || coalesce(chunk_id, '?') || ', parecido ' || {_SHOWN} || ')' || chr(10) || regexp_replace(regexp_replace(coalesce(text, ''), '^{_EDGE}', ''), '{_EDGE}$', '') || chr(10), chr(10) ORDER BY i) AS block
     FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY vector_pos) AS i FROM metadata QUALIFY i <= 5) GROUP BY document_id""")
 def context_block(spark: SparkSession, d: str) -> DataFrame:
-    """The context of the first five passages of each leaflet: a top five, as of a question."""
+    """The context of the first five passages of each leaflet: a top five, as of a question, with scores that stand for its own."""
     from pyspark.sql import Window
 
     m = _t(spark, d, "metadata").withColumn("i", F.row_number().over(Window.partitionBy("document_id").orderBy("vector_pos"))).filter("i <= 5")
-    hits = m.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("i", "document_id", "chunk_id", "text", F.lit(0.5).alias("score")))).alias("hits"))
+    hits = m.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("i", "document_id", "chunk_id", "text", (F.col("vector_pos") % 1000 / 1000.0).alias("score")))).alias("hits"))
     return hits.select("document_id", answer.context_block(F.col("hits")).alias("block"))
 
 
-_MEANS = ", ".join(f"round(avg({m}), 9) AS {m}" for m in schemas.METRICS)
+_LISTED = lambda labels: f"coalesce(nullif(array_to_string(list_transform(list_filter(coalesce(entities, []), lambda e: e.entity_group IN ({labels})), lambda e: lower(coalesce(e.word, ''))), ', '), ''), 'ninguno')"
+
+
+@query(f"""
+    SELECT doc_id, 'Pregunta: <Q>¿' || document_id || '?</Q>' || chr(10) || 'Medicamentos: ' || {_LISTED("'CHEM'")} || chr(10) || 'Patologías y síntomas: ' || {_LISTED("'DISO'")} || chr(10) || 'Formas y vías: ' || {_LISTED("'Form', 'Route'")}
+        || chr(10) || chr(10) || '<contexto>' || chr(10) || document_id || chr(10) || '</contexto>' || chr(10) || chr(10) || 'Responde de forma clara y breve.' AS prompt FROM ner_entities""")
+def user_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that name what a question mentions; the name of the leaflet stands for question and context."""
+    n = _t(spark, d, "ner_entities")
+    return n.select("doc_id", answer.user_prompt(F.concat(F.lit("¿"), "document_id", F.lit("?")), F.col("document_id"), entities.signals(F.col("entities"))).alias("prompt"))
+
 
+_LEX = (("dosis", "TERM"), ("dose", "TERM"), ("medicamento", "CHEM"), ("días", "TIME"), ("days", "TIME"))
 
-@query(f"SELECT dataset, grouping(dataset)::INT AS is_total, count(*) AS n, {_MEANS} FROM (SELECT DISTINCT * FROM eval_metrics) WHERE NOT coalesce(isnan(faithfulness + answer_relevance + context_relevance + context_precision + context_recall + bert_precision + bert_recall + bert_f1), false) GROUP BY GROUPING SETS ((dataset), ())")
+
+@query(f"""
+    SELECT qa_id, CAST(len(list_filter(regexp_extract_all(question, '[\\p{{L}}\\p{{N}}]+(?:-[\\p{{L}}\\p{{N}}]+)*'), lambda w: lower(w) IN ({', '.join(repr(w) for w, _ in _LEX)}))) AS BIGINT) AS mentions
+    FROM (SELECT DISTINCT qa_id, question FROM qa_pairs WHERE question IS NOT NULL)""")
+def tag_questions(spark: SparkSession, d: str) -> DataFrame:
+    """What questions mention, by a tagger that runs in the workers."""
+    q = _t(spark, d, "qa_pairs").select(F.col("qa_id").alias("query_id"), "question").filter("question is not null").distinct()
+    got = answer.tag_questions(q, lambda: providers.LexiconTagger(_LEX))
+    return got.select(F.col("query_id").alias("qa_id"), F.size("entities").cast("bigint").alias("mentions"))
+
+
+_MEANS = ", ".join(f"round(avg(CASE WHEN NOT isnan({m}) THEN {m} END), 9) AS {m}" for m in schemas.METRICS)
+
+
+@query(f"SELECT dataset, grouping(dataset)::INT AS is_total, count(*) AS n, {_MEANS} FROM (SELECT DISTINCT * FROM eval_metrics) GROUP BY GROUPING SETS ((dataset), ())")
 def metric_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Means of the rows without NaN, each row once."""
-    e = _t(spark, d, "eval_metrics").distinct().filter(~F.coalesce(F.isnan(sum((F.col(m) for m in schemas.METRICS[1:]), F.col(schemas.METRICS[0]))), F.lit(False)))
-    s = evaluate.summary(e)
+    """Means of the values that are there and no NaN, each row once."""
+    s = evaluate.summary(_t(spark, d, "eval_metrics").distinct())
     return s.select("dataset", "is_total", "n", *[F.round(m, 9).alias(m) for m in schemas.METRICS])
 
 
+_LIST = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}.,;:()\[\]\"''¿?¡!]+'), lambda x: x <> '')"
+_BUCKETS = "list_transform({}, lambda w: ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64)"
+
+
+@query(f"""
+    WITH b AS (SELECT qa_id, {_BUCKETS.format(_LIST.format('answer'))} AS a, {_BUCKETS.format(_LIST.format('question'))} AS q FROM (SELECT DISTINCT qa_id, question, answer FROM qa_pairs)),
+    s AS (SELECT qa_id, CASE WHEN len(a) > 0 AND len(q) > 0 THEN len(list_filter(a, lambda x: list_contains(q, x))) / len(a) ELSE 0.0 END AS p, CASE WHEN len(a) > 0 AND len(q) > 0 THEN len(list_filter(q, lambda x: list_contains(a, x))) / len(q) ELSE 0.0 END AS r FROM b)
+    SELECT qa_id, round((p - 0.1) / 0.9, 6) + 0.0 AS "precision", round((r - 0.1) / 0.9, 6) + 0.0 AS recall, round((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END - 0.2) / 0.8, 6) + 0.0 AS f1 FROM s""")
+def bert_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of token vectors between answer and question, rescaled; the embedder without a network gives each token the unit vector of its bucket."""
+    q = _t(spark, d, "qa_pairs").select("qa_id", "question", "answer").distinct()
+    s = spread(q).select("qa_id", evaluate.bert_score(F.col("answer"), F.col("question"), baseline=(0.1, 0.1, 0.2)).alias("s"))
+    return s.select("qa_id", *[(F.round(f"s.{n}", 6) + F.lit(0.0)).alias(n) for n in ("precision", "recall", "f1")])
+
+
 _REPLIES = ('{"score": 0.7}', 'x {"score": 1.5} y', '{"a": {"score": 1}}', '{"score": "0.7"}', '{"score": null}', "{}", "no", '{"score": -1}', 'a {"score":0.2} {"score":0.9}', '{"score":1} xx', '[{"question":"a","answer":"b"}] z', "] [")
 
 
@@ -341,14 +428,23 @@ def parse_validation_score(spark: SparkSession, d: str) -> DataFrame:
     return _replies(spark, d).select("event_id", parsing.validation_score(F.col("reply")).alias("score"))
 
 
-@query(f"SELECT event_id FROM {_REPLIED} WHERE (CASE WHEN regexp_full_match(reply, '\\s*\\{{.*\\}}\\s*') THEN {_json_score('reply')} ELSE 0.0 END) >= 0.6")
+_CHECKED = """'{"faithful": true, "score": 0.' || lpad(CAST(eval_id * 37 % 1000 AS VARCHAR), 3, '0') || '}'"""
+
+
+@query(f"SELECT eval_id FROM (SELECT DISTINCT eval_id, {_CHECKED} AS reply FROM eval_metrics) WHERE {_json_score('reply')} >= 0.6")
 def qa_accept_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _replies(spark, d).filter(parsing.accepted(parsing.validation_score(F.col("reply")))).select("event_id")
+    """Replies of a check on both sides of the threshold."""
+    reply = F.concat(F.lit('{"faithful": true, "score": 0.'), F.lpad((F.col("eval_id") * 37 % 1000).cast("string"), 3, "0"), F.lit("}"))
+    checked = _t(spark, d, "eval_metrics").select("eval_id", reply.alias("reply")).distinct()
+    return checked.filter(parsing.accepted(parsing.validation_score(F.col("reply")))).select("eval_id")
 
 
-@query(f"SELECT event_id, CASE WHEN reply LIKE '[{{%' THEN 1 ELSE 0 END AS pairs FROM {_REPLIED}")
+@query("SELECT qa_id, question, answer FROM (SELECT DISTINCT qa_id, question, answer FROM qa_pairs) WHERE question IS NOT NULL AND answer IS NOT NULL")
 def extract_qa_json(spark: SparkSession, d: str) -> DataFrame:
-    return _replies(spark, d).select("event_id", F.size(parsing.qa_pairs(F.col("reply"))).alias("pairs"))
+    """Pairs out of replies that hold them in an array between other text; one without question or answer is left out."""
+    q = _t(spark, d, "qa_pairs").select("qa_id", "question", "answer").distinct()
+    reply = F.concat(F.lit("Aquí: "), F.to_json(F.array(F.struct("question", "answer"))), F.lit("\n} fin"))
+    return q.select("qa_id", F.explode(parsing.qa_pairs(reply)).alias("p")).select("qa_id", "p.question", "p.answer")
 
 
 # --- whole ways, with the deterministic providers
@@ -357,13 +453,33 @@ def extract_qa_json(spark: SparkSession, d: str) -> DataFrame:
 def _retrieved(spark: SparkSession, d: str) -> DataFrame:
     m = _t(spark, d, "metadata").filter("text is not null and text <> ''")
     table = spread(m.select("vector_pos", "document_id", "chunk_id", "text")).select("vector_pos", "document_id", "chunk_id", "text", providers.embedding(F.col("text")).alias("embedding"))
-    none = F.array().cast("array<struct<entity_group:string,word:string,start:int>>")
+    none = F.array().cast(schemas.ENTITIES)
     drug = F.regexp_extract("question", r"([A-Z][a-z]{6,}(?:-q)?)", 1)
     mention = F.array(F.struct(F.lit("CHEM").alias("entity_group"), drug.alias("word"), F.lit(0).alias("start")))
     q = _t(spark, d, "qa_pairs").filter("qa_id % 50 = 0 and question is not null").dropDuplicates(["qa_id"])
     return answer.retrieve(q.select(F.col("qa_id").alias("query_id"), "question", F.when(drug != "", mention).otherwise(none).alias("entities")), table)
 
 
+_BAGS = "SELECT {0}, {1} AS b, count(*)::DOUBLE AS c FROM (SELECT {0}, unnest(list_distinct({2})) AS w FROM {3}) GROUP BY ALL"
+
+
+@query(f"""
+    WITH q AS (SELECT DISTINCT qa_id AS query_id, question, regexp_extract(question, '([A-Z][a-z]{{6,}}(?:-q)?)', 1) AS drug FROM qa_pairs WHERE qa_id % 50 = 0 AND question IS NOT NULL),
+    m AS (SELECT vector_pos, text FROM metadata WHERE text <> ''),
+    x AS ({_BAGS.format('query_id', "('0x' || substr(md5(w), 1, 8))::UBIGINT % 64", _LIST.format('question'), 'q')}),
+    y AS ({_BAGS.format('vector_pos', "('0x' || substr(md5(w), 1, 8))::UBIGINT % 64", _LIST.format('text'), 'm')}),
+    nx AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM x GROUP BY 1), ny AS (SELECT vector_pos, sqrt(sum(c * c)) AS n FROM y GROUP BY 1),
+    s AS (SELECT query_id, vector_pos, sum(x.c * y.c) AS dot FROM x JOIN y USING (b) GROUP BY 1, 2),
+    t AS (SELECT query_id, vector_pos, round(dot / nx.n / ny.n, 6) AS score FROM s JOIN nx USING (query_id) JOIN ny USING (vector_pos)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_pos) AS vec_rank FROM t QUALIFY vec_rank <= 5),
+    r AS (SELECT k.*, CASE WHEN drug <> '' THEN 2 * contains(lower(text), lower(drug))::INT ELSE -1 END AS rerank_score FROM k JOIN q USING (query_id) JOIN m USING (vector_pos))
+    SELECT query_id, vector_pos, score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY greatest(rerank_score, 0) DESC, score DESC, vec_rank) AS final_rank FROM r""")
+def rag_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of questions by hashed words, reranked by the drug that they name; -1 stands for no rerank score."""
+    h = _retrieved(spark, d).select("query_id", F.explode("hits").alias("h"))
+    return h.select("query_id", "h.vector_pos", "h.score", F.coalesce("h.rerank_score", F.lit(-1)).alias("rerank_score"), "h.final_rank")
+
+
 def _model() -> providers.Extractive:
     return providers.Extractive(answer.ABSTENTION)
 
@@ -381,23 +497,27 @@ def rag_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 
 class _Maker:
-    """Makes one pair of each section, from its first line."""
+    """Makes one pair of each section, from its first line; its check scores a pair by the last figure of the answer's length."""
 
-    def reply(self, prompts: list[str]) -> list[str]:
+    def reply(self, conversations: list, temperature: float, most_tokens: int | None) -> list[str]:
         import json
 
         out = []
-        for p in prompts:
+        for (message,) in conversations:
+            p = message["content"]
             if "{score}" in p:
-                out.append('{"faithful": true, "score": 0.9}')
+                out.append('{"faithful": true, "score": 0.%d}' % (len(p.split("<A>")[1].split("</A>")[0]) % 10))
             else:
                 body = p.split("TEXTO:\n")[-1].strip().split("\n")[0]
                 out.append("Aquí: " + json.dumps([{"question": "¿Qué dice la sección?", "answer": body}], ensure_ascii=False) if body else "nada")
         return out
 
 
-@query()
+@query(f"""
+    {_SECTIONS_SQL}, f AS (SELECT doc_id, title, string_split(regexp_replace(regexp_replace(body, '^{_EDGE}', ''), '{_EDGE}$', ''), chr(10))[1] AS answer FROM o)
+    SELECT doc_id, title, '¿Qué dice la sección?' AS question, answer, (length(answer) % 10) / 10.0 AS score FROM f WHERE answer <> '' AND length(answer) % 10 >= 6""")
 def qa_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs made of sections, and the ones among them that the check accepts."""
     return qa.build(sections.split_sections(_t(spark, d, "documents"), headings=_HEADS), _Maker)
 
 

@@ -45,10 +45,12 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a local one is made and set.
+    Only where the session has none and runs on one machine (tests) a local one is made and set; on a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -31,6 +31,18 @@ def join_pages(pages: DataFrame, key: str = "path") -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", page.alias("t")))), lambda x: x["t"]), "").alias("text"))
 
 
+def pages_to_documents(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]], to: str | None = None) -> DataFrame:
+    """(document_id, text): the pages of binary documents extracted, put together and cleaned, and written as well if `to` is given. The file's name without extension is the document."""
+    text = join_pages(read_pages(spark, path, extract))
+    name = tx.stem(F.element_at(F.split("path", "/"), -1))
+    return write_texts(text.select(name.alias("document_id"), tx.normalize(F.col("text")).alias("text")), to)
+
+
+def plain_pages(content: bytes) -> list[str]:
+    """Pages of a plain text, parted by form feeds."""
+    return content.decode("utf-8", "replace").split("\f")
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, text) of whole UTF-8 files; every kind of line end becomes a line feed, the name without extension the id."""
     raw = spark.read.text(path, wholetext=True).select("_metadata.file_name", "value")
@@ -52,7 +64,8 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CHUNK).json(path, multiLine=True).select(tx.stem(F.col("_metadata.file_name")).alias("document_id"), "*")
 
 
-def read_qa(spark: SparkSession, path: str) -> DataFrame:
+def read_qa(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(dataset, question, answer) of JSON array files; a missing file is an error."""
     return spark.read.schema(schemas.QA_PAIR).json(path, multiLine=True).select(F.col("_metadata.file_name").alias("dataset"), "*")
 
 
@@ -71,7 +84,8 @@ def write_qa_csv(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_texts(documents: DataFrame, path: str | None) -> DataFrame:
-    """Writes if there is a path, and gives the documents back either way."""
-    if path:
-        documents.write.mode("overwrite").parquet(path)
-    return documents
+    """Writes if there is a path, and gives the documents (then as written) back either way."""
+    if not path:
+        return documents
+    documents.write.mode("overwrite").parquet(path)
+    return documents.sparkSession.read.parquet(path)

@@ -14,7 +14,7 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
-@pytest.mark.parametrize("name", sorted(set(entry.catalog.oracle_sql()) - {"tag_entities"}))
+@pytest.mark.parametrize("name", sorted(entry.catalog.oracle_sql()))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
     for p in DATA.glob("*.parquet"):

@@ -71,3 +71,15 @@ def test_pairs(spark):
         assert one(spark, parsing.qa_pairs, bad) == []
     rows = spark.createDataFrame([(0.6,), (0.59,), (float("nan"),)], "s double").filter(parsing.accepted(F.col("s"))).collect()
     assert [r["s"] for r in rows] == [0.6]
+
+
+def test_fixed(spark):
+    d = spark.createDataFrame([(2.675, 0.0625), (0.5, 1 / 3), (-0.0005, 1.0)], "a double, b double")
+    got = [tuple(r) for r in d.select(text.fixed(F.col("a"), 2), text.fixed(F.col("b"), 3), text.fixed(F.col("b"), 3, 1)).collect()]
+    assert [g[:2] for g in got] == [(f"{a:.2f}", f"{b:.3f}") for a, b in ((2.675, 0.0625), (0.5, 1 / 3), (-0.0005, 1.0))] and [g[2] for g in got] == ["0.062", "0.333", "1.0"]
+
+
+def test_nfc_batches(spark):
+    d = spark.createDataFrame([(1, "e\u0301"), (2, None), (3, "ascii"), (4, "ñandú"), (5, "")], "k int, t string").coalesce(1)
+    assert [r[0] for r in d.orderBy("k").select(text.nfc(F.col("t"))).collect()] == ["é", None, "ascii", "ñandú", ""]
+    assert d.filter("k > 1").orderBy("k").select(text.nfc(F.col("t"))).first()[0] is None
