@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import answers, encodings, incremental, mixing, nearcopies, scans, splitting, subjects, tokens
+from lectern.session import scratch
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,6 +31,25 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_pieces(_t(spark, d, "chunks"))
 
 
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized text put together from its pieces again, how many of them are too long, and how many don't share 200 code points with the one before."""
+    p = splitting.oversized_pieces(_t(spark, d, "chunks")).withColumn("piece", F.col("piece").cast("int"))
+    both = p.groupBy("document_id", "chunk_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("piece", "text", "start", "end"))).alias("p"))
+    new = F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], F.lit(splitting.OVERLAP + 1), F.length(x["text"]))))
+    apart = F.size(F.filter("p", lambda x, i: (i > 0) & (F.coalesce(F.get("p", i - 1)["end"] - x["start"], F.lit(-1)) != splitting.OVERLAP)))
+    long = F.size(F.filter("p", lambda x: (F.length(x["text"]) > splitting.LIMIT) | (F.length(x["text"]) != x["end"] - x["start"])))
+    return both.select("document_id", "chunk_id", F.md5(F.array_join(new, "")).alias("whole"), long.cast("bigint").alias("too_long"), apart.cast("bigint").alias("apart"))
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """The oversized texts as files cut by byte ranges: code points that the pieces cover, pieces that are too long, places where two don't share 200."""
+    at = scratch(spark, "files")
+    _t(spark, d, "chunks").filter("length(text) > 850").select("text").write.text(at)
+    p = splitting.file_pieces(spark, at, range_size=1 << 16)
+    one = p.groupBy("file").agg(F.max("end").alias("n"), F.sum((F.col("end") - F.col("start")) - F.when(F.col("piece") > 0, splitting.OVERLAP).otherwise(0)).alias("covered"), F.sum((F.length("text") > splitting.LIMIT).cast("int")).alias("too_long"))
+    return one.agg(F.sum("covered").alias("covered"), F.sum("n").alias("code_points"), F.sum("too_long").alias("too_long"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.similar_pairs(_t(spark, d, "metadata"), "vector_pos")
 
@@ -91,13 +111,15 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_defects, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)
+    every = (p1_found, p1_repaired, p2_found, p2_pieces, p2_rejoined, p2_files, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_defects, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": "SELECT DISTINCT document_id, chunk_id FROM chunks WHERE length(text) > 850",
+        "p2_rejoined": "SELECT document_id, chunk_id, md5(text) AS whole, 0::BIGINT AS too_long, 0::BIGINT AS apart FROM (SELECT DISTINCT document_id, chunk_id, text, coalesce(\"start\", 0) AS s FROM chunks WHERE length(text) > 850)",
+        "p2_files": "SELECT sum(length(text) + 1)::BIGINT AS covered, sum(length(text) + 1)::BIGINT AS code_points, 0::BIGINT AS too_long FROM chunks WHERE length(text) > 850",
         "p3_found": """
             WITH w AS (SELECT vector_pos, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+') AS w FROM metadata WHERE text IS NOT NULL),
             s AS (SELECT DISTINCT vector_pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS r(i) WHERE len(w) >= 3),

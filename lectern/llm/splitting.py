@@ -1,9 +1,10 @@
 """Cutting oversized texts and files into pieces at natural boundaries, with overlap, by ranges.
 
-A text is never handled as a whole: it is read in ranges with halos on both sides. Each range begins at a cut that both
-neighbours find alike (the first natural boundary at or after the range's edge, within the halo; else one before; else the edge), plans its
-own cuts from there, and tells how many pieces and how much length it has. Piece numbers, and for files code point
-offsets, come from prefix sums over the ranges of an item. Pieces are emitted by offset from the range and its halo.
+Texts up to the size of a range are cut where they are. Longer ones, and files, are read in ranges with halos on both sides, each
+in a task of its own. A range begins at a cut that both neighbours find alike (the first natural boundary at or after the range's
+edge, within the halo; else one before; else the edge), plans its own cuts from there, and tells how many pieces and how much length
+it has. From this table of boundaries, one row for each range, prefix sums give the numbers of the pieces and, for files, code point
+offsets. Pieces are written once with their range and emitted by offset.
 
 Between cuts c and d lies the piece from c - overlap to d (from c for the first piece), so neighbours share exactly
 `overlap` code points and a piece has at most `limit`. The last of the strongest boundaries in reach is taken: blank line,
@@ -11,20 +12,21 @@ line end, end of a sentence, end of a clause, white space, first in the last hal
 where there is none in the whole step the cut is made at the limit, but not before a combining mark or joiner.
 
 Null and empty texts, and texts of at most `limit` code points, have no pieces. A null start counts as 0. Rows repeated
-whole are cut once. Pieces together cover the text; with overlaps dropped they give it back.
+whole are cut once. Pieces together cover the text; with overlaps dropped they give it back. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.session import cut
+
 #: Most code points of a piece, and code points that neighbours share.
 LIMIT, OVERLAP = 850, 200
 #: Code points (bytes for files) of a range; the halo is at least the limit.
@@ -85,76 +87,143 @@ def plan(text: str, begin: int, end: int, limit: int = LIMIT, overlap: int = OVE
     return [*out, end] if end > p else out
 
 
+def range_cuts(x: str, edge: int, next_edge: int | None, first: bool, halo: int, back: int, limit: int, overlap: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """(begin, end, [(from, to) of each piece]) of the range from edge to next_edge (None: to the end of x), in places of x, which holds the range and its halos."""
+    begin = 0 if first else snapped(x, edge, halo, back)
+    end = len(x) if next_edge is None else min(len(x), snapped(x, next_edge, halo, back))
+    out, c = [], begin
+    for d in plan(x, begin, end, limit, overlap) if end > begin else []:
+        out.append((max(0, c - overlap) if out or not first else 0, d))
+        c = d
+    return begin, end, out
+
+
+def _numbers(counts: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
+    """counts, with the sum of each column over the ranges before it: {column: name of its sum}."""
+    before = Window.partitionBy(*by).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*by, "r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in sums.items()])
+
+
 def oversized_pieces(chunks: DataFrame, keys: tuple[str, ...] = ("document_id", "chunk_id"), text: str = "text", start: str = "start", limit: int = LIMIT, overlap: int = OVERLAP, range_size: int = RANGE) -> DataFrame:
-    """(*keys, piece, text, start, end) of every text longer than limit; end is outside."""
+    """(*keys, text_id, piece, text, start, end) of every text longer than limit; end is outside. text_id tells different texts of one key apart."""
     halo = 2 * limit
     # less than what the cut of the edge before may reach, so that cuts of edges keep their order
     back = max(0, min(limit - overlap, range_size - halo))
-    big = chunks.select(*keys, F.col(text).cast("string").alias("_t"), F.coalesce(F.col(start), F.lit(0)).cast("bigint").alias("_s")).filter(F.length("_t") > limit)
-    # the text itself tells rows of one key apart; its hash stands for it in the shuffle
-    big = big.withColumn("_h", F.xxhash64("_t", "_s")).withColumn("_n", F.length("_t"))
-    ranges = big.select(*keys, "_s", "_h", "_n", F.posexplode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(range_size))).alias("_r", "_from"), "_t")
-    ranges = ranges.select(*keys, "_s", "_h", "_n", "_r", "_from", F.greatest(F.col("_from") - halo, F.lit(0)).alias("_at"), F.expr(f"substring(_t, greatest(_from - {halo}, 0) + 1, {range_size + 3 * halo})").alias("_x"))
     names = [f"k{i}" for i in range(len(keys))]
-    kinds = ", ".join(f"{n} {chunks.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
-    src = ranges.toDF(*names, "s", "h", "n", "r", "edge", "at", "x")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for row in b.itertuples(index=False):
-                x, edge, n = row.x, int(row.edge) - int(row.at), int(row.n) - int(row.at)
-                begin = snapped(x, edge, halo, back) if row.r else 0
-                end = n if edge + range_size >= n else min(n, snapped(x, edge + range_size, halo, back))
-                c = begin
-                for k, d in enumerate(plan(x, begin, end, limit, overlap) if end > begin else []):
-                    lo = max(0, c - overlap) if (row.r or k) else 0
-                    rows.append((*row[: len(names)], row.s, row.h, row.r, k, x[lo:d], lo + int(row.at), d + int(row.at)))
-                    c = d
-            yield pd.DataFrame(rows, columns=[*names, "s", "h", "r", "k", "text", "lo", "hi"])
-
-    out = src.mapInPandas(run, f"{kinds}, s bigint, h bigint, r int, k int, text string, lo bigint, hi bigint")
-    one = out.dropDuplicates([*names, "h", "r", "k"])
-    counts = Window.partitionBy(*names, "h").orderBy("r", "k")
-    numbered = one.withColumn("piece", F.row_number().over(counts) - 1)
-    return numbered.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "piece", "text", (F.col("s") + F.col("lo")).cast("int").alias("start"), (F.col("s") + F.col("hi")).cast("int").alias("end"))
+    kinds = ", ".join(f"{n} {chunks.schema[k].dataType.simpleString()}" for n, k in zip(names, keys)) + ", s bigint, h bigint"
+    big = chunks.select(*[F.col(k).alias(n) for n, k in zip(names, keys)], F.coalesce(F.col(start), F.lit(0)).cast("bigint").alias("s"), F.col(text).cast("string").alias("x")).filter(F.length("x") > limit)
+    big = big.withColumn("h", F.xxhash64("x", "s")).dropDuplicates([*names, "s", "h"]).select(*names, "s", "h", "x")
+    m = len(names) + 2
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, number, texts, low, high = [], [], [], [], []
+            for i, x in enumerate(batch.column(m).to_pylist()):
+                for k, (lo, hi) in enumerate(range_cuts(x, 0, None, True, halo, back, limit, overlap)[2]):
+                    rows.append(i), number.append(k), texts.append(x[lo:hi]), low.append(lo), high.append(hi)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(rows, pa.int64())) for c in batch.columns[:m]], pa.array(number, pa.int64()), pa.array(texts, pa.string()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=[*names, "s", "h", "piece", "text", "lo", "hi"])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(batch.column(m).to_pylist()):
+                for r, edge in enumerate(range(0, len(x), range_size)):
+                    at = max(0, edge - halo)
+                    # a row a batch, so that no more than a range and the text itself is held
+                    yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in batch.columns[:m]], pa.array([r], pa.int32()), pa.array([edge - at], pa.int32()), pa.array([at], pa.int64()), pa.array([edge + range_size >= len(x)]), pa.array([x[at : edge + range_size + 2 * halo]], pa.string())], names=[*names, "s", "h", "r", "edge", "at", "last", "x"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, number, texts, low, high = [], [], [], [], []
+            for i, (r, edge, at, last, x) in enumerate(zip(*[c.to_pylist() for c in batch.columns[m:]])):
+                found = range_cuts(x, edge, None if last else edge + range_size, r == 0, halo, back, limit, overlap)[2]
+                for k, (lo, hi) in enumerate(found):
+                    rows.append(i), number.append(k), texts.append(x[lo:hi]), low.append(at + lo), high.append(at + hi)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(rows, pa.int64())) for c in batch.columns[: m + 1]], pa.array(number, pa.int64()), pa.array(texts, pa.string()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=[*names, "s", "h", "r", "k", "text", "lo", "hi"])
+
+    one = big.filter(F.length("x") <= range_size).mapInArrow(whole, f"{kinds}, piece bigint, text string, lo bigint, hi bigint")
+    giant = big.filter(F.length("x") > range_size).mapInArrow(slices, f"{kinds}, r int, edge int, at bigint, last boolean, x string")
+    # ranges of a giant text go to all tasks
+    done = giant.repartition(*names, "s", "h", "r").mapInArrow(pieces, f"{kinds}, r int, k bigint, text string, lo bigint, hi bigint")
+    # where there is none nothing is written
+    done = cut(done)
+    by = [*names, "s", "h"]
+    first = _numbers(done.groupBy(*by, "r").agg(F.count("*").alias("n")), by, {"n": "first"})
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "r")]
+    many = done.alias("a").join(first.alias("b"), same).select(*[f"a.{c}" for c in by], (F.col("k") + F.col("first")).alias("piece"), "text", "lo", "hi")
+    every = one.unionByName(many)
+    return every.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("h").alias("text_id"), "piece", "text", (F.col("s") + F.col("lo")).cast("int").alias("start"), (F.col("s") + F.col("hi")).cast("int").alias("end"))
+
+
+def synced(data: bytes, p: int) -> int:
+    """The first place at or after p where a decoder of UTF-8 stands between two characters, whatever the bytes are.
+
+    That is before every byte that continues no character, and behind three that do, as no character has more. data must hold the three bytes before p, or begin with the file.
+    """
+    n, carry = len(data), 0
+    for q in range(max(0, p - 3), p):
+        carry = carry + 1 if data[q] & 0xC0 == 0x80 else 0
+    while 0 < p < n and data[p] & 0xC0 == 0x80 and carry < 3:
+        carry += 1
+        p += 1
+    return min(p, n)
+
+
+def _reader(uri: str):
+    """An open file that can be sought, wherever pyarrow's file systems reach (local, HDFS, object stores)."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    if uri.startswith("/"):
+        return fs.LocalFileSystem().open_input_file(uri)
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
+def files_under(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, or of the files of a folder but those whose names begin with a dot or underscore."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    out = [(x.getPath(), x.getLen()) for x in found if x.isFile()]
+    return sorted((p.toString(), n) for p, n in out if not p.getName().startswith((".", "_")))
 
 
 def file_pieces(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, range_size: int = 1 << 22) -> DataFrame:
-    """(piece, text, start, end) of one UTF-8 file in a folder that all executors see, read by byte ranges; offsets are code points.
+    """(file, piece, text, start, end) of UTF-8 files, read by byte ranges; offsets are code points. path is a file or a folder of files, each cut on its own.
 
-    An empty file has no pieces; a file of at most `limit` code points is one piece. Bytes that are no UTF-8 are replaced.
+    No file is loaded as a whole: a task reads its range and its halos. An empty file has no pieces; a file of at most `limit` code points is one piece.
+    Bytes that are no UTF-8 are replaced by U+FFFD, just as if the whole file were decoded at once.
     """
-    total, halo = os.path.getsize(path), 8 * limit
-    ranges = -(-total // range_size)
+    halo = 8 * limit
     # a range of bytes has a quarter as many code points at least
     back = max(0, min(limit - overlap, range_size // 4 - limit))
-    kinds = "r bigint, k int, text string, lo bigint, hi bigint, length bigint"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b["id"].tolist():
+    # one row for each range: 250 000 for a terabyte
+    ranges = [(f, n, r) for f, n in files_under(spark, path) for r in range(-(-n // range_size))]
+    source = spark.createDataFrame(ranges, "file string, total bigint, r int")
+    source = source.repartition(max(1, min(len(ranges), 10_000)), "file", "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, total, r in zip(*[c.to_pylist() for c in batch.columns]):
                 at = max(0, r * range_size - halo)
-                with open(path, "rb") as f:
-                    f.seek(at)
-                    data = f.read(min(total, (r + 1) * range_size + 2 * halo) - at)
-                skip = next((i for i in range(min(4, len(data))) if data[i] & 0xC0 != 0x80), 0) if at else 0
-                x = data[skip:].decode("utf-8", "replace")
-                inner = lambda pos: len(data[skip : pos - at].decode("utf-8", "ignore"))  # noqa: E731 - code points before a byte
-                begin = snapped(x, inner(r * range_size), limit, back) if r else 0
-                last = (r + 1) * range_size >= total
-                end = len(x) if last else min(len(x), snapped(x, inner((r + 1) * range_size), limit, back))
-                rows, c = [], begin
-                for k, d in enumerate(plan(x, begin, end, limit, overlap) if end > begin else []):
-                    lo = max(0, c - overlap) if (r or k) else 0
-                    # offsets are told from the range's first cut; the prefix sum of lengths gives that cut's place
-                    rows.append((r, k, x[lo:d], lo - begin, d - begin, end - begin))
-                    c = d
-                yield pd.DataFrame(rows or [(r, None, None, None, None, max(0, end - begin))], columns=["r", "k", "text", "lo", "hi", "length"]).astype({"k": "Int32", "lo": "Int64", "hi": "Int64"})
-
-    out = spark.range(0, ranges, 1, max(1, ranges)).mapInPandas(run, kinds)
-    lengths = out.groupBy("r").agg(F.max("length").alias("length"), F.count("text").alias("n"))
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each range of the file: 250 000 rows for a terabyte
-    base = lengths.select("r", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return out.filter("text is not null").join(base, "r").select((F.col("first") + F.col("k")).alias("piece"), "text", (F.col("base") + F.col("lo")).alias("start"), (F.col("base") + F.col("hi")).alias("end"))
+                with _reader(f) as file:
+                    file.seek(at)
+                    data = file.read(min(total, (r + 1) * range_size + 2 * halo) - at)
+                # a halo begins anywhere, and no character is longer than four bytes
+                skip = synced(data, min(3, len(data))) if at else 0
+                last = at + len(data) >= total
+                x = data[skip : len(data) if last else synced(data, max(skip, len(data) - 4))].decode("utf-8", "replace")
+                place = lambda p: len(data[skip : synced(data, p - at)].decode("utf-8", "replace"))  # noqa: E731 - code points before a byte
+                ends = (r + 1) * range_size >= total
+                begin, end, found = range_cuts(x, place(r * range_size), None if ends else place((r + 1) * range_size), r == 0, limit, back, limit, overlap)
+                n = len(found)
+                # offsets are told from the range's first cut; the prefix sum of lengths gives that cut's place
+                cols = [[f] * n, [r] * n, list(range(n)), [x[lo:hi] for lo, hi in found], [lo - begin for lo, _ in found], [hi - begin for _, hi in found], [max(0, end - begin)] * n]
+                if not n:
+                    cols = [[f], [r], [None], [None], [None], [None], [max(0, end - begin)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "r", "k", "text", "lo", "hi", "length"])
+
+    out = cut(source.mapInArrow(run, "file string, r int, k bigint, text string, lo bigint, hi bigint, length bigint"))
+    lengths = out.groupBy("file", "r").agg(F.max("length").alias("length"), F.count("text").alias("n"))
+    base = _numbers(lengths, ["file"], {"length": "base", "n": "first"})
+    return out.filter("text is not null").join(base, ["file", "r"]).select("file", (F.col("first") + F.col("k")).alias("piece"), "text", (F.col("base") + F.col("lo")).alias("start"), (F.col("base") + F.col("hi")).alias("end"))

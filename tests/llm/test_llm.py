@@ -126,6 +126,49 @@ def test_cut_before_long_run(spark):
     assert all(a["end"] - b["start"] == 200 for a, b in zip(p, p[1:])) and "".join([p[0]["text"], *[x["text"][200:] for x in p[1:]]]) == text
 
 
+def test_pieces_of_rows_that_share_a_key(spark):
+    a, b = "uno dos. " * 400, "tres cuatro. " * 900
+    rows = [("d", "c", a, 0, "x"), ("d", "c", b, 0, "x"), ("d", "c", b, 5, "x"), ("d", None, a, 0, "x"), ("d", None, a, 0, "y")]
+    d = spark.createDataFrame(rows, "document_id string, chunk_id string, text string, start int, text_id string")
+    for size in (3000, 1 << 16):
+        by = {}
+        for x in splitting.oversized_pieces(d, range_size=size).orderBy("piece").collect():
+            by.setdefault((x["chunk_id"], x["text_id"]), []).append(x)
+        assert sorted((k[0] or "", p[0]["start"], "".join([p[0]["text"], *[x["text"][200:] for x in p[1:]]])) for k, p in by.items()) == sorted([("c", 0, a), ("c", 0, b), ("c", 5, b), ("", 0, a)])
+        assert all([x["piece"] for x in p] == list(range(len(p))) for p in by.values())
+
+
+@given(st.binary(max_size=40) | st.text(max_size=12).map(lambda t: t.encode()) | st.lists(st.sampled_from([b"\x80", b"\xe2", b"\xe2\x82", b"\xf0\x9f", b"a", "€".encode(), "😀".encode(), b"\xff", b"\xc3"]), max_size=20).map(b"".join))
+@settings(max_examples=400, deadline=None)
+def test_synced(data):
+    whole = data.decode("utf-8", "replace")
+    for p in range(len(data) + 1):
+        q = splitting.synced(data, p)
+        assert p <= q <= p + 3 and data[:q].decode("utf-8", "replace") + data[q:].decode("utf-8", "replace") == whole
+
+
+@pytest.mark.parametrize("every", [997, 61, 7])
+def test_file_with_bad_bytes(spark, tmp_path, every):
+    r = random.Random(every)
+    data = bytearray(". ".join(passage(r, 12) + " ñ€😀" for _ in range(900)).encode())
+    for i in range(0, len(data), every):
+        data[i] = r.choice([0x80, 0xBF, 0xC3, 0xE2, 0xF0, 0xFF, data[i]])
+    data[30_000:30_000] = b"\x80" * 7000 + b"\xf0\x9f" * 3000
+    (tmp_path / "f").write_bytes(data)
+    text = bytes(data).decode("utf-8", "replace")
+    for size in (7001, 20_000, 1 << 22):
+        p = splitting.file_pieces(spark, str(tmp_path / "f"), range_size=size).orderBy("piece").collect()
+        assert [x["piece"] for x in p] == list(range(len(p))) and all(text[x["start"] : x["end"]] == x["text"] and len(x["text"]) <= 850 for x in p)
+        assert "".join([p[0]["text"], *[x["text"][200:] for x in p[1:]]]) == text
+
+
+def test_folder_of_files(spark, tmp_path):
+    for name, text in (("a", "uno. " * 3000), ("b", ""), ("c", "x"), ("_no", "y")):
+        (tmp_path / name).write_text(text)
+    got = splitting.file_pieces(spark, str(tmp_path), range_size=7000).groupBy("file").agg(F.max("end").alias("n"), F.count("*").alias("k"), F.max("piece").alias("m")).collect()
+    assert {r["file"].rsplit("/")[-1]: r["n"] for r in got} == {"a": 15000, "c": 1} and all(r["k"] == r["m"] + 1 for r in got)
+
+
 @pytest.mark.parametrize("size", [5000, 1 << 20])
 def test_file(spark, tmp_path, size):
     r = random.Random(2)
