@@ -1,135 +1,257 @@
-"""Defects of prompt and response pairs, by ordered rules in built-in expressions.
+"""Defects of prompt and response pairs, by ordered rules, every one of which is told.
 
 Rules, in order: empty, copy, refusal, other_language, truncated. Each is told on its own, so a pair can have several
-(defects); main_defect takes the first. What a complete answer ends with is learned from the whole table: the last two words
-of answers that close with a full stop.
+(defects); the first of them is the pair's main one. One pass over the pairs tells all rules but one, and counts what
+answers end with, in each task before the shuffle. The one is the abrupt end that only the table can tell: an answer without a
+closing mark is whole if its last two words (of a short one its last word) close answers at least as often, over all rows, as they
+stand at the end of one that nothing closes. This compares two counts of the same table, so it doesn't depend on its size
+beyond a floor of LEAST_ENDINGS, and what only cuts leave never becomes known, however many there are.
 
 A null or blank answer is empty whatever the question; a null or empty question has no copy and no language. Rows repeated
-whole give one row in defect_rows. Extra columns stay out.
+whole give one row in defect_rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import spread
+from lectern.session import BROADCAST_ROWS, cut, spread
 
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
-#: Answers that must close with an ending for it to count as one.
+#: Closed answers that must end in a way for it to count as one.
 LEAST_ENDINGS = 3
+#: Parts that a hot ending is spread over where endings are too many to broadcast.
+SALT = 16
+FLUSH = 200_000
 
-_FROM = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿœæ"
-_TO = "aaaaaaeeeeiiiiooooouuuucnyyoa"
+_FOLD = str.maketrans("áàâäãåéèêëíìîïóòôöõúùûüçñýÿœæ’‘", "aaaaaaeeeeiiiiooooouuuucnyyoa''")
 
-#: Frequent words by which a language is told, folded, fixed lists.
+#: Function words by which a language is told, folded, fixed lists.
 WORDS = {
-    "es": "el la los las de del y que en un una con por para se es no al lo su como mas pero sus unas unos cada ha si muy donde desde hasta dias tome puede debe cuanto cual quien despues hacer tarda usar menores otros medicamentos efectos adversos describen frecuentes dosis",
-    "pt": "o os as de do da dos das e que em um uma com por para se nao ao seu como mais mas sua cada pelo pela ou ser dias toma pode deve nos apos ate quanto qual quem quais depois fazer tempo demora outros medicamentos menores podem efeitos descritos tome exceto seguinte assim nunca",
-    "fr": "le la les de du des et que en un une avec par pour se est ne pas au aux son sa plus mais ses chaque dans sur ou il elle vous jours peut doit prise cette apres quel quelle quels combien faire autres temps peut-on mineurs quotidienne",
-    "en": "the of and to in a is that for it as with on be at by this not or from an are you your which must may if days can was each after when should what how who long does should do take which other other",
-    "it": "il lo gli di e che un una con per si non al del della dei nel sotto dopo dose giorni puo deve ogni sono piu nelle prenda circa ma chi ha uso la volta effetto esperienza inizia minuti ore giorni compressa contiene caso tal scende aperto",
-    "de": "der die das und den dem ein eine mit von zu nicht ist im auf wird nach bei darf sich fur man es aus dass oder werden sind kann einer tagen sie wer ab wenn als dosis nehmen sie stunden enthalt diese daran am haufigsten",
+    "es": "el la los las lo un una unos unas de del a al en con por para sin sobre entre hasta desde segun tras durante y e o u ni que si pero porque cuando donde como cual cuales quien quienes cuanto cuantos cuanta cuantas este esta estos estas ese esa esos esas se su sus mi tu le les me te nos es son ser estan estar hay ha han fue era sera puede pueden debe deben no mas menos muy ya tambien solo cada otro otra otros otras todo toda todos todas antes despues hace hacer tiene tienen nunca siempre aun todavia asi ademas entonces aunque excepto",
+    "pt": "o a os as um uma uns umas de do da dos das em no na nos nas ao aos com por pelo pela pelos pelas para sem sobre entre ate desde apos durante e ou nem que se mas porque quando onde como qual quais quem quanto quantos quanta quantas este esta estes estas esse essa isso isto se seu sua seus suas lhe me te sao ser estao estar ha foi era sera pode podem deve devem nao mais menos muito ja tambem so cada outro outra outros outras todo toda todos todas antes depois faz fazer tem ter nunca sempre ainda assim alem entao porem embora exceto",
+    "fr": "le la les un une des de du a au aux en dans avec par pour sans sur entre jusqu depuis apres pendant et ou ni que qui quoi si mais parce quand comme quel quelle quels quelles combien ce cet cette ces se son sa ses leur leurs mon votre vous nous il elle ils elles on est sont etre etait sera ete ont avoir peut peuvent doit doivent ne pas plus moins tres deja aussi chaque autre autres tout toute tous toutes avant fait faire jamais toujours encore environ puis donc alors ainsi vers chez sauf",
+    "en": "the a an of to in on at by for from with without about between until since after during before and or nor but if that which who whom whose what when where why how this these those it its is are was were be been being has have had do does did can could may might must should will would not no more less very also only each every other another all any some your you their they he she his her we our i as than then there never always still yet again except",
+    "it": "il lo la i gli le un uno una di del dello della dei degli delle a al allo alla ai agli alle da dal dalla in nel nello nella nei nelle con su sul sulla per senza tra fra fino dopo durante prima e o che se ma perche quando dove come quale quali chi quanto quanti questo questa questi queste si suo sua suoi mi ti ci sono essere era sara stato ha hanno avere puo possono deve devono non piu meno molto gia anche solo ogni altro altra altri altre tutto tutti tutte fare mai sempre ancora appena circa quindi allora poi oltre verso presso tranne ne",
+    "de": "der die das den dem des ein eine einen einem einer eines von zu zum zur mit ohne uber unter zwischen bis seit nach wahrend vor bei aus auf an in im am und oder aber wenn weil dass ob als wie wo wer was wann warum welche welcher welches dieser diese dieses es er sie sein seine ihr ihre ihren ist sind war waren wird werden wurde hat haben kann konnen darf durfen muss mussen soll sollte nicht kein keine mehr weniger sehr auch nur jede jeder jedes andere alle man sich fur nie immer noch etwa dann also ausser damit",
 }
+_LANGUAGES = list(WORDS)
+_SPOKEN = {w: [i for i, x in enumerate(_LANGUAGES) if w in WORDS[x].split()] for ws in WORDS.values() for w in ws.split()}
+#: Letters and marks that belong to one of the languages; worth two words.
+MARKS = [(_LANGUAGES.index(x), re.compile(p)) for x, p in (("es", "[¿¡ñ]"), ("pt", "[ãõ]"), ("fr", "[œùûëï]|\\b[ldnsj]['’]"), ("it", "\\b(?:l|d|un|dell|nell|all|dall|sull|c)['’]"), ("de", "[ßäö]"))]
 
-#: Ways to decline, folded; the core clause decides, not a polite opening.
+#: Ways to decline, folded, by language: inability or unwillingness with a verb of answering, rules, reach, lack of what is needed. The core clause decides, not a polite opening.
 REFUSALS = [
-    r"\bno (?:me )?(?:puedo|podemos|es posible) (?:ayudar|ayudarle|contestar|responder|atender|ofrecer|dar|proporcionar|facilitar)",
-    r"\b(?:prefiero|preferimos) (?:abstenerme|no (?:responder|contestar|opinar|pronunciarme))|\bno sabria (?:decir|responder|contestar)",
-    r"\bme resulta imposible|\b(?:queda|esta) fuera de mi alcance|\bno puede (?:contestarse|responderse)|\bno la atendere|\bincumple mis normas",
-    r"\bno (?:encuentro|hallo|tengo|dispongo de|cuento con) (?:la respuesta|(?:datos|informacion|elementos)\b)|\bno (?:estoy|esta) autorizad[oa] a|\bno debo (?:opinar|responder|contestar)",
-    r"\bmodelo de lenguaje|\bno menciona nada al respecto|\bcomo (?:asistente|ia|inteligencia artificial)\b",
-    r"\b(?:can't|cannot|can not|won't|am unable to|unable to|am not able to|not able to|not allowed to|decline to|would rather not|must not|prefer not to) (?:help|assist|answer|give|provide|discuss|comply|offer|advise|respond)",
-    r"\bbeyond what i can|\bdo(?:n't| not) have enough (?:information|data|context|evidence)|\blanguage model|\bcannot be answered|\bsays nothing about this|\bagainst my (?:rules|guidelines|policy)|\bbreaks my rules|\boutside my (?:scope|remit|reach)|\bi could ?n[o']t (?:say|find)|\bcould not say|\bi (?:do not|don't) (?:know|find)|\bdid not find the answer",
-    r"\bnao (?:me e possivel|posso|podemos|consigo) (?:ajudar|responder|dar|opinar|atender)|\bprefiro (?:nao|abster)|\bnao saberia|\bnao sei (?:dizer|responder)|\bnao permite responder|\bmodelo de linguagem|\bfora do meu alcance",
-    r"\bnao (?:encontro|tenho|disponho de) (?:a resposta|(?:dados|informac|elementos))|\bnao estou autorizad[oa]|\bnao (?:devo|posso) (?:opinar|responder)|\bnao pode ser respondid|\bviola as minhas|\bnada (?:diz|refere) sobre|\be-me impossivel|\bimpossivel dar uma resposta",
-    r"\bne (?:peux|puis|pouvons|saurais|m'est) (?:pas |)(?:vous |)(?:aider|repondre|donner|dire|traiter|satisfaire|possible)|\bprefere (?:m'abstenir|ne pas)|\bpas autorisee? a|\bne permet pas de repondre|\bmodele de langage|\bau-dela de ce que|\bhors de ma portee",
-    r"\bne (?:trouve|dispose|possede) pas|\bn'ai pas (?:assez|suffisamment|trouve|le droit)|\bne dois pas (?:donner|repondre|me prononcer)|\bne dit rien|\bcontraire a mes|\bimpossible de (?:donner|repondre|vous)|\bne peut (?:pas |)(?:etre repondu|recevoir de reponse)",
+    # Spanish
+    r"\bno (?:me |te |le |les )?(?:puedo|podemos|podre|podremos|voy a|debo|debemos|sabria|sabriamos|es posible) (?:ayudar|contestar|responder|atender|ofrecer|dar|proporcionar|facilitar|opinar|decir|pronunciar)",
+    r"\b(?:prefiero|preferimos|opto por|debo) (?:abstenerme|abstenernos|no (?:responder|contestar|opinar|pronunciar))|\bno (?:la|lo|le|las|los|les) (?:atendere|respondere|contestare|ayudare)",
+    r"\b(?:me|nos) (?:resulta|es) imposible|\bfuera de (?:mi|mis|nuestro|nuestras) (?:alcance|ambito|competencias?|funciones)|\bno puede (?:contestarse|responderse)",
+    r"\b(?:incumple|viola|infringe|vulnera|contraviene|va contra|es contrari[oa] a) (?:mis|nuestras) (?:normas|reglas|directrices|politicas|instrucciones)",
+    r"\bno (?:encuentro|hallo|tengo|dispongo de|cuento con|poseo) (?:la respuesta|(?:suficientes? )?(?:datos|informacion|elementos|medios)\b)|\bno (?:estoy|esta) autorizad[oa] a",
+    r"\bmodelo de lenguaje|\bno (?:menciona|dice) nada (?:al respecto|sobre)|\bcomo (?:asistente|ia|inteligencia artificial)\b",
+    # English
+    r"\b(?:can't|cannot|can not|won't|will not be able to|am unable to|unable to|am not able to|not able to|not allowed to|decline to|would rather not|must not|prefer not to) (?:help|assist|answer|give|provide|discuss|comply|offer|advise|respond|say)",
+    r"\b(?:beyond|outside) (?:what i can|my (?:scope|remit|reach|competence))|\bdo(?:n't| not) have (?:enough |sufficient |any )?(?:information|data|context|evidence|the answer)|\blanguage model|\bcannot be answered|\bsays nothing about|\b(?:against|breaks|violates) my (?:rules|guidelines|policy|policies|instructions)",
+    r"\bi could ?n[o']t (?:say|find|tell)|\bi could not (?:say|find|tell)|\bcould not say|\bi (?:do not|don't) (?:know|find)|\b(?:did not|didn't|could not) find the answer",
+    # Portuguese
+    r"\bnao (?:me e possivel|posso|podemos|consigo|devo|vou|saberia|sei) (?:ajudar|responder|dar|opinar|atender|dizer|oferecer|fornecer)|\bprefiro (?:nao|abster)|\bnao saberia|\bnao permite responder|\bnao pode ser respondid",
+    r"\bmodelo de linguagem|\bfora do meu (?:alcance|ambito)|\b(?:viola|infringe|contraria) as minhas (?:regras|normas|diretrizes|instrucoes)|\bnada (?:diz|refere) sobre",
+    r"\bnao (?:encontro|tenho|disponho de|possuo) (?:a resposta|(?:dados|informac|elementos))|\bnao estou autorizad[oa]|\be-me impossivel|\bimpossivel dar uma resposta",
+    # French
+    r"\bne (?:peux|puis|pouvons|saurais|saurions|m'est|veux|vais|dois) (?:pas |)(?:vous |me |)(?:aider|repondre|donner|dire|traiter|satisfaire|possible|prononcer|fournir)|\bprefere (?:m'abstenir|ne pas)|\bpas autorisee? a|\bne permet pas de repondre",
+    r"\bmodele de langage|\bau-dela de ce que|\bhors de m(?:a|es) (?:portee|competences?|attributions)|\bcontraire a mes (?:regles|consignes|principes|directives|instructions)|\bne dit rien",
+    r"\bne (?:trouve|dispose|possede) pas|\bn'ai pas (?:assez|suffisamment|trouve|le droit)|\bimpossible de (?:donner|repondre|vous)|\bne peut (?:pas |)(?:etre repondu|recevoir de reponse)",
 ]
 
 #: Words after which a sentence can't end, folded.
-OPEN_WORDS = "de del la el los las un una unos unas y e o u que con por para en al a su sus segun se si como entre sin sobre cuando donde desde hasta pero lo da do das dos os as em com uma um ao nos no na nas pelo pela ou mas le les des du et ou avec pour par sur dans une au aux qui dont si mais the of and or with which to in for from by at an as that if but when is are was per when than se sont est es son sao e"
+OPEN_WORDS = frozenset("de del la el los las un una unos unas y e o u que con por para en al a su sus segun se si como entre sin sobre cuando donde desde hasta pero lo da do das dos os as em com uma um ao nos no na nas pelo pela ou mas le les des du et ou avec pour par sur dans une au aux qui dont si mais the of and or with which to in for from by at an as that if but when is are was per when than se sont est es son sao e".split())
 
 #: Answers that stand for nothing, folded and without outer marks.
-BLANKS = ["n/a", "na", "n/d", "nd", "n.a", "n.d", "null", "none", "nil", "nan", "undefined", "respuesta", "answer", "resposta", "reponse", "a", "r", "tbd", "todo", "vacio", "sin respuesta", "empty", "no answer", "s/r"]
-
-
-def folded(c: Column) -> Column:
-    return F.translate(F.translate(F.lower(c), _FROM, _TO), "’‘", "''")
-
-
-def words(f: Column) -> Column:
-    """Words of letters and digits of a folded text."""
-    return F.filter(F.split(f, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-
-
-#: Letters and marks that belong to one of the languages; worth two words.
-MARKS = {"es": "[¿¡ñ]", "pt": "[ãõ]", "fr": "[œùûëï]|\\b[ldnsj]['’]", "de": "[ßäö]"}
-
-
-def held(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once: a generator in between keeps later uses from repeating their expressions."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
-def _hits(tokens: Column, lang: str, text: Column) -> Column:
-    found = F.size(F.filter(tokens, lambda x: x.isin(WORDS[lang].split())))
-    return found + F.when(F.lower(text).rlike(MARKS[lang]), F.lit(2)).otherwise(F.lit(0)) if lang in MARKS else found
-
-
-def _ending(a: Column) -> Column:
-    """The last two words of an answer, figures as 0, words with a capital inside a sentence as N."""
-    plain = F.regexp_replace(F.regexp_replace(a, r"\([^()]*\)\s*(?=[.!?…]*\s*$)", ""), r"[\s.!?…\"»”')\]]+$", "")
-    shaped = F.regexp_replace(F.regexp_replace(plain, r"\d+(?:[.,]\d+)*", "0"), r"(?<=\s)\p{Lu}[\p{L}-]{5,}", "N")
-    return folded(F.regexp_extract(F.right(shaped, F.lit(60)), r"(\S+\s+\S+)$", 1))
+BLANKS = frozenset(["n/a", "na", "n/d", "nd", "n.a", "n.d", "null", "none", "nil", "nan", "undefined", "respuesta", "answer", "resposta", "reponse", "a", "r", "tbd", "todo", "vacio", "sin respuesta", "empty", "no answer", "s/r"])
+
+
+_REFUSAL = re.compile(r"\b(?:" + "|".join(r.removeprefix(r"\b").replace(r"|\b", "|") for r in REFUSALS) + ")")
+_WORD = re.compile(r"[^\W_]+")
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+_BROKEN = re.compile(r"(?:\.\.|…|\[\s*(?:\.\.\.|…)\s*\]|[,;:(\[{«“\-–—/])$")
+_CLOSED = re.compile(r"[.!?。！？][\"»”’')\]]*$")
+_FIGURE, _NAME, _TWO = re.compile(r"\d+(?:[.,]\d+)*"), re.compile(r"(?<=\s)[^\W\d_a-zß-öø-ÿ][^\W\d_-]*[\w-]{4,}"), re.compile(r"\S+\s+\S+$")
+#: Numbers of documents, whose letters are no words.
+_CODE = re.compile(r"\b[A-Z]+-\d+")
+_DENIALS = frozenset("no not non nao ne pas si sim oui yes never nunca jamais".split())
+_PAIRS = (("(", ")"), ("[", "]"), ("«", "»"), ("“", "”"), ("{", "}"))
+#: Marks at which an answer's last words end.
+_STOPS = " \t\n\r\x0b\x0c.!?…\"»”’')]"
+
+
+def folded(text: str) -> str:
+    return text.lower().translate(_FOLD)
+
+
+def _trimmed(text: str) -> str:
+    """Without separators, controls and unassigned characters at both ends."""
+    out = lambda c: unicodedata.category(c)[0] in "ZC"
+    i, j = 0, len(text)
+    while i < j and out(text[i]):
+        i += 1
+    while j > i and out(text[j - 1]):
+        j -= 1
+    return text[i:j]
+
+
+def ending(text: str) -> str:
+    """The last two words of an answer, figures as 0, words with a capital inside a sentence as N; what a bracket adds at the end stays out."""
+    whole = text.rstrip().rstrip(".!?…").rstrip()
+    if whole.endswith(")") and (at := whole.rfind("(")) >= 0 and ")" not in whole[at:-1]:
+        text = whole[:at]
+    shaped = _NAME.sub("N", _FIGURE.sub("0", text.rstrip(_STOPS)))
+    found = _TWO.search(shaped[-60:])
+    return folded(found.group()) if found else ""
+
+
+def _language(words: set[str], text: str) -> list[int]:
+    hits = [0] * len(_LANGUAGES)
+    for w in words:
+        for i in _SPOKEN.get(w, ()):
+            hits[i] += 1
+    for i, mark in MARKS:
+        if mark.search(text):
+            hits[i] += 2
+    return hits
+
+
+def _latin(text: str) -> tuple[int, int]:
+    """(letters, Latin ones among them)"""
+    if text.isascii():
+        n = sum(map(str.isalpha, text))
+        return n, n
+    letters = [c for c in text if c.isalpha()]
+    return len(letters), sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" or c in "ªº" for c in letters)
+
+
+class Pair:
+    """What the rules tell of one pair: defects that need no table, and for an answer that nothing closes what to look up."""
+
+    __slots__ = ("closes", "defects", "inside", "last", "open_end")
+
+    def __init__(self, question: str | None, answer: str | None):
+        t = _trimmed(answer or "")
+        f, q = folded(t), question or ""
+        words = _WORD.findall(f)
+        self.defects: list[str] = []
+        self.closes = self.open_end = self.last = ""
+        self.inside = words
+        bare = _OUTER.sub("", f)
+        if not bare or bare in BLANKS:
+            self.defects.append("empty")
+        else:
+            self._answered(t, f, words, q)
+
+    def _answered(self, t: str, f: str, words: list[str], q: str) -> None:
+        asked, said = set(_WORD.findall(folded(q))), set(words)
+        extra = said - asked
+        if asked and len(said & asked) >= 0.8 * len(asked) and len(extra) <= 3 and not extra & _DENIALS:
+            self.defects.append("copy")
+        if _REFUSAL.search(f):
+            self.defects.append("refusal")
+        if self._foreign(t, said, q, asked):
+            self.defects.append("other_language")
+        opened = any(t.count(o) > t.count(c) for o, c in _PAIRS) or t.count('"') % 2 == 1
+        broken = _BROKEN.search(t) is not None
+        closed = not broken and _CLOSED.search(t) is not None
+        n = len(t.split())
+        hangs = n >= 2 and bool(words) and words[-1] in OPEN_WORDS
+        if broken or opened or (hangs and not closed):
+            self.defects.append("truncated")
+        if closed:
+            if not opened and not hangs:
+                self.closes = ending(t)
+            return
+        self.inside = words[:-1]
+        if words and not (broken or opened or hangs):
+            if n >= 6:
+                self.open_end = ending(t) or "?"
+            elif n >= 4 and not words[-1].isdecimal():
+                self.last = words[-1]
+
+    @staticmethod
+    def _foreign(t: str, said: set[str], q: str, asked: set[str]) -> bool:
+        (nq, lq), (na, la) = _latin(q), _latin(t)
+        if nq >= 5 and na >= 5 and (2 * lq > nq) != (2 * la > na):
+            return True
+        if _CODE.search(t):
+            said = set(_WORD.findall(folded(_CODE.sub(" ", t))))
+        hq, ha = _language(asked, q.lower()), _language(said, t.lower())
+        best = max(hq)
+        same = max(a for a, h in zip(ha, hq) if h == best)
+        return best > 0 and max(ha) >= 2 and max(ha) >= same + 2
+
+
+#: What a term of the table is: an ending of two words, or a single word.
+_END, _SINGLE = "e ", "w "
+
+
+def _scan(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        closed: Counter = Counter()
+        left: Counter = Counter()
+
+        def counts() -> pa.RecordBatch:
+            terms = list(closed.keys() | left.keys())
+            n = len(terms)
+            out = pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.list_(pa.string())), pa.array(terms, pa.string()), pa.array([closed[x] for x in terms], pa.int64()), pa.array([left[x] for x in terms], pa.int64())], names=[key, "defects", "term", "closed", "left"])
+            closed.clear(), left.clear()
+            return out
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            defects, terms = [], []
+            for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                p = Pair(q, a)
+                term = _END + p.open_end if p.open_end else _SINGLE + p.last if p.last else None
+                defects.append(p.defects), terms.append(term)
+                if p.closes:
+                    closed[_END + p.closes] += 1
+                for w in set(p.inside):
+                    closed[_SINGLE + w] += 1
+                if term:
+                    left[term] += 1
+            none = pa.nulls(len(terms), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(defects, pa.list_(pa.string())), pa.array(terms, pa.string()), none, none], names=[key, "defects", "term", "closed", "left"])
+            if len(closed) + len(left) > FLUSH:
+                yield counts()
+        if closed or left:
+            yield counts()
+
+    return run
 
 
 def scored(pairs: DataFrame, key: str = "qa_id", question: str = "question", answer: str = "answer") -> DataFrame:
     """(key, defects ARRAY<STRING>) of every row, in the order of the rules."""
-    p = spread(pairs.select(F.col(key).alias("_k"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a")))
-    p = held(p, t=F.regexp_replace(F.coalesce("a", F.lit("")), r"^[\p{Z}\p{C}]+|[\p{Z}\p{C}]+$", ""))
-    p = held(p, f=folded(F.col("t")), fq=folded(F.coalesce("q", F.lit(""))), end=_ending(F.col("t")))
-    p = held(p, wa=words(F.col("f")), wq=words(F.col("fq")))
-    p = held(p, da=F.array_distinct("wa"), dq=F.array_distinct("wq"), last=F.try_element_at(F.col("wa"), F.lit(-1)))
-
-    bare = F.regexp_replace("f", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    empty = (bare == "") | bare.isin(BLANKS)
-
-    extra = F.array_except("wa", "wq")
-    shared = F.size(F.array_intersect("wa", "wq"))
-    denied = F.arrays_overlap(extra, F.array(*[F.lit(x) for x in "no not non nao ne pas si sim oui yes never nunca jamais".split()]))
-    copy = (F.size("wq") > 0) & (shared >= 0.8 * F.size(F.array_distinct("wq"))) & (F.size(extra) <= 3) & ~denied
-
-    # every way begins at a word, which is asked once for all of them
-    refusal = F.col("f").rlike(r"\b(?:" + "|".join(r.removeprefix(r"\b").replace(r"|\b", "|") for r in REFUSALS) + ")")
-
-    langs = list(WORDS)
-    counts = {f"a_{x}": _hits(F.col("da"), x, F.col("t")) for x in langs} | {f"q_{x}": _hits(F.col("dq"), x, F.coalesce("q", F.lit(""))) for x in langs}
-    q_best, a_best = F.greatest(*[f"q_{x}" for x in langs]), F.greatest(*[f"a_{x}" for x in langs])
-    same = F.greatest(*[F.when(F.col(f"q_{x}") == q_best, F.col(f"a_{x}")).otherwise(F.lit(-1)) for x in langs])
-    latin = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{IsLatin}]", ""))
-    letters = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}]", ""))
-    script = (letters(F.col("q")) >= 5) & (letters(F.col("a")) >= 5) & ((2 * latin(F.col("q")) > letters(F.col("q"))) != (2 * latin(F.col("a")) > letters(F.col("a"))))
-    other = script | ((q_best > 0) & (a_best >= 2) & (a_best >= same + 2))
-
-    marks = lambda o, c: F.length(F.regexp_replace("t", f"[^{o}]", "")) > F.length(F.regexp_replace("t", f"[^{c}]", ""))
-    opened = marks(r"(", r")") | marks(r"\[", r"\]") | marks("«", "»") | marks("“", "”") | marks("{", "}") | (F.length(F.regexp_replace("t", '[^"]', "")) % 2 == 1)
-    broken = F.col("t").rlike(r"(?:\.\.|…|\[\s*(?:\.\.\.|…)\s*\]|[,;:(\[{«“\-–—/])$")
-    closed = F.col("t").rlike(r"[.!?。！？][\"»”’')\]]*$") & ~broken
-    last = F.col("last")
-    n = F.size(F.split("t", r"\s+"))
-    hangs = last.isin(OPEN_WORDS.split()) & (n >= 2)
-
-    good = p.filter(closed & ~opened & ~hangs & (F.col("end") != "")).groupBy("end").agg(F.count("*").alias("times")).filter(F.col("times") >= LEAST_ENDINGS).select("end", F.lit(True).alias("known"))
-    # words that occur before the end of an answer, or close one: what a cut through a word leaves is rarely among them
-    whole = p.select(F.explode(F.array_distinct(F.when(closed, F.col("wa")).otherwise(F.slice("wa", 1, F.greatest(F.size("wa") - 1, F.lit(0)))))).alias("last")).groupBy("last").agg(F.count("*").alias("times")).filter(F.col("times") >= LEAST_ENDINGS).select("last", F.lit(True).alias("word"))
-    p = held(p, **counts).join(good, "end", "left").join(whole, "last", "left")
-    cut_off = ~closed & F.when(n >= 6, F.col("known").isNull()).otherwise((n >= 4) & F.col("word").isNull() & ~F.coalesce(last.rlike(r"^\d+$"), F.lit(False)))
-    truncated = broken | opened | (~closed & (hangs | cut_off))
-
-    flag = lambda c, name: F.when(F.coalesce(c, F.lit(False)), F.lit(name))
-    rules = [flag(c if name == "empty" else c & ~empty, name) for c, name in zip((empty, copy, refusal, other, truncated), DEFECTS)]
-    return p.select(F.col("_k").alias(key), F.array_compact(F.array(*rules)).alias("defects"))
+    src = spread(pairs.select(F.col(key).alias("_k"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a")))
+    kind = src.schema["_k"].dataType.simpleString()
+    told = cut(src.mapInArrow(_scan("_k"), f"_k {kind}, defects array<string>, term string, closed bigint, left bigint"))
+    rows = told.filter("defects is not null").select("_k", "defects", "term")
+    sure, open_ = rows.filter("term is null"), rows.filter("term is not null")
+    counts = told.filter("defects is null").groupBy("term").agg(F.sum("closed").alias("closed"), F.sum("left").alias("left"))
+    # of the terms only those that are to be looked up, which have a row among the open ones
+    known = cut(counts.filter(f"left > 0 and closed >= {LEAST_ENDINGS} and closed >= left").select("term", F.lit(True).alias("known")))
+    if known.count() <= BROADCAST_ROWS:
+        met = open_.join(F.broadcast(known), "term", "left")
+    else:
+        salted = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = open_.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(SALT)).cast("int")).join(salted, ["term", "_s"], "left")
+    cut_off = F.when(F.col("known").isNull(), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))
+    both = sure.select("_k", "defects").unionByName(met.select("_k", F.concat("defects", cut_off).alias("defects")))
+    return both.select(F.col("_k").alias(key), "defects")
 
 
 def defect_rows(pairs: DataFrame, key: str = "qa_id", **names) -> DataFrame:
