@@ -44,8 +44,11 @@ WORDS = {
 }
 _LANGUAGES = list(WORDS)
 _SPOKEN = {w: [i for i, x in enumerate(_LANGUAGES) if w in WORDS[x].split()] for ws in WORDS.values() for w in ws.split()}
-#: Letters and marks that belong to one of the languages; worth two words.
-MARKS = [(_LANGUAGES.index(x), re.compile(p)) for x, p in (("es", "[¿¡ñ]"), ("pt", "[ãõ]"), ("fr", "[œùûëï]|\\b[ldnsj]['’]"), ("it", "\\b(?:l|d|un|dell|nell|all|dall|sull|c)['’]"), ("de", "[ßäö]"))]
+#: Letters and marks that belong to one of the languages, and what they elide; worth two words.
+MARKS = {"es": "¿¡ñ", "pt": "ãõ", "fr": "œùûëï", "de": "ßäö"}
+ELISIONS = {"fr": r"\b[ldnsj]['’]", "it": r"\b(?:l|d|un|dell|nell|all|dall|sull|c)['’]"}
+_MARKS = [(_LANGUAGES.index(x), frozenset(m)) for x, m in MARKS.items()]
+_ELISIONS = [(_LANGUAGES.index(x), re.compile(m)) for x, m in ELISIONS.items()]
 
 #: Ways to decline, folded, by language: inability or unwillingness with a verb of answering, rules, reach, lack of what is needed. The core clause decides, not a polite opening.
 REFUSALS = [
@@ -84,15 +87,25 @@ _BROKEN = re.compile(r"(?:\.\.|…|\[\s*(?:\.\.\.|…)\s*\]|[,;:(\[{«“\-–
 _CLOSED = re.compile(r"[.!?。！？][\"»”’')\]]*$")
 _FIGURE, _NAME, _TWO = re.compile(r"\d+(?:[.,]\d+)*"), re.compile(r"(?<=\s)[^\W\d_a-zß-öø-ÿ][^\W\d_-]*[\w-]{4,}"), re.compile(r"\S+\s+\S+$")
 #: Numbers of documents, whose letters are no words.
-_CODE = re.compile(r"\b[A-Z]+-\d+")
+_CODE = re.compile(r"(?<![^\W_])[A-Z]+-\d+")
 _DENIALS = frozenset("no not non nao ne pas si sim oui yes never nunca jamais".split())
 _PAIRS = (("(", ")"), ("[", "]"), ("«", "»"), ("“", "”"), ("{", "}"))
 #: Marks at which an answer's last words end.
 _STOPS = " \t\n\r\x0b\x0c.!?…\"»”’')]"
 
 
+#: The same by byte, for texts within Latin-1.
+_FOLD_BYTES = bytes(_FOLD.get(b, b) for b in range(256))
+
+
 def folded(text: str) -> str:
-    return text.lower().translate(_FOLD)
+    text = text.lower()
+    if text.isascii():
+        return text
+    try:
+        return text.encode("latin-1").translate(_FOLD_BYTES).decode("latin-1")
+    except UnicodeEncodeError:
+        return text.translate(_FOLD)
 
 
 def _trimmed(text: str) -> str:
@@ -116,24 +129,29 @@ def ending(text: str) -> str:
     return folded(found.group()) if found else ""
 
 
-def _language(words: set[str], text: str) -> list[int]:
+def _language(words: set[str], text: str, signs: set[str]) -> list[int]:
+    """What speaks for each language in a text in lower case, its distinct words and its distinct characters."""
     hits = [0] * len(_LANGUAGES)
-    for w in words:
-        for i in _SPOKEN.get(w, ()):
+    for w in words & _SPOKEN.keys():
+        for i in _SPOKEN[w]:
             hits[i] += 1
-    for i, mark in MARKS:
-        if mark.search(text):
+    if "'" in signs or "’" in signs:
+        for i, elision in _ELISIONS:
+            if elision.search(text):
+                hits[i] += 2
+    for i, mark in _MARKS:
+        if not mark.isdisjoint(signs):
             hits[i] += 2
     return hits
 
 
-def _latin(text: str) -> tuple[int, int]:
-    """(letters, Latin ones among them)"""
-    if text.isascii():
-        n = sum(map(str.isalpha, text))
-        return n, n
+def _script(text: str, signs: set[str]) -> bool | None:
+    """Whether most letters of a text are Latin; None if it has less than five."""
+    if max(signs, default="") < "\u0250":
+        return True if len(text) > 40 or sum(map(str.isalpha, text)) >= 5 else None
     letters = [c for c in text if c.isalpha()]
-    return len(letters), sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" or c in "ªº" for c in letters)
+    latin = sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters)
+    return 2 * latin > len(letters) if len(letters) >= 5 else None
 
 
 class Pair:
@@ -163,7 +181,7 @@ class Pair:
             self.defects.append("refusal")
         if self._foreign(t, said, q, asked):
             self.defects.append("other_language")
-        opened = any(t.count(o) > t.count(c) for o, c in _PAIRS) or t.count('"') % 2 == 1
+        opened = any(o in t and t.count(o) > t.count(c) for o, c in _PAIRS) or t.count('"') % 2 == 1
         broken = _BROKEN.search(t) is not None
         closed = not broken and _CLOSED.search(t) is not None
         n = len(t.split())
@@ -183,12 +201,14 @@ class Pair:
 
     @staticmethod
     def _foreign(t: str, said: set[str], q: str, asked: set[str]) -> bool:
-        (nq, lq), (na, la) = _latin(q), _latin(t)
-        if nq >= 5 and na >= 5 and (2 * lq > nq) != (2 * la > na):
+        low_q, low_t = q.lower(), t.lower()
+        signs_q, signs_t = set(low_q), set(low_t)
+        script_q, script_t = _script(q, signs_q), _script(t, signs_t)
+        if script_q is not None and script_t is not None and script_q != script_t:
             return True
         if _CODE.search(t):
             said = set(_WORD.findall(folded(_CODE.sub(" ", t))))
-        hq, ha = _language(asked, q.lower()), _language(said, t.lower())
+        hq, ha = _language(asked, low_q, signs_q), _language(said, low_t, signs_t)
         best = max(hq)
         same = max(a for a, h in zip(ha, hq) if h == best)
         return best > 0 and max(ha) >= 2 and max(ha) >= same + 2
