@@ -10,7 +10,6 @@ take the newest version. The dimension is told by the version, so that no append
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Sequence
 
@@ -19,60 +18,15 @@ from pyspark.sql import functions as F
 
 from lectern.operators.vectors import check_dimension, number_rows
 from lectern.session import cut
+from lectern.versions import Versions
 
 _EMPTY = {"parts": [], "dimension": None, "next": 0, "batches": {}}
 
 
-class Conflict(RuntimeError):
-    """Another writer has made the version first."""
-
-
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, at = _fs(spark, f"{path}/versions")
-    if not fs.exists(at):
-        return []
-    names = [x.getPath().getName() for x in fs.listStatus(at)]
-    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-
-def _read_version(spark: SparkSession, path: str, number: int) -> dict | None:
-    """The version's description; None if its writer died before it was whole."""
-    fs, at = _fs(spark, f"{path}/versions/{number}.json")
-    stream = fs.open(at)
-    try:
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    try:
-        return json.loads(text)
-    except ValueError:
-        return None
-
-
 def current(spark: SparkSession, path: str) -> tuple[int, dict]:
     """(number of the last version or -1, description of the newest whole one)."""
-    numbers = _versions(spark, path)
-    for n in reversed(numbers):
-        if (found := _read_version(spark, path, n)) is not None:
-            return numbers[-1], found
-    return (numbers[-1] if numbers else -1), dict(_EMPTY)
-
-
-def _commit(spark: SparkSession, path: str, number: int, state: dict) -> None:
-    fs, at = _fs(spark, f"{path}/versions/{number}.json")
-    try:
-        out = fs.create(at, False)
-    except Exception as e:  # noqa: BLE001 - whatever the file system raises for a file that is there
-        raise Conflict(f"{path}: version {number} is there already") from e
-    try:
-        out.write(bytearray(json.dumps(state).encode()))
-    finally:
-        out.close()
+    number, state = Versions(spark, path).current()
+    return number, state or dict(_EMPTY)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -117,21 +71,10 @@ def append(path: str, rows: DataFrame, vector: str = "embedding", upsert: bool =
     (placed if kept is None else kept.unionByName(placed, allowMissingColumns=True)).write.parquet(f"{path}/parts/{new}")
     batches = state["batches"] | ({stream: batch} if stream is not None else {})
     parts = [new] if kept is not None else [*state["parts"], new]
-    _commit(spark, path, number + 1, {"parts": parts, "dimension": dimension, "next": state["next"] + n, "batches": batches})
+    Versions(spark, path).commit(number + 1, {"parts": parts, "dimension": dimension, "next": state["next"] + n, "batches": batches})
     return number + 1
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
     """Removes the parts that the newest version doesn't name, and older versions; gives their names. Not to be run beside a writer or a reader of an older version."""
-    number, state = current(spark, path)
-    fs, at = _fs(spark, f"{path}/parts")
-    gone = []
-    for x in fs.listStatus(at) if fs.exists(at) else []:
-        if (name := x.getPath().getName()) not in state["parts"]:
-            fs.delete(x.getPath(), True)
-            gone.append(name)
-    newest = max((n for n in _versions(spark, path) if _read_version(spark, path, n) is not None), default=number)
-    for n in _versions(spark, path):
-        if n < newest:
-            fs.delete(_fs(spark, f"{path}/versions/{n}.json")[1], False)
-    return gone
+    return Versions(spark, path).clean("parts", set(current(spark, path)[1]["parts"]))

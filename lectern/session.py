@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a checked broadcast may hold; a side above it is shuffled instead.
 BROADCAST_ROWS = 2_000_000
+#: Parts that a hot value is spread over in a join that can't be broadcast.
+SALT = 16
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lectern") -> SparkSession:
@@ -86,3 +88,14 @@ def keep_matching(df: DataFrame, keys: DataFrame, on: str, bound: int = BROADCAS
     if keys.limit(bound + 1).count() <= bound:
         keys = F.broadcast(keys)
     return df.join(keys, on, "left_semi")
+
+
+def lookup(df: DataFrame, table: DataFrame, on: str, how: str = "inner", bound: int = BROADCAST_ROWS, salt: int = SALT) -> DataFrame:
+    """df joined ("inner" or "left") with a table that has each `on` once: broadcast if counted at most `bound`; else the table is repeated `salt` times, so that a hot value of df is spread over as many tasks.
+
+    The table is counted, so it should come from storage.
+    """
+    if table.limit(bound + 1).count() <= bound:
+        return df.join(F.broadcast(table), on, how)
+    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int")).join(many, [on, "_salt"], how).drop("_salt")

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lectern import versions
 from lectern.operators import answer, chunking, entities, evaluate, providers, qa, rerank, sections, vectors, vectortable
 from lectern.streaming import ingest
 
@@ -144,8 +145,8 @@ def test_vector_table(spark, tmp_path):
     # a version that was begun and not ended isn't read, and a number is given once
     (tmp_path / "t" / "versions" / "5.json").write_text("")
     assert vectortable.load(spark, p).count() == 7 and vectortable.append(p, rows) == 6
-    with pytest.raises(vectortable.Conflict):
-        vectortable._commit(spark, p, 6, {})
+    with pytest.raises(versions.Conflict):
+        versions.Versions(spark, p).commit(6, {})
     (tmp_path / "t" / "parts" / "left").mkdir()
     assert "left" in vectortable.vacuum(spark, p) and vectortable.load(spark, p).count() == 9
 
