@@ -1,14 +1,17 @@
 """Hamming joins of fingerprints through a Gray-ordered hierarchical index, spread over the cluster.
 
-Each text has several index keys: its fingerprint is permuted so that one group of minimum hashes comes first, and
-the texts that agree on that leading pattern form one upper node of the index, held together by the shuffle.
-Below it, fingerprints lie in the order of their Gray ranks, where neighbours differ in few bits; every inner node
+Each text has a long fingerprint, its minimum hashes side by side, and a short one of 64 of their bits. An upper node of the index
+holds the texts whose long fingerprints share a masked pattern: each of KEYS masks picks the bits of ROWS minimum hashes. (Such
+masks part texts far better than masks of single bits can at these similarities; it's what banded minimum hashing does too.)
+Below it, short fingerprints lie in the order of their Gray ranks, where neighbours differ in few bits; every inner node
 holds the bits that all of its fingerprints share (a mask and a value). Two nodes whose shared bits already differ
 in more places than the threshold are pruned with all that is below them; leaves are compared bit by bit.
 
-An upper node of any size is cut into blocks of BLOCK fingerprints, each with its own mask and value, and blocks
-are paired by a join that prunes by the same accumulated differences, so no task holds an unbounded group.
-Equal sets meet once: copies are folded into their first row by each task before the shuffle, and by node below it.
+The keys are written sorted, by bucket, and read by tasks that take shares of the files. An upper node of more than HOT fingerprints, and
+one that may go on in the next share, is cut into blocks of BLOCK, each with its own mask and value. Blocks meet by
+their masks and values alone, and those that pass the same pruning are compared, each pair in a task of its own
+choosing; so no task holds an unbounded group. Equal sets meet once: copies are folded into their first row by each task
+before the shuffle, and by node below it.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import shingles
-from lectern.session import cut, spread
+from lectern.llm import probing, shingles
+from lectern.session import cut, scratch, spread
 
 #: Fingerprints compared directly, in a block, and kept in one task before a group is cut into blocks.
 LEAF, BLOCK, HOT = 32, 512, 4096
@@ -29,9 +32,11 @@ LEAF, BLOCK, HOT = 32, 512, 4096
 MOST_BITS = 24
 #: Minimum hashes in a key, and keys of a text. A pair of similarity s shares a key with 1 - (1 - s^4)^20: 0.996 at 0.7, 0.9995 at 0.75.
 ROWS, KEYS = 4, 20
+#: Nodes by which a task folds copies before it begins anew, and shingles that an exact join counts as frequent, at most.
+FOLDED, FREQUENT = 2_000_000, 2_000_000
 
 _KEY_SCHEMA = "key bigint, rank bigint, node bigint"
-_FOUND_SCHEMA = "a bigint, b bigint, key bigint, block int, nodes array<bigint>, ranks array<bigint>, mask bigint, value bigint"
+_FOUND_SCHEMA = "a bigint, b bigint, key bigint, block bigint, nodes array<bigint>, ranks array<bigint>, mask bigint, value bigint"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -54,25 +59,28 @@ def ranks(minima: np.ndarray) -> np.ndarray:
     return shingles.gray_rank(shingles.fingerprint(minima)) ^ np.uint64(1 << 63)
 
 
-def signed_rows(texts: DataFrame, key: str, text: str = "text", width: int = 3, rows: int = ROWS, keys: int = KEYS) -> DataFrame:
-    """(key, node, rank, keys ARRAY<BIGINT>) of every row with a shingle; the keys of a node are null but at its first row in a task."""
-    src = spread(texts.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")))
+def signed_rows(texts: DataFrame, carry: list[str], text: str = "text", width: int = 3, rows: int = ROWS, keys: int = KEYS) -> DataFrame:
+    """(*carry, node, rank, keys ARRAY<BIGINT>) of every row with a shingle; the keys of a node are null but at its first row in a task."""
+    src = spread(texts.select(*carry, F.col(text).cast("string").alias("_t")))
+    kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set = set()
         for batch in batches:
             for at in range(0, batch.num_rows, shingles.SLICE_ROWS):
                 part = batch.slice(at, shingles.SLICE_ROWS)
-                row, node, minima = shingles.signatures(*shingles.shingle_sets(part.column(1).to_pylist(), width), rows * keys)
+                row, node, minima = shingles.signatures(*shingles.shingle_sets(part.column(len(carry)).to_pylist(), width), rows * keys)
                 if not len(row):
                     continue
                 old = np.array([x in met or met.add(x) is not None for x in node.tolist()], bool)
+                if len(met) > FOLDED:
+                    met.clear()
                 values = pa.array(_signed(np.ascontiguousarray(band_keys(minima, rows, keys).T).ravel()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * keys), values)
                 lists = lists.filter(pa.array(~old)).take(pa.array(np.where(old, 0, np.cumsum(~old) - 1), mask=old))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(_signed(node)), pa.array(_signed(ranks(minima))), lists], names=[key, "node", "rank", "keys"])
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in part.columns[: len(carry)]], pa.array(_signed(node)), pa.array(_signed(ranks(minima))), lists], names=[*carry, "node", "rank", "keys"])
 
-    return src.mapInArrow(run, f"`{key}` {src.schema['_k'].dataType.simpleString()}, node bigint, rank bigint, keys array<bigint>")
+    return src.mapInArrow(run, f"{kinds}, node bigint, rank bigint, keys array<bigint>")
 
 
 def index_keys(texts: DataFrame, text: str = "text", width: int = 3, rows: int = ROWS, keys: int = KEYS) -> DataFrame:
@@ -86,54 +94,64 @@ def index_keys(texts: DataFrame, text: str = "text", width: int = 3, rows: int =
                 part = batch.slice(at, shingles.SLICE_ROWS)
                 _, node, minima = shingles.signatures(*shingles.shingle_sets(part.column(0).to_pylist(), width), rows * keys)
                 new = np.array([x not in met and met.add(x) is None for x in node.tolist()], bool)
-                node, minima = node[new], minima[:, new]
-                if not len(node):
+                if not new.any():
                     continue
+                node, minima = node[new], minima[:, new]
+                if len(met) > FOLDED:
+                    met.clear()
                 out = band_keys(minima, rows, keys)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(out.ravel())), pa.array(_signed(np.tile(ranks(minima), keys))), pa.array(_signed(np.tile(node, keys)))], names=["key", "rank", "node"])
 
     return src.mapInArrow(run, _KEY_SCHEMA)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def prefix_keys(texts: DataFrame, text: str = "text", width: int = 3, least: float = 0.7) -> DataFrame:
+    """(key, rank, node) for an exact join: the keys of a text are the hashes of its prefix, the |x| - ceil(least |x|) + 1 first shingles in an order that all texts share.
 
+    Two texts of similarity `least` or more have a shingle of their prefixes in common, whatever the order; here rare shingles come first, so
+    that keys part texts well. Of a count over all texts as many of the most frequent as may be broadcast are told apart; all others count as equally rare.
+    """
+    src = spread(texts.select(F.col(text).cast("string").alias("_t")))
 
-def index_keys(texts: DataFrame, text: str = "text", width: int = 3, rows: int = ROWS, keys: int = KEYS, extra: list[str] = ()) -> DataFrame:
-    """(key, rank, node, *extra) of every text with a shingle; equal sets of shingles and equal extras once in a task."""
-    src = texts.select(F.col(text).cast("string").alias("_t"), *extra)
-    schema = _KEY_SCHEMA + "".join(f", `{x}` {src.schema[x].dataType.simpleString()}" for x in extra)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, shingles.SLICE_ROWS):
+                _, h = shingles.shingle_sets(batch.column(0).slice(at, shingles.SLICE_ROWS).to_pylist(), width)
+                h, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    counts = cut(src.mapInArrow(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2"))
+    floor = 2
+    while counts.filter(F.col("n") > floor).count() > FREQUENT:
+        floor *= 4
+    often = counts.filter(F.col("n") > floor).toPandas()
+    often = often.sort_values("h")
+    shared = texts.sparkSession.sparkContext.broadcast((often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
+    parts = 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set = set()
+        frequent, times = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, shingles.SLICE_ROWS):
-                part = batch.slice(at, shingles.SLICE_ROWS)
-                row, node, minima = shingles.signatures(*shingles.shingle_sets(part.column(0).to_pylist(), width), rows * keys)
-                new = np.zeros(len(row), bool)
-                more = [c.to_pylist() for c in part.columns[1:]]
-                for i, (r, x) in enumerate(zip(row.tolist(), node.tolist())):
-                    what = (x, *[c[r] for c in more]) if more else x
-                    if what not in met:
-                        met.add(what)
-                        new[i] = True
-                row, node, minima = row[new], node[new], minima[:, new]
-                if not len(row):
+                row, h = shingles.shingle_sets(batch.column(0).slice(at, shingles.SLICE_ROWS).to_pylist(), width)
+                at_row, node, minima = shingles.signatures(row, h, 64)
+                if not len(node):
                     continue
-                rank = shingles.gray_rank(shingles.fingerprint(minima)) ^ np.uint64(1 << 63)
-                out = np.empty((keys, len(row)), np.uint64)
-                for k in range(keys):
-                    h = np.full(len(row), k + 1, np.uint64)
-                    for j in range(k * rows, (k + 1) * rows):
-                        h = shingles.mix(h ^ minima[j].astype(np.uint64))
-                    out[k] = h >> np.uint64(20)
-                take = pa.array(np.tile(row, keys))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(out.ravel())), pa.array(_signed(np.tile(rank, keys))), pa.array(_signed(np.tile(node, keys))), *[c.take(take) for c in part.columns[1:]]],
-                    names=["key", "rank", "node", *extra],
-                )
-
-    return src.mapInArrow(run, schema)
+                often = np.zeros(len(h), np.int64)
+                if len(frequent):
+                    place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                    often = np.where(frequent[place] == h, times[place], 0)
+                order = np.lexsort((h, often, row))
+                row, h = row[order], h[order]
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                size = np.diff(np.append(starts, len(row)))
+                # whole numbers, so that a tie at the threshold is exact
+                prefix = size + (-(round(least * parts) * size) // parts) + 1
+                keep = np.arange(len(row)) - np.repeat(starts, size) < np.repeat(prefix, size)
+                which = np.searchsorted(at_row, row[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h[keep])), pa.array(_signed(ranks(minima)[which])), pa.array(_signed(node[which]))], names=["key", "rank", "node"])
+
+    return src.mapInArrow(run, _KEY_SCHEMA)
 
 
 def _shared(codes: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -216,81 +234,89 @@ def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     n = len(a)
     lists = pa.nulls(n, pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), lists, lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+        [pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), lists, lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
         names=["a", "b", "key", "block", "nodes", "ranks", "mask", "value"],
     )
 
 
+_BLOCK_KINDS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("nodes", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64())), ("mask", pa.int64()), ("value", pa.int64())])
+
+
 def _blocks_batch(key: int, number: int, rank: np.ndarray, node: np.ndarray) -> tuple[pa.RecordBatch, int]:
     rows = []
     for at in range(0, len(rank), BLOCK):
         r, n = rank[at : at + BLOCK], node[at : at + BLOCK]
-        mask, value = _shared(_codes(r))
-        rows.append({"a": None, "b": None, "key": key, "block": number, "nodes": n.tolist(), "ranks": r.tolist(), "mask": int(np.array([mask]).view(np.int64)[0]), "value": int(np.array([value]).view(np.int64)[0])})
+        both = np.array(_shared(_codes(r)), np.uint64).view(np.int64).tolist()
+        rows.append({"a": None, "b": None, "key": key, "block": number, "nodes": n.tolist(), "ranks": r.tolist(), "mask": both[0], "value": both[1]})
         number += 1
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("nodes", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64())), ("mask", pa.int64()), ("value", pa.int64())])
-    return pa.RecordBatch.from_pylist(rows, schema=kinds), number
+    return pa.RecordBatch.from_pylist(rows, schema=_BLOCK_KINDS), number
 
 
-def _scan(most: int, hot: int = HOT):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        carry, number, open_key = (none, none, none), 0, None
+class Scan:
+    """Pairs and blocks of a stream of (key, rank, node), sorted in this order.
 
-        def close(group):
-            nonlocal number, open_key
-            out = _blocks_batch(open_key, number, group[1], group[2])[0] if len(group[0]) else None
-            number, open_key = 0, None
-            return out
+    split: the stream is a share of a larger one, so its first and last group may go on elsewhere and come out as blocks.
+    first: number of the first block; those of other shares must be apart.
+    """
 
-        for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if not len(new[0]):
-                continue
-            key, rank, node = (np.concatenate(x) for x in zip(carry, new))
-            again = np.concatenate(([False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])))
-            if again.any():
-                key, rank, node = key[~again], rank[~again], node[~again]
-            if open_key is not None:
-                n = int(np.searchsorted(key, open_key, "right"))
-                if n < len(key):
-                    if (b := close((key[:n], rank[:n], node[:n]))) is not None:
-                        yield b
-                    key, rank, node = key[n:], rank[n:], node[n:]
-            s = int(np.searchsorted(key, key[-1], "left"))
-            if s:
-                big = np.flatnonzero(np.diff(np.append(np.flatnonzero(np.concatenate(([True], key[1:s] != key[: s - 1]))), s)) > hot)
-                if len(big):
-                    first = np.flatnonzero(np.concatenate(([True], key[1:s] != key[: s - 1])))
-                    ends = np.append(first[1:], s)
-                    for g in big.tolist():
-                        yield _blocks_batch(int(key[first[g]]), 0, rank[first[g] : ends[g]], node[first[g] : ends[g]])[0]
-                    keep = np.ones(s, bool)
-                    for g in big.tolist():
-                        keep[first[g] : ends[g]] = False
-                    a, b = _group_pairs(key[:s][keep], rank[:s][keep], node[:s][keep], most) if keep.any() else (none, none)
-                else:
-                    a, b = _group_pairs(key[:s], rank[:s], node[:s], most)
+    def __init__(self, most: int, hot: int = HOT, split: bool = False, first: int = 0):
+        self.most, self.hot, self.split, self.number = most, hot, split, first
+        #: the key whose group comes out as blocks, and the first key of the stream
+        self.open_key = self.first_key = None
+        none = np.zeros(0, np.int64)
+        self.carry = (none, none, none)
+
+    def _as_blocks(self, key: int, rank: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        out, self.number = _blocks_batch(key, self.number, rank, node)
+        return out
+
+    def add(self, key: np.ndarray, rank: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        key, rank, node = (np.concatenate(x) for x in zip(self.carry, (key, rank, node)))
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        key, rank, node = key[fresh], rank[fresh], node[fresh]
+        if self.first_key is None:
+            self.first_key = int(key[0])
+            if self.split:
+                self.open_key = self.first_key
+        s = int(np.searchsorted(key, key[-1], "left"))
+        if s:
+            starts = np.flatnonzero(np.concatenate(([True], key[1:s] != key[: s - 1])))
+            ends = np.append(starts[1:], s)
+            apart = ends - starts > self.hot
+            if self.open_key is not None:
+                apart[0] = True
+            keep = np.ones(s, bool)
+            for f, t in zip(starts[apart].tolist(), ends[apart].tolist()):
+                keep[f:t] = False
+                yield self._as_blocks(int(key[f]), rank[f:t], node[f:t])
+            self.open_key = None
+            if keep.any():
+                a, b = _group_pairs(key[:s][keep], rank[:s][keep], node[:s][keep], self.most)
                 if len(a):
                     yield _pairs_batch(a, b)
-            carry = (key[s:], rank[s:], node[s:])
-            if len(carry[0]) > hot or open_key is not None:
-                open_key = int(carry[0][0])
-                whole = (len(carry[0]) - 1) // BLOCK * BLOCK
-                if whole:
-                    out, number = _blocks_batch(open_key, number, carry[1][:whole], carry[2][:whole])
-                    yield out
-                    carry = tuple(x[whole:] for x in carry)
-        if open_key is not None:
-            if (b := close(carry)) is not None:
-                yield b
-        elif len(carry[0]):
-            a, b = _group_pairs(*carry, most)
+        key, rank, node = key[s:], rank[s:], node[s:]
+        if len(key) > self.hot or self.open_key is not None:
+            self.open_key = int(key[0])
+            # the last row stays, so that its node is known when it comes again
+            whole = (len(key) - 1) // BLOCK * BLOCK
+            if whole:
+                yield self._as_blocks(self.open_key, rank[:whole], node[:whole])
+                key, rank, node = key[whole:], rank[whole:], node[whole:]
+        self.carry = (key, rank, node)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        key, rank, node = self.carry
+        if not len(key):
+            return
+        if self.split or self.open_key is not None:
+            yield self._as_blocks(int(key[0]), rank, node)
+        else:
+            a, b = _group_pairs(key, rank, node, self.most)
             if len(a):
                 yield _pairs_batch(a, b)
 
-    return run
-
 
 def _block_pairs(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,19 +334,43 @@ def _block_pairs(most: int):
     return run
 
 
-def candidate_pairs(keys: DataFrame, most: int = MOST_BITS, hot: int = HOT) -> DataFrame:
+def pairs_of_blocks(blocks: DataFrame, most: int) -> DataFrame:
+    """(a, b) of blocks (key, block, nodes, ranks, mask, value): blocks of one key meet by mask and value, and only those that may hold a pair are compared."""
+    few = blocks.select("key", "block", "mask", "value")
+    met = few.join(few.toDF("key", "block_2", "mask_2", "value_2"), "key").filter("block <= block_2").filter(F.expr(f"bit_count((mask & mask_2) & (value ^ value_2)) <= {int(most)}")).select("key", "block", "block_2")
+    one = met.join(blocks.select("key", "block", "nodes", "ranks"), ["key", "block"])
+    two = one.join(blocks.select("key", F.col("block").alias("block_2"), F.col("nodes").alias("nodes_2"), F.col("ranks").alias("ranks_2")), ["key", "block_2"])
+    return two.select("block", "block_2", "nodes", "nodes_2", "ranks", "ranks_2").mapInArrow(_block_pairs(most), "a bigint, b bigint")
+
+
+def candidate_pairs(keys: DataFrame, most: int = MOST_BITS, hot: int = HOT, share: int = probing.SHARE) -> DataFrame:
     """Distinct (a, b), a < b: pairs of nodes that share an index key and differ in at most `most` bits.
 
     keys: (key, rank, node). An empty table gives none.
     """
     spark = keys.sparkSession
-    found = cut(keys.select("key", "rank", "node").repartition("key").sortWithinPartitions("key", "rank", "node").mapInArrow(_scan(most, hot), _FOUND_SCHEMA))
+    path, buckets = scratch(spark, "keys"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    probing.write_part(keys.select("key", "rank", "node"), path, "key", buckets, ("rank", "node"))
+    tasks = probing.shares(spark, probing.part_files(spark, path), share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, uri, i, n in zip(*[c.to_pylist() for c in batch.columns]):
+                yield from scanned(b, uri, i, n, most, hot)
+
+    found = cut(tasks.mapInArrow(run, _FOUND_SCHEMA))
     pairs = found.filter("a is not null").select("a", "b")
     blocks = found.filter("block is not null").select("key", "block", "nodes", "ranks", "mask", "value")
     if not blocks.isEmpty():
-        other = blocks.toDF("key", "block_2", "nodes_2", "ranks_2", "mask_2", "value_2")
-        meet = blocks.join(other, "key").filter("block <= block_2").filter(F.expr(f"bit_count((mask & mask_2) & (value ^ value_2)) <= {int(most)}"))
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        meet = meet.select("block", "block_2", "nodes", "nodes_2", "ranks", "ranks_2").repartition(4 * parts)
-        pairs = pairs.unionByName(meet.mapInArrow(_block_pairs(most), "a bigint, b bigint"))
+        pairs = pairs.unionByName(pairs_of_blocks(blocks, most))
     return pairs.distinct()
+
+
+def scanned(number: int, uri: str, share: int, shares: int, most: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Pairs and blocks of a share of a file of sorted keys."""
+    with probing.open_file(uri) as raw, probing.pq.ParquetFile(raw) as file:
+        scan = Scan(most, hot, shares > 1, (number << 40) + (share << 24))
+        for g in probing.share_of(file, share, shares):
+            t = file.read_row_group(g, columns=["key", "rank", "node"])
+            yield from scan.add(*[t.column(c).to_numpy() for c in ("key", "rank", "node")])
+        yield from scan.end()

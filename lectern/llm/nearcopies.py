@@ -1,7 +1,8 @@
 """Near-copies: rows of texts whose sets of word shingles are similar, without comparing all pairs.
 
 similar_pairs() gives all pairs of rows; copy_groups() one row for each text with its group and number of links.
-Candidates come from the Gray-ordered index (grayindex); each is then checked exactly on whole texts.
+Candidates come from the Gray-ordered index (grayindex), or with exact=True from a join of prefixes that misses none; each is then
+checked exactly on whole texts.
 Nulls, empty texts and texts of fewer words than a shingle have no shingle: they are in no pair, and alone in
 copy_groups. Equal texts are similar with 1. Repeated keys count as rows of their own only if their key differs.
 Empty tables give empty results; other columns are not read, whatever their names.
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm import grayindex, shingles
 from lectern.llm.links import components
-from lectern.session import cut, keep_matching, spread
+from lectern.session import cut, keep_matching, lookup, spread
+
+#: Rows of a class that meet those of another in one task.
+PART = 2000
 
 
 def nodes_of(texts: DataFrame, key: str, text: str = "text", width: int = 3, with_text: bool = False) -> DataFrame:
@@ -67,36 +71,65 @@ def verified(pairs: DataFrame, members: DataFrame, key: str, width: int, least:
     return two.select("a", "b", "ta", "tb").mapInArrow(_verify(width, least), "a bigint, b bigint, similarity double")
 
 
-def class_links(texts: DataFrame, key: str, text: str = "text", width: int = 3, least: float = 0.7) -> DataFrame:
-    """(a, b, similarity): links between classes of equal sets of shingles, each pair once."""
-    pairs = cut(grayindex.candidate_pairs(grayindex.index_keys(texts, text, width)))
+def class_links(texts: DataFrame, key: str, text: str = "text", width: int = 3, least: float = 0.7, exact: bool = False) -> DataFrame:
+    """(a, b, similarity): links between classes of equal sets of shingles, each pair once.
+
+    The index misses a pair of similarity s with (1 - s^ROWS)^KEYS. exact finds all: candidates then come from a join of prefixes, which costs more shuffle.
+    """
+    if exact:
+        pairs = cut(grayindex.candidate_pairs(grayindex.prefix_keys(texts, text, width, least), 64))
+    else:
+        pairs = cut(grayindex.candidate_pairs(grayindex.index_keys(texts, text, width)))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     return verified(pairs, keep_matching(nodes_of(texts, key, text, width, with_text=True), wanted, "node"), key, width, least)
 
 
-def similar_pairs(texts: DataFrame, key: str, text: str = "text", width: int = 3, least: float = 0.7) -> DataFrame:
-    """(key_a, key_b) with key_a < key_b: every pair of rows of similarity `least` or more, equal texts included."""
-    links = cut(class_links(texts, key, text, width, least)).select("a", "b")
+def _in_parts(members: DataFrame, sizes: DataFrame, part: int) -> DataFrame:
+    """members (node, key) with the part of their node that they fall in, and how many parts it has. sizes: (node, parts) of nodes with more than one."""
+    parts = F.coalesce("parts", F.lit(1))
+    return lookup(members, sizes, "node", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+
+def similar_pairs(texts: DataFrame, key: str, text: str = "text", width: int = 3, least: float = 0.7, exact: bool = False, part: int = PART) -> DataFrame:
+    """(key_a, key_b) with key_a < key_b: every pair of rows of similarity `least` or more, equal texts included.
+
+    The rows of a class of more than `part` are parted, and the parts of classes meet in tasks of their own, each of at most part * part pairs.
+    """
+    links = cut(class_links(texts, key, text, width, least, exact)).select("a", "b")
     members = nodes_of(texts, key, text, width)
     repeated = members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
     wanted = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(repeated)
-    members = cut(keep_matching(members, wanted, "node"))
-    one, two = members.toDF("a", "x"), members.toDF("b", "y")
-    across = links.join(one, "a").join(two, "b").select("x", "y")
-    within = members.toDF("node", "x").join(members.toDF("node", "y"), "node").filter("x < y").select("x", "y")
+    members = cut(keep_matching(members, wanted, "node").toDF("node", "key"))
+    sizes = cut(members.groupBy("node").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("parts > 1"))
+    if sizes.isEmpty():
+        one, two = members.toDF("a", "x"), members.toDF("b", "y")
+        across = links.join(one, "a").join(two, "b").select("x", "y")
+        within = members.toDF("node", "x").join(members.toDF("node", "y"), "node").filter("x < y").select("x", "y")
+    else:
+        placed = cut(_in_parts(members, sizes, part).select("node", "part", "parts", "key"))
+        count = lambda x: F.sequence(F.lit(0), F.coalesce(x, F.lit(1)) - 1)
+        cells = links
+        for end, of in (("a", "pa"), ("b", "pb")):
+            cells = lookup(cells, sizes.toDF(end, "parts"), end, "left").withColumn(of, F.explode(count(F.col("parts")))).drop("parts")
+            cells = cut(cells)
+        across = cells.join(placed.select(F.col("node").alias("a"), F.col("part").alias("pa"), F.col("key").alias("x")), ["a", "pa"]).join(placed.select(F.col("node").alias("b"), F.col("part").alias("pb"), F.col("key").alias("y")), ["b", "pb"]).select("x", "y")
+        low = placed.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("node", "part", "other", F.col("key").alias("x"))
+        high = placed.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("part")))).select("node", F.col("low").alias("part"), F.col("part").alias("other"), F.col("key").alias("y"))
+        within = low.join(high, ["node", "part", "other"]).filter("part < other or x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).filter(f"`{key}_a` < `{key}_b`").distinct()
 
 
-def copy_groups(texts: DataFrame, key: str, text: str = "text", width: int = 3, least: float = 0.7) -> DataFrame:
+def copy_groups(texts: DataFrame, key: str, text: str = "text", width: int = 3, least: float = 0.7, exact: bool = False) -> DataFrame:
     """(key, group_id, n_links) for every row: its group's smallest key and the number of other classes its class is linked to."""
-    links = cut(class_links(texts, key, text, width, least).select("a", "b"))
+    links = cut(class_links(texts, key, text, width, least, exact).select("a", "b"))
     members = nodes_of(texts, key, text, width)
     first = members.groupBy("node").agg(F.min(key).alias("first"))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     group = components(links).toDF("node", "component")
-    by_node = first.join(group, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least_key = by_node.groupBy("component").agg(F.min("first").alias("group_id"))
-    named = by_node.join(least_key, "component").select("node", "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    found = members.join(named, "node").select(F.col(key).alias("_k"), "group_id", "n_links")
+    by_node = cut(first.join(group, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least_key = cut(by_node.groupBy("component").agg(F.min("first").alias("group_id")))
+    named = cut(lookup(by_node, least_key, "component").select("node", "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    # a class may hold most rows: its one row of names is broadcast or spread
+    found = lookup(members, named, "node").select(F.col(key).alias("_k"), "group_id", "n_links")
     every = texts.select(F.col(key)).distinct()
     return every.join(found, every[key] == found["_k"], "left").select(F.col(key), F.coalesce("group_id", F.col(key)).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")).distinct()

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.probing import open_file
 from lectern.session import cut
 
 #: Most code points of a piece, and code points that neighbours share.
@@ -168,18 +169,6 @@ def synced(data: bytes, p: int) -> int:
     return min(p, n)
 
 
-def _reader(uri: str):
-    """An open file that can be sought, wherever pyarrow's file systems reach (local, HDFS, object stores)."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    if uri.startswith("/"):
-        return fs.LocalFileSystem().open_input_file(uri)
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(path)
-
-
 def files_under(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(path, bytes) of a file, or of the files of a folder but those whose names begin with a dot or underscore."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -206,7 +195,7 @@ def file_pieces(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int
         for batch in batches:
             for f, total, r in zip(*[c.to_pylist() for c in batch.columns]):
                 at = max(0, r * range_size - halo)
-                with _reader(f) as file:
+                with open_file(f) as file:
                     file.seek(at)
                     data = file.read(min(total, (r + 1) * range_size + 2 * halo) - at)
                 # a halo begins anywhere, and no character is longer than four bytes
