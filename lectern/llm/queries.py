@@ -84,6 +84,10 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(_t(spark, d, "documents"))
 
 
+def p7_reuse(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.chunk_reuse(_t(spark, d, "documents"))
+
+
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
     return mixing.Mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"), total_tokens=mixing.WHOLE)
 
@@ -111,7 +115,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_repaired, p2_found, p2_pieces, p2_rejoined, p2_files, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_defects, p7_ids, p8_mix, p8_shares, p9_found, p9_composition)
+    every = (p1_found, p1_repaired, p2_found, p2_pieces, p2_rejoined, p2_files, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_defects, p7_ids, p7_reuse, p8_mix, p8_shares, p9_found, p9_composition)
     return {f.__name__: f for f in every}
 
 

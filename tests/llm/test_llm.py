@@ -347,6 +347,24 @@ def test_chunk_encoding(t, n):
     assert work.encode(text) == work.plain.encode_ordinary(text) == work.encode(text)
 
 
+@given(st.text(alphabet="ab1'. ,-\n\t\x1c\x85\u2003ñé€😀sdtmrevl\x00", max_size=120))
+@settings(max_examples=400, deadline=None)
+def test_joins_are_repaired(t):
+    work = tokens.ChunkEncoder(mean=2, keep=30)
+    want = work.plain.encode_ordinary(t * 3)
+    assert work.encode(t * 3) == want == work.encode(t * 3)
+    data = t.encode()
+    for at in tokens.exact_splits(np.frombuffer(data, np.uint8)).tolist() if len(data) > 1 else []:
+        assert work.plain.encode_ordinary(data[:at].decode()) + work.plain.encode_ordinary(data[at:].decode()) == work.plain.encode_ordinary(t)
+
+
+def test_chunks_are_reused(spark):
+    texts = [passage(random.Random(i % 3), 400) for i in range(30)]
+    r = tokens.chunk_reuse(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).first()
+    assert r["saved"] > 0.3 * r["bytes"] and r["bytes"] == sum(map(len, texts)) and r["chunks"] > r["reused"] > 0
+    assert tuple(tokens.chunk_reuse(spark.createDataFrame([], "text string")).first()) == (0, 0, 0, 0)
+
+
 def test_token_ids(spark):
     texts = [None, "", " ", "\n\n", "<|endoftext|> x", "it's   ñ 😀", "a" * 20000, "hola mundo. " * 300, "\xa0  x"]
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(7, texts[7], "x")], "doc_id bigint, text string, ids string")
