@@ -15,22 +15,27 @@ does not decode, or gives no known word. Repeated rows give equal rows; other co
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import spread
+from lectern.session import cut, lookup, spread
 
 #: Encodings by which UTF-8 was read, and (read as, really) for single-byte pairs.
 READ_AS = ("cp1252", "latin-1", "iso8859-2", "cp1250", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1251", "cp1254", "cp1257", "koi8-r", "cp1253", "cp866")
 SINGLE = (("cp1251", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1250", "cp1252"), ("iso8859-2", "cp1252"), ("koi8-r", "cp1252"), ("cp1253", "cp1252"), ("iso8859-5", "cp1252"), ("cp1257", "cp1252"), ("cp866", "cp1252"))
-#: Layers of a nest; documents that must have a word for it to count as known, and its share of all; times more frequent than what is there.
-LAYERS, LEAST_DOCS, LEAST_SHARE, TIMES = 4, 3, 2e-5, 10
+#: Documents that must have a word for it to count as known; times more frequent than what is there it must be.
+LEAST_DOCS, TIMES = 3, 10
+#: Documents, and share of all, from which on a capital within a word counts as the way it is written.
+RARE_DOCS, RARE_SHARE = 60, 6e-4
+#: Garbled words that are sent to the workers as a whole.
+GARBLED_WORDS = 500_000
 #: Words kept by a worker with what was decided on them.
 CACHE_WORDS = 300_000
 
@@ -124,10 +129,11 @@ def _to_utf8(run: str) -> str | None:
 
 def unnest(run: str) -> str:
     """A run with its layers of UTF-8 undone; parts of it where the whole doesn't decode."""
-    for _ in range(LAYERS):
+    # each layer costs less than the one before, so this ends
+    while True:
         got = _to_utf8(run)
         if got is None and len(run) > 2:
-            # garbled and correct characters side by side: the longest parts that decode
+            # garbled and correct characters side by side: the longest parts that decode; of longer ones the pieces decode as well
             out, i = [], 0
             while i < len(run):
                 for j in range(min(len(run), i + 12), i + 1, -1):
@@ -171,66 +177,92 @@ def odd(word: str) -> int:
     return n
 
 
+def counted(word: str) -> str:
+    """key_of() a word, by its digest where it is long."""
+    key = key_of(word)
+    return key if len(key) <= 60 else "#é" + hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _unnested(word: str) -> str:
+    return _RUN.sub(lambda m: unnest(m.group()), word)
+
+
+def _with_lost_hyphens(word: str) -> str:
+    """A lead byte whose second, read as a soft hyphen, was cleaned away."""
+    return _unnested(re.sub("Ã(?![\x80-\xbf])", "Ã\xad", word)) if "Ã" in word else word
+
+
+def _singles(word: str) -> list[tuple[str, tuple[str, str]]]:
+    """(reading, encoding pair) of the single-byte readings of a word that look no worse than it does."""
+    core, out = key_of(word), []
+    plain = sum(c.isalpha() and c < "\x80" for c in core)
+    # a word needs plain letters beside; lone characters are told only from ones that text doesn't use
+    if not (plain >= 2 or len(core) > 1 and plain or cost(core) > 2 * len(core)):
+        return out
+    for read, real in SINGLE:
+        data = _encode(word, read)
+        if data is None:
+            continue
+        try:
+            got = data.decode(real)
+        except UnicodeDecodeError:
+            continue
+        if got != word and cost(got) <= cost(word) and odd(got) <= odd(word) and not key_of(got).isascii():
+            out.append((got, (read, real)))
+    return out
+
+
+def options(word: str) -> tuple[set[str], set[str]] | None:
+    """(keys, shapes) whose frequencies tell whether a word is garbled and what it was; None for a word that is fine whatever they are."""
+    got, again, singles = _unnested(word), _with_lost_hyphens(word), _singles(word)
+    if got == word == again and not singles and not _LOST_BYTE.search(word) and not _lost(word):
+        return None
+    readings = [word, got, again, *[x for x, _ in singles]]
+    return {counted(x) for x in readings}, {x.strip(_OUTER) for x in readings if "�" in x}
+
+
 class Repairer:
-    def __init__(self, known: dict[str, int], least: int = LEAST_DOCS):
-        self.known, self.least = known, least
+    """Decides on words by the documents that have them. known: documents of each word outside ASCII, by counted(); shapes: the word of a shape, where it dwarfs all others.
+
+    rare: documents from which on a capital within a word counts as the way it is written.
+    """
+
+    def __init__(self, known: dict[str, int], least: int = LEAST_DOCS, shapes: dict[str, str] | None = None, rare: int = RARE_DOCS):
+        self.known, self.least, self.rare = known, least, rare
         self.met: dict[str, tuple[bool, str]] = {}
         self.by: dict[str, tuple[str, str]] = {}
-        #: known words by their shape, where lost characters are U+FFFD; those that one word dwarfs all others for
-        shapes: dict[str, list[tuple[int, str]]] = {}
-        for w, n in known.items():
-            if "�" not in w and any(c.isalpha() and c < "\x80" for c in w):
-                shapes.setdefault(_RUN.sub(lambda m: "�" * len(m.group()), w), []).append((n, w))
-        self.shapes = {}
-        for shape, found in shapes.items():
-            found.sort(reverse=True)
-            if found[0][0] >= least and (len(found) == 1 or found[0][0] >= TIMES * found[1][0]):
-                self.shapes[shape] = found[0][1]
+        self.shapes = shapes_of(known.items(), least) if shapes is None else shapes
+
+    def _times(self, word: str) -> int:
+        return self.known.get(counted(word), 0)
 
     def _single(self, word: str) -> str | None:
-        core = key_of(word)
-        have = self.known.get(core, 0)
-        best, times = None, max(self.least, TIMES * max(1, have)) - 1
-        plain = sum(c.isalpha() and c < "\x80" for c in core)
-        for read, real in SINGLE:
-            data = _encode(word, read)
-            if data is None:
-                continue
-            try:
-                got = data.decode(real)
-            except UnicodeDecodeError:
-                continue
-            inner = key_of(got)
-            n = self.known.get(inner, 0)
-            if cost(got) > cost(word) or odd(got) > odd(word):
-                continue
-            # a word needs plain letters beside; lone characters are told only from ones that text doesn't use
-            if inner and not inner.isascii() and n > times and (plain >= 2 or len(core) > 1 and plain or cost(core) > 2 * len(core)):
+        best, times = None, max(self.least, TIMES * max(1, self._times(word))) - 1
+        for got, pair in _singles(word):
+            if (n := self._times(got)) > times:
                 best, times = got, n
-                self.by[word] = (read, real)
+                self.by[word] = pair
         return best
 
+    def decide(self, word: str) -> tuple[bool, str]:
+        got = _unnested(word)
+        # a word that many documents have, and that would become one that none has, is correct as it is
+        if got != word and not key_of(got).isascii() and self._times(word) > self._times(got):
+            got = word
+        if got == word and (again := _with_lost_hyphens(word)) != word and self._times(again) > max(self.least, TIMES * self._times(word)) - 1:
+            got = again
+        if got == word or _lost(got):
+            got = self._single(got) or got
+        if "�" in got and (inner := got.strip(_OUTER)) in self.shapes:
+            got = got.replace(inner, self.shapes[inner], 1)
+        # lost bytes are garbled however many documents have the word
+        return got != word or _LOST_BYTE.search(word) is not None or _lost(word) and self._times(word) < self.rare, got
+
     def word(self, word: str) -> tuple[bool, str]:
         """(garbled, restored)"""
         found = self.met.get(word)
         if found is None:
-            got = _RUN.sub(lambda m: unnest(m.group()), word)
-            core = key_of(word)
-            # a word that many documents have, and that would become one that none has, is correct as it is
-            inner = key_of(got)
-            if got != word and not inner.isascii() and self.known.get(core, 0) > self.known.get(inner, 0):
-                got = word
-            if got == word and "Ã" in word:
-                # a lead byte whose second, read as a soft hyphen, was cleaned away
-                again = _RUN.sub(lambda m: unnest(m.group()), re.sub("Ã(?![\x80-\xbf])", "Ã\xad", word))
-                if self.known.get(key_of(again), 0) > max(self.least, TIMES * self.known.get(core, 0)) - 1:
-                    got = again
-            if got == word or _lost(got):
-                got = self._single(got) or got
-            if "�" in got and (inner := got.strip(_OUTER)) in self.shapes:
-                got = got.replace(inner, self.shapes[inner], 1)
-            # lost bytes are garbled however many documents have the word; a capital within it may be the way it is written
-            found = (got != word or _LOST_BYTE.search(word) is not None or _lost(word) and self.known.get(key_of(word), 0) < self.least * 20, got)
+            found = self.decide(word)
             if len(self.met) >= CACHE_WORDS:
                 self.met.clear(), self.by.clear()
             self.met[word] = found
@@ -265,45 +297,145 @@ def words(text: str) -> set[str]:
     return {w for w in re.split(r"[ \n\t\r]+", text) if not w.isascii()}
 
 
-def frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(word, docs) of words outside ASCII over all documents; counted in each task before the shuffle."""
-    src = spread(documents.select(F.col(text).cast("string").alias("_t")))
+def shapes_of(words: Iterable[tuple[str, int]], least: int = LEAST_DOCS) -> dict[str, str]:
+    """The word of each shape, its characters outside ASCII as U+FFFD, where one has `least` documents and dwarfs all others."""
+    by: dict[str, list[tuple[int, str]]] = {}
+    for w, n in words:
+        if "�" not in w and any(c.isalpha() and c < "\x80" for c in w):
+            by.setdefault(_RUN.sub(lambda m: "�" * len(m.group()), w), []).append((n, w))
+    best = {shape: sorted(found, reverse=True)[:2] for shape, found in by.items()}
+    return {shape: f[0][1] for shape, f in best.items() if f[0][0] >= least and (len(f) == 1 or f[0][0] >= TIMES * f[1][0])}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t and not t.isascii():
-                    counts.update({c for w in words(t) if len(c := key_of(w)) <= 40 and not c.isascii()})
-            if len(counts) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "docs"])
-                counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "docs"])
 
-    return src.mapInArrow(run, "word string, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs"))
+class Told(Repairer):
+    """A repairer that is told what was decided on each garbled word: {word: (restored, read as, really)}."""
+
+    def __init__(self, table: dict[str, tuple[str, str | None, str | None]]):
+        self.met = {w: (True, x[0]) for w, x in table.items()}
+        self.by = {w: (x[1], x[2]) for w, x in table.items() if x[1]}
+
+    def word(self, word: str) -> tuple[bool, str]:
+        return self.met.get(word) or (False, word)
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, docs): documents that have a word, '' for all of them; and (word, null): words that frequencies are to tell of."""
+    counts: Counter = Counter()
+    suspects: set[str] = set()
+    met: dict[str, str] = {}
+
+    def told() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([*counts, *suspects], pa.string()), pa.array([*counts.values(), *[None] * len(suspects)], pa.int64())], names=["word", "docs"])
+        counts.clear(), suspects.clear()
+        return out
 
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            if not t:
+                continue
+            counts[""] += 1
+            if t.isascii():
+                continue
+            keys = set()
+            for w in words(t):
+                key = met.get(w)
+                if key is None:
+                    if len(met) >= CACHE_WORDS:
+                        met.clear()
+                    key = met[w] = counted(w)
+                    if options(w) is not None:
+                        suspects.add(w)
+                if not key.isascii():
+                    keys.add(key)
+            counts.update(keys)
+        if len(counts) + len(suspects) > 200_000:
+            yield told()
+    yield told()
+
+
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, need, shape): what is to be looked up for a suspect."""
+    for batch in batches:
+        rows = [(w, x, kind) for w in batch.column(0).to_pylist() for kind, some in enumerate(options(w)) for x in some]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([bool(r[2]) for r in rows], pa.bool_())], names=["word", "need", "shape"])
+
+
+def garbled_words(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(word, restored, read, real): the garbled words of a corpus, each once, with what they were as far as that can be told, and the pair of single-byte encodings that tells it.
+
+    Frequencies count all documents and all words; they are joined with the few words that they are needed for, and decisions are made word by
+    word, so no table of words is held as a whole anywhere.
+    """
+    src = spread(documents.select(F.col(text).cast("string").alias("_t")))
+    first = cut(src.mapInArrow(_first_pass, "word string, docs bigint"))
+    counts = first.filter("docs is not null").groupBy("word").agg(F.sum("docs").alias("docs"))
+    n = counts.filter("word = ''").select("docs").first()
+    rare = max(RARE_DOCS, int(RARE_SHARE * (n[0] if n else 0)))
+    needs = cut(first.filter("docs is null").select("word").distinct().mapInArrow(_needs, "word string, need string, shape boolean"))
+    counts = counts.filter("word <> ''").select(F.col("word").alias("need"), "docs")
+    known = needs.filter("not shape").join(counts, "need", "left").select("word", "need", F.coalesce("docs", F.lit(0)).alias("docs"), F.lit(None).cast("string").alias("of"))
+    # the two most frequent words of each shape that is asked for tell whether one dwarfs the others
+    asked = needs.filter("shape").select("need").distinct()
+    shaped = counts.filter(~F.col("need").startswith("#é") & ~F.contains("need", F.lit("�")) & F.col("need").rlike("[A-Za-z]")).withColumn("of", F.regexp_replace("need", r"[^\x00-\x7F]", "�"))
+    two = shaped.join(asked.toDF("of"), "of", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("docs"), F.desc("need")))).filter("_r <= 2")
+    by_shape = needs.filter("shape").select("word", F.col("need").alias("of")).join(two.select("of", "need", "docs"), "of").select("word", "need", "docs", "of")
+    told = known.unionByName(by_shape).groupBy("word").agg(F.collect_list(F.struct("need", "docs", "of")).alias("known"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for w, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                one = Repairer({k["need"]: k["docs"] for k in known if k["of"] is None}, LEAST_DOCS, shapes_of([(k["need"], k["docs"]) for k in known if k["of"] is not None]), rare)
+                bad, restored = one.decide(w)
+                if bad:
+                    out.append((w, restored, *one.by.get(w, (None, None))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], names=["word", "restored", "read", "real"])
+
+    return cut(told.mapInArrow(decide, "word string, restored string, read string, real string"))
 
-def known_words(documents: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:
-    """Words outside ASCII of at least LEAST_SHARE of the documents. Their number is at most a document's words / LEAST_SHARE, whatever the corpus."""
-    n = documents.count()
-    least = max(LEAST_DOCS, int(n * LEAST_SHARE))
-    return {r["word"]: r["docs"] for r in frequencies(documents, text).filter(F.col("docs") >= least).collect()}, least
 
+def repaired(documents: DataFrame, key: str = "doc_id", text: str = "text", only_found: bool = False, table: DataFrame | None = None, bound: int = GARBLED_WORDS) -> DataFrame:
+    """(key, garbled, text): every document with its text restored as far as it can be; only_found leaves out the rest.
 
-def repaired(documents: DataFrame, key: str = "doc_id", text: str = "text", known: tuple[dict[str, int], int] | None = None, only_found: bool = False) -> DataFrame:
-    """(key, garbled, text): every document with its text restored as far as it can be; only_found leaves out the rest."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(known or known_words(documents, text))
+    table: garbled_words() of a corpus, of the documents themselves by default. At most `bound` of them, counted first, go to the workers;
+    of more each document is joined with its own.
+    """
+    table = garbled_words(documents, text) if table is None else table
     src = spread(documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")))
+    schema = f"`{key}` {src.schema['_k'].dataType.simpleString()}, garbled boolean, text string"
+
+    def run(own):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, flags, texts = [], [], []
+                for i, (k, t, work) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), own(batch))):
+                    bad = bool(t) and work.garbled(t)
+                    if bad or not only_found:
+                        keys.append(i), flags.append(bad), texts.append(work.restore(t) if bad else t)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(flags, pa.bool_()), pa.array(texts, pa.string())], names=[key, "garbled", "text"])
+
+        return rows
+
+    few = table.limit(bound + 1).collect()
+    if len(few) <= bound:
+        shared = documents.sparkSession.sparkContext.broadcast({r["word"]: (r["restored"], r["read"], r["real"]) for r in few})
+        met: list[Told] = []
+
+        def same(batch: pa.RecordBatch):
+            if not met:
+                met.append(Told(shared.value))
+            return met * batch.num_rows
+
+        return src.mapInArrow(run(same), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = Repairer(*shared.value)
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, flags, texts = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bad = bool(t) and work.garbled(t)
-                if bad or not only_found:
-                    keys.append(k), flags.append(bad), texts.append(work.restore(t) if bad else t)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(flags, pa.bool_()), pa.array(texts, pa.string())], names=[key, "garbled", "text"])
-
-    return src.mapInArrow(run, f"`{key}` {src.schema['_k'].dataType.simpleString()}, garbled boolean, text string")
+            rows = [(h, w) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and not t.isascii() for w in words(t) if options(w) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["_h", "word"])
+
+    # equal texts are repaired alike, so a text's hash stands for it
+    texts = src.withColumn("_h", F.xxhash64("_t"))
+    met = lookup(texts.select("_h", "_t").mapInArrow(suspects, "_h bigint, word string").distinct(), table, "word", bound=bound)
+    own = met.groupBy("_h").agg(F.collect_list(F.struct("word", "restored", "read", "real")).alias("_w"))
+    each = lambda batch: (Told({x["word"]: (x["restored"], x["read"], x["real"]) for x in w or ()}) for w in batch.column(2).to_pylist())
+    return texts.join(own, "_h", "left").select("_k", "_t", "_w").mapInArrow(run(each), schema)
