@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of a row group before it is compressed.
 ROW_GROUP = 1 << 20
 #: Bytes of a file that one task scans.
-SHARE = 64 << 20
+SHARE = 8 << 20
+#: Bytes of small files that one task reads.
+TOGETHER = 2 << 20
 _NAME = re.compile(r"part-(\d+)-")
 
 
@@ -122,7 +124,9 @@ def shares(spark: SparkSession, files: list[tuple[int, str, int]], size: int = S
     """(bucket, file, share, shares) of a part: a file in as many tasks as its size asks for."""
     rows = [(b, f, i, n) for b, f, length in files for n in [max(1, -(-length // size))] for i in range(n)]
     df = spark.createDataFrame(rows, "bucket int, file string, share int, shares int")
-    return df.repartition(max(1, min(len(rows), 100_000)), "file", "share")
+    # small files are read by one task together
+    tasks = max(1, min(len(rows), -(-sum(n for _, _, n in files) // TOGETHER)))
+    return df.repartition(tasks)
 
 
 def share_of(file: pq.ParquetFile, share: int, count: int) -> range:
