@@ -114,8 +114,13 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return by.groupBy("source", "subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 3).alias("mean_share"))
 
 
+def p9_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall on labels that the model hasn't seen."""
+    return subjects.held_out_accuracy(_t(spark, d, "documents"), _t(spark, d, "subject_labels"), _t(spark, d, "subjects"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_repaired, p2_found, p2_pieces, p2_rejoined, p2_files, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_defects, p7_ids, p7_reuse, p8_mix, p8_shares, p9_found, p9_composition)
+    every = (p1_found, p1_repaired, p2_found, p2_pieces, p2_rejoined, p2_files, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_defects, p7_ids, p7_reuse, p8_mix, p8_shares, p9_found, p9_composition, p9_accuracy)
     return {f.__name__: f for f in every}
 
 

@@ -6,10 +6,10 @@ Every sentence gets votes of four labelling functions, each for one subject or n
   section  the heading or web address over or in the sentence, where labelled documents tie it to a subject,
   source   the source and holder of the document, likewise.
 The votes are counted by pattern over the whole corpus (at most (subjects + 1)^4 patterns); from these counts expectation
-maximisation learns each function's accuracy and coverage and the subjects' shares, without labels. A sentence's posterior
-is that of its pattern; a document treats the subjects whose posterior share of its sentences is at least a fifth.
+maximisation learns each function's accuracy and coverage and the subjects' shares; how far votes agree with the labels is the prior of
+the accuracies. A sentence's posterior is that of its pattern, whichever functions voted; a document treats the subjects whose posterior share of its sentences is at least a fifth.
 
-Null, empty and blank texts, and texts without a sentence, have no row. Sentences that no lexicon knows count as sentences
+Null, empty and blank texts, and texts without a sentence, have no row. Sentences that no function knows count as sentences
 but treat nothing. Repeated rows of one id are read once. Without labels the seeds decide alone.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from math import log
 
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import cut, spread
+from lectern.session import cut, lookup, spread
 
-#: Labelled documents that the lexicon is fitted on, at most (the first in the order of a hash).
-LABELLED_DOCS = 20_000
+#: Words and places that tell a subject, at most.
+LEXICON = 500_000
+#: Weight of labels and prior beliefs beside the corpus in what is learned of the labelling functions, for each vote of the corpus.
+TRUST = 1.0
 #: Share of its sentences that a document must give to a subject.
 LEAST_SHARE = 0.2
 #: Standard errors by which the log odds of a word must stand out.
@@ -153,84 +155,120 @@ class Voter:
         return got
 
 
-def _telling(uses: dict, docs: Counter, least_score: float = LEAST_SCORE) -> dict[str, tuple[str, float]]:
-    """What points at one subject: {thing: (subject, weight)}; weights are smoothed log odds that stand out from their standard error."""
-    total, out = sum(docs.values()), {}
-    for thing, c in uses.items():
-        n = sum(c.values())
-        # of the shares within each subject, so that large subjects don't own every common word
-        best = max(c, key=lambda s: (c[s] / docs[s], s))
-        x, y = c[best] + 0.5, n - c[best] + 0.5
-        nx, ny = docs[best] - c[best] + 0.5, total - docs[best] - n + c[best] + 0.5
-        odds = log(x / nx) - log(y / ny)
-        if odds > least_score * (1 / x + 1 / y + 1 / nx + 1 / ny) ** 0.5 and odds > 2:
-            out[thing] = (best, odds)
-    return out
-
-
-def fit_voter(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", most: int = LABELLED_DOCS) -> Voter:
-    """The labelling functions, from at most `most` labelled documents with one subject."""
+def telling(uses: dict[str, int], docs: dict[str, int], least_score: float = LEAST_SCORE) -> tuple[str, float] | None:
+    """(subject, weight) that a thing points at, by the labelled documents of each subject that have it; the weight is a smoothed log odds, which must stand out from its standard error."""
+    total, n = sum(docs.values()), sum(uses.values())
+    # of the shares within each subject, so that large subjects don't own every common word
+    best = max(uses, key=lambda s: (uses[s] / docs[s], s))
+    x, y = uses[best] + 0.5, n - uses[best] + 0.5
+    nx, ny = docs[best] - uses[best] + 0.5, total - docs[best] - n + uses[best] + 0.5
+    odds = log(x / nx) - log(y / ny)
+    return (best, odds) if odds > least_score * (1 / x + 1 / y + 1 / nx + 1 / ny) ** 0.5 and odds > 2 else None
+
+
+def single_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, subject) of the documents that are labelled with one subject."""
+    return labels.select(key, "subject").filter("subject is not null").distinct().groupBy(key).agg(F.collect_set("subject").alias("s")).filter(F.size("s") == 1).select(key, F.element_at("s", 1).alias("subject"))
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, thing, subject, n): labelled documents of a subject that have a word (w), a heading or address (x), a source (s) or holder (h); and those of the subject at all (d)."""
+    counts: Counter = Counter()
+
+    def told() -> pa.RecordBatch:
+        rows = list(counts.items())
+        out = pa.RecordBatch.from_arrays([*[pa.array([k[i] for k, _ in rows], pa.string()) for i in range(3)], pa.array([n for _, n in rows], pa.int64())], names=["kind", "thing", "subject", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for t, source, holder, subject in zip(*[c.to_pylist() for c in batch.columns]):
+            words, heads = set(), set()
+            for h, w in sentences(t):
+                words.update(c for x in w if (c := core(x)))
+                heads.add(h)
+            heads |= {(a or b).lower() for a, b in _ADDRESS.findall(t)}
+            counts.update([("w", x, subject) for x in words])
+            counts.update([("x", x, subject) for x in heads if x])
+            counts.update([("s", str(source), subject), ("h", str(holder), subject), ("d", "", subject)])
+        if len(counts) > 200_000:
+            yield told()
+    yield told()
+
+
+def fit_voter(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", bound: int = LEXICON) -> Voter:
+    """The labelling functions, from all documents that are labelled with one subject. Only what tells a subject comes to the driver; more than `bound` of it raises an error."""
     names = sorted(r[0] for r in subjects.select("subject").filter("subject is not null").distinct().collect())
-    one = labels.select(key, "subject").distinct().groupBy(key).agg(F.collect_set("subject").alias("s")).filter(F.size("s") == 1).select(key, F.element_at("s", 1).alias("subject"))
-    # the labelled documents are found by a join that Spark plans; only their bounded number comes to the driver
-    rows = one.orderBy(F.xxhash64(key)).limit(most).join(documents.select(key, "text", "source", "holder"), key).filter("text is not null").toLocalIterator()
-    words, sections, sources, docs = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
-    for r in rows:
-        if r["subject"] not in names:
-            continue
-        docs[r["subject"]] += 1
-        met, heads = set(), set()
-        for h, w in sentences(r["text"]):
-            met.update(c for t in w if (c := core(t)))
-            heads.add(h)
-        for x in met:
-            words[x][r["subject"]] += 1
-        for x in heads | {(a or b).lower() for a, b in _ADDRESS.findall(r["text"])}:
-            sections[x][r["subject"]] += 1
-        sources[f"s:{r['source']}"][r["subject"]] += 1
-        sources[f"h:{r['holder']}"][r["subject"]] += 1
-    sections.pop("", None)
-    placed = lambda d: {k: names.index(x[0]) for k, x in d.items()}
-    lexicon = {w: (names.index(x), odds) for w, (x, odds) in _telling(words, docs).items()}
-    return Voter(names, lexicon, placed(_telling(sections, docs)), placed(_telling(sources, docs)))
-
-
-def posteriors(counts: dict[int, float], subjects: int, rounds: int = 60) -> tuple[dict[int, np.ndarray], dict[str, tuple[float, float]]]:
-    """({pattern: posterior over subjects and none}, {function: (accuracy, coverage)}) by expectation maximisation over counted patterns."""
+    one = cut(single_labels(labels, key).filter(F.col("subject").isin(names)))
+    rows = spread(lookup(documents.select(key, "text", "source", "holder").filter("text is not null"), one, key).select("text", "source", "holder", "subject"))
+    counted = cut(rows.mapInArrow(_uses, "kind string, thing string, subject string, n bigint").groupBy("kind", "thing", "subject").agg(F.sum("n").alias("n")))
+    docs = {r["subject"]: r["n"] for r in counted.filter("kind = 'd'").collect()}
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for kind, thing, uses in zip(*[c.to_pylist() for c in batch.columns]):
+                if (got := telling({u["subject"]: u["n"] for u in uses}, docs)) is not None:
+                    out.append((kind, thing, *got))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], names=["kind", "thing", "subject", "weight"])
+
+    found = counted.filter("kind <> 'd'").groupBy("kind", "thing").agg(F.collect_list(F.struct("subject", "n")).alias("uses")).mapInArrow(tell, "kind string, thing string, subject string, weight double").limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"more than {bound} words and places tell a subject")
+    place = {n: i for i, n in enumerate(names)}
+    lexicon = {r["thing"]: (place[r["subject"]], r["weight"]) for r in found if r["kind"] == "w"}
+    sections = {r["thing"]: place[r["subject"]] for r in found if r["kind"] == "x"}
+    sources = {f"{r['kind']}:{r['thing']}": place[r["subject"]] for r in found if r["kind"] in "sh"}
+    return Voter(names, lexicon, sections, sources)
+
+
+def posteriors(counts: dict[int, float], subjects: int, labelled: dict[tuple[int, int], float] | None = None, rounds: int = 60, trust: float = TRUST) -> tuple[dict[int, np.ndarray], dict[str, tuple[float, float]]]:
+    """({pattern: posterior over subjects and none}, {function: (accuracy, coverage)}) by expectation maximisation over counted patterns.
+
+    labelled: sentences of documents with one label, by (pattern, subject). How often a function's votes agree with them is the prior of its accuracy, with the weight of
+    `trust` votes for each vote of the corpus; so what the corpus says moves it, and without labels it's all there is. How often a function votes on sentences that treat nothing
+    is taken to be rare for words and common for places, by a prior of the same weight.
+    """
     n, k = subjects + 1, subjects
     patterns = sorted(counts)
     v = np.array([[p // n**3, p // n**2 % n, p // n % n, p % n] for p in patterns], dtype=int).reshape(-1, 4) - 1
     c = np.array([counts[p] for p in patterns], float)
     prior = np.full(k + 1, 0.9 / k)
     prior[k] = 0.1
-    accuracy, coverage, noise = np.array([0.9, 0.85, 0.4, 0.4]), np.array([0.8, 0.7, 0.3, 0.5]), np.array([0.05, 0.05, 0.3, 0.5])
+    start = np.array([0.95, 0.95, 0.5, 0.5])
+    if labelled:
+        for j in range(4):
+            votes = [(p // n ** (3 - j) % n - 1, s, m) for (p, s), m in labelled.items()]
+            cast = sum(m for x, _, m in votes if x >= 0)
+            # with few votes what is thought beforehand stays
+            start[j] = (sum(m for x, s, m in votes if x == s) + 20 * start[j]) / (cast + 20)
+    idle = np.array([0.02, 0.02, 0.4, 0.6])
+    accuracy, coverage, noise = start.copy(), np.array([0.8, 0.7, 0.3, 0.5]), idle.copy()
     post = np.full((len(v), k + 1), 1 / (k + 1))
     for _ in range(rounds if len(v) else 0):
         like = np.log(prior + 1e-12)[None, :].repeat(len(v), 0)
         for j in range(4):
             voted = v[:, j] >= 0
+            wrong = np.log((1 - accuracy[j]) / (k - 1)) if k > 1 else np.log(1e-9)
             like[~voted, :k] += np.log(1 - coverage[j])
             like[~voted, k] += np.log(1 - noise[j])
-            like[voted, :k] += np.log(coverage[j] * (1 - accuracy[j]) / (k - 1) if k > 1 else 1e-9)
+            like[voted, :k] += np.log(coverage[j]) + wrong
             like[voted, k] += np.log(noise[j] / k)
             rows = np.flatnonzero(voted)
-            like[rows, v[rows, j]] += np.log(accuracy[j]) - np.log((1 - accuracy[j]) / (k - 1) if k > 1 else 1e-9)
+            like[rows, v[rows, j]] += np.log(accuracy[j]) - wrong
         post = np.exp(like - like.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         w = post * c[:, None]
         prior = (w.sum(0) + 1) / (w.sum() + k + 1)
+        some = w[:, :k].sum(1)
         for j in range(4):
             voted = v[:, j] >= 0
-            some = w[:, :k].sum(1)
+            cast = some[voted].sum()
             right = w[np.flatnonzero(voted), v[voted, j]].sum()
-            # words of a subject seldom stand in sentences on nothing: without this bound the model may explain a sparse function's votes away
-            accuracy[j] = np.clip((right + 8) / (some[voted].sum() + 10), 0.93 if j < 2 else 0.15, 0.995)
-            coverage[j] = np.clip((some[voted].sum() + 5) / (some.sum() + 10), 0.01, 0.99)
-            noise[j] = np.clip((w[voted, k].sum() + 0.5) / (w[:, k].sum() + 10), 0.002, 0.03 if j < 2 else 0.99)
-    # without a lexicon's vote a sentence treats nothing, whatever source and section say
-    bare = (v[:, 0] < 0) & (v[:, 1] < 0) if len(v) else np.zeros(0, bool)
-    post[bare] = 0
-    post[bare, k] = 1
+            weight = trust * c[voted].sum() + 10
+            accuracy[j] = np.clip((right + weight * start[j]) / (cast + weight), 1e-3, 1 - 1e-3)
+            coverage[j] = np.clip((cast + 5) / (some.sum() + 10), 1e-3, 1 - 1e-3)
+            noise[j] = np.clip((w[voted, k].sum() + weight * idle[j]) / (w[:, k].sum() + weight), 1e-3, 1 - 1e-3)
     return dict(zip(patterns, post)), {f: (float(a), float(b)) for f, a, b in zip(FUNCTIONS, accuracy, coverage)}
 
 
@@ -253,7 +291,10 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
     votes = cut(src.mapInArrow(run, f"_k {kind}, pattern bigint, n bigint"))
     counts = {r["pattern"]: float(r["n"]) for r in votes.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
-    post, _ = posteriors(counts, len(voter.subjects))
+    place = {s: i for i, s in enumerate(voter.subjects)}
+    # at most (subjects + 1)^4 patterns for each subject
+    labelled = lookup(votes, cut(single_labels(labels, key).withColumnRenamed(key, "_k")), "_k").groupBy("pattern", "subject").agg(F.sum("n").alias("n")).collect()
+    post, _ = posteriors(counts, len(voter.subjects), {(r["pattern"], place[r["subject"]]): float(r["n"]) for r in labelled if r["subject"] in place})
     table = [(p, s, float(x[i])) for p, x in post.items() for i, s in enumerate(voter.subjects) if x[i] > 0.01]
     # at most (subjects + 1)^4 patterns
     belief = F.broadcast(spark.createDataFrame(table, "pattern bigint, subject string, belief double"))
@@ -263,3 +304,14 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     share = parts.join(size, "_k").select(F.col("_k").alias(key), "subject", (F.col("treated") / F.col("sentences")).alias("share"))
     # posteriors fall short of whole sentences by a hair
     return share.filter(F.col("share") >= least - 0.005)
+
+
+def held_out_accuracy(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(labelled, found, both, precision, recall), one row: subjects of the documents whose labels, half of all by a hash of their key, no part of the model has seen."""
+    hidden = F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)) == 1
+    known, held = labels.filter(~hidden), labels.filter(hidden).select(key, "subject").filter("subject is not null").distinct()
+    keys = held.select(key).distinct()
+    got = document_subjects(documents, known, subjects, key).select(key, "subject").join(keys, key, "left_semi").withColumn("found", F.lit(1))
+    both = held.join(documents.select(key).distinct(), key, "left_semi").withColumn("labelled", F.lit(1)).join(got, [key, "subject"], "full")
+    s = both.agg(F.count("labelled").alias("labelled"), F.count("found").alias("found"), F.count(F.when(F.col("labelled").isNotNull() & F.col("found").isNotNull(), 1)).alias("both"))
+    return s.select("*", F.round(F.try_divide("both", "found"), 3).alias("precision"), F.round(F.try_divide("both", "labelled"), 3).alias("recall"))
