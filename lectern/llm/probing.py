@@ -22,7 +22,7 @@ ROW_GROUP = 1 << 20
 SHARE = 8 << 20
 #: Bytes of small files that one task reads.
 TOGETHER = 2 << 20
-_NAME = re.compile(r"part-(\d+)-")
+_NAME = re.compile(r"/_b=(\d+)/part-[^/]*\.parquet$")
 
 
 def bucket(key: Column, buckets: int) -> Column:
@@ -30,16 +30,23 @@ def bucket(key: Column, buckets: int) -> Column:
 
 
 def write_part(rows: DataFrame, path: str, key: str, buckets: int, then: tuple[str, ...] = ()) -> None:
-    """Writes rows by bucket of a BIGINT key, sorted by it and `then`. The write follows its own shuffle at once, so that the number of a file is its bucket's."""
-    rows.repartition(buckets, key).sortWithinPartitions(key, *then).write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    """Writes rows by bucket of a BIGINT key, a folder with one file each, sorted by the key and `then`."""
+    placed = rows.withColumn("_b", bucket(F.col(key), buckets)).repartition(buckets, "_b").sortWithinPartitions("_b", key, *then)
+    placed.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).option("maxRecordsPerFile", 0).partitionBy("_b").parquet(path)
 
 
 def part_files(spark: SparkSession, path: str) -> list[tuple[int, str, int]]:
-    """(bucket, file, bytes) of a part: as many as there are buckets, at most. The number of a file is that of its partition."""
+    """(bucket, file, bytes) of a part: as many as there are buckets, at most."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    out = [(x.getPath().getName(), x.getPath().toString(), x.getLen()) for x in found]
-    return [(int(m.group(1)), p, n) for name, p, n in out if (m := _NAME.match(name))]
+    fs, out = at.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    found = fs.listFiles(at, True)
+    while found.hasNext():
+        x = found.next()
+        if (m := _NAME.search(x.getPath().toString())) is not None:
+            out.append((int(m.group(1)), x.getPath().toString(), x.getLen()))
+    if len({b for b, _, _ in out}) < len(out):
+        raise ValueError(f"{path} has buckets of several files")
+    return sorted(out)
 
 
 def by_bucket(parts: list[list[tuple[int, str, int]]]) -> dict[int, list[str]]:

@@ -66,6 +66,11 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.read_scans(_t(spark, d, "documents"))
 
 
+def p4_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of clean texts that are made noisy the repair gives back."""
+    return scans.repair_accuracy(_t(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.not_accepted(_t(spark, d, "metadata"))
 
@@ -120,7 +125,7 @@ def p9_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_repaired, p2_found, p2_pieces, p2_rejoined, p2_files, p3_found, p3_groups, p4_found, p4_repaired, p5_found, p6_found, p6_defects, p7_ids, p7_reuse, p8_mix, p8_shares, p9_found, p9_composition, p9_accuracy)
+    every = (p1_found, p1_repaired, p2_found, p2_pieces, p2_rejoined, p2_files, p3_found, p3_groups, p4_found, p4_repaired, p4_accuracy, p5_found, p6_found, p6_defects, p7_ids, p7_reuse, p8_mix, p8_shares, p9_found, p9_composition, p9_accuracy)
     return {f.__name__: f for f in every}
 
 

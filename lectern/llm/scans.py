@@ -1,12 +1,13 @@
 """Texts that came from scanned pages: finding them, and repairing them into continuous paragraphs.
 
-Two averaged perceptrons are trained here, on examples made from the corpus itself:
+Three averaged perceptrons are trained here, on examples made from the corpus itself:
   - an editor of words, character by character: keep, replace, delete, insert. It learns from frequent words that are
     misread by known confusions, and from pairs of words that only marked documents have and the frequent words next to
-    them. An edit counts only if it leads from a word that clean text doesn't have to one that it has.
+    them. An edit is made if it leads from a word that clean text doesn't have to one that it has, and if the editor doesn't find it too unlikely.
+  - the fifth operation, the join of a word broken at a line end, by the sign at the break, the case of both halves, and which of both
+    halves, the joined and the hyphened word are known.
   - a judge of lines, by their place on the page: page numbers and running headers against text, headings and figures.
     It learns from clean documents that are set into pages with numbers and headers of many kinds.
-The join of a word broken at a line end is the third operation; it holds unless the corpus knows the word with its hyphen.
 
 What clean text has is counted over all documents, apart for those that bear marks at first sight and those that don't:
 a misread word is common only among the former. Null, empty and blank texts are no case. Lines that are only wrapped,
@@ -19,22 +20,27 @@ import random
 import re
 import textwrap
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Callable, Container, Iterable, Iterator
+from itertools import pairwise, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import spread
+from lectern.session import cut, lookup, spread
 
 #: Share of the clean documents that must have a word for it to be known, and least number; times its rate in marked ones.
 LEAST_SHARE, LEAST_DOCS, LEAST_RATIO = 5e-5, 2, 0.15
 #: Documents that the judge of lines is trained on, and words and pairs that the editor is, at most.
 TRAIN_DOCS, TRAIN_WORDS, TRAIN_PAIRS = 200, 1500, 1500
+#: Code points from which on a token is a run and no word.
+LONGEST = 60
 #: Misread words that mark a document without other marks, and their share of its words.
 LEAST_MISREAD, LEAST_MISREAD_SHARE = 3, 0.004
-CACHE_WORDS = 300_000
+#: One in so many of the right edits of the examples may score under what an edit must reach.
+LEFT_EDITS = 200
+#: Words that are sent to the workers as a whole.
+TABLE_WORDS = 500_000
 
 _HYPHENS = "-\xad‐¬"
 _BREAK = re.compile(rf"[{_HYPHENS}][ \t]*\n[ \t]*")
@@ -92,7 +98,7 @@ class Perceptron:
 def token_core(token: str) -> str | None:
     """The word in a token of letters, perhaps with misread signs and figures among them; None for figures, codes and addresses."""
     w = token.strip(_OUTER)
-    if len(w) < 2 or len(w) > 30:
+    if len(w) < 2 or len(w) > LONGEST:
         return None
     letters = sum(c.isalpha() for c in w)
     if letters == len(w):
@@ -175,69 +181,62 @@ def merged(w: str) -> Iterator[str]:
                 at = w.find(wrong, at + 1)
 
 
+class Models:
+    """The three perceptrons and what goes with them: edits of characters, joins of lines, furniture of pages."""
+
+    def __init__(self, words: list[str], hyphened: list[str], pairs: list[tuple[str, str]], samples: list[str], seed: int = 4):
+        self.edits, self.options, self.margin = train_edits(words, pairs, seed)
+        self.joins = train_joins(words, hyphened, seed)
+        self.judge = train_judge(samples, seed)
+
+
+def train_edits(words: list[str], pairs: list[tuple[str, str]], seed: int = 4) -> tuple[Perceptron, dict[str, list], float]:
+    """(perceptron, edits by character, margin) from frequent words, misread by usual confusions, and pairs of misread and right words.
+
+    margin: the score over keeping a character that all but one in LEFT_EDITS of the right edits of the examples reach; others are not made.
+    """
+    model, r = Perceptron(), random.Random(seed)
+    options: dict[str, set[tuple[str, str]]] = defaultdict(lambda: {("keep", ""), ("delete", "")})
+    made = list(pairs)
+    for w in words:
+        made.append((w, w))
+        i = r.randrange(len(w))
+        wrong = r.choice([*CONFUSIONS.get(w[i], ""), *_MULTI.get(w[i], ()), w[i] + r.choice(_NOISE), w[i]])
+        made.append((w[:i] + wrong + w[i + 1 :], w))
+    examples = [(a, ops) for a, b in made if (ops := alignment(a, b))]
+    for (c, op), n in Counter((c, op) for a, ops in examples for c, op in zip(a, ops)).items():
+        if n > 1:
+            options[c].add(op)
+    examples = [(a, ops) for a, ops in examples if all(op in options[c] for c, op in zip(a, ops))]
+    for _ in range(2):
+        r.shuffle(examples)
+        for a, ops in examples:
+            for i, op in enumerate(ops):
+                model.learn(around(a, i), op, sorted(options[a[i]]))
+    model.average()
+    lead = sorted(model.score(f, op) - model.score(f, ("keep", "")) for a, ops in examples for i, op in enumerate(ops) if op[0] != "keep" for f in [around(a, i)])
+    return model, {c: sorted(o) for c, o in options.items()}, lead[len(lead) // LEFT_EDITS] if lead else 0.0
+
+
 class Editor:
-    """Proposes known words for unknown ones by at most two edits, the ones that its perceptron finds likeliest first."""
-
-    def __init__(self, known: dict[str, int], pairs: list[tuple[str, str]], seed: int = 4):
-        self.known = known
-        self.near: set[str] = {w[:i] + w[i + 1 :] for w in known if len(w) > 2 for i in range(len(w))}
-        self.model = Perceptron()
-        self.options: dict[str, set[tuple[str, str]]] = defaultdict(lambda: {("keep", ""), ("delete", "")})
-        r = random.Random(seed)
-        words = sorted((w for w in known if len(w) > 2 and w.isalpha()), key=lambda w: (-known[w], w))[:TRAIN_WORDS]
-        made = list(pairs)
-        for w in words:
-            made.append((w, w))
-            i = r.randrange(len(w))
-            wrong = r.choice([*CONFUSIONS.get(w[i], ""), *_MULTI.get(w[i], ()), w[i] + r.choice(_NOISE), w[i]])
-            made.append((w[:i] + wrong + w[i + 1 :], w))
-        examples = [(a, ops) for a, b in made if (ops := alignment(a, b))]
-        seen = Counter((c, op) for a, ops in examples for c, op in zip(a, ops))
-        for (c, op), n in seen.items():
-            if n > 1:
-                self.options[c].add(op)
-        examples = [(a, ops) for a, ops in examples if all(op in self.options[c] for c, op in zip(a, ops))]
-        for _ in range(2):
-            r.shuffle(examples)
-            for a, ops in examples:
-                for i, op in enumerate(ops):
-                    self.model.learn(around(a, i), op, sorted(self.options[a[i]]))
-        self.model.average()
-        self.options = {c: sorted(o) for c, o in self.options.items()}
-        self.met: dict[str, str | None] = {}
-
-    def reachable(self, w: str) -> bool:
-        """Whether a known word may lie within two edits: by deletions of both sides."""
-        if w in self.near:
-            return True
-        known, near = self.known, self.near
-        if any(x in known for x in merged(w)):
-            return True
-        return any((x := w[:i] + w[i + 1 :]) in known or x in near for i in range(len(w)))
+    """Proposes known words for unknown ones by at most two edits, the ones that the perceptron finds likeliest first, and none that it finds too unlikely."""
+
+    def __init__(self, models: Models, known: Container[str] = frozenset()):
+        self.models, self.known = models, known
 
-    def edit(self, w: str, also: set[str] = frozenset()) -> str | None:
-        """The word that w was, if known or among `also`; None if it is none or w itself is fine."""
-        if w in self.known:
+    def edit(self, w: str, among: Container[str] | None = None) -> str | None:
+        """The word that w was, among the known ones or those given; None if there is none or w is one of them."""
+        ok = (self.known if among is None else among).__contains__
+        if ok(w):
             return None
-        if not also and (got := self.met.get(w, "")) != "":
-            return got
-        got = self._edit(w, also) if also or self.reachable(w) else None
-        if not also:
-            if len(self.met) >= CACHE_WORDS:
-                self.met.clear()
-            self.met[w] = got
-        return got
-
-    def _edit(self, w: str, also: set[str]) -> str | None:
-        steps = []
+        score, options, steps = self.models.edits.score, self.models.options, []
         for i, c in enumerate(w):
             f = around(w, i)
-            keep = self.model.score(f, ("keep", ""))
-            for op in self.options.get(c, (("keep", ""), ("delete", ""))):
-                if op[0] != "keep":
-                    steps.append((self.model.score(f, op) - keep, i, op))
+            keep = score(f, ("keep", ""))
+            for op in options.get(c, (("keep", ""), ("delete", ""))):
+                if op[0] != "keep" and (lead := score(f, op) - keep) >= self.models.margin:
+                    steps.append((lead, i, op))
         steps.sort(key=lambda s: -s[0])
-        ok = (lambda x: x in also) if also else (lambda x: x in self.known)
         for _, i, op in steps:
             if ok(x := self._apply(w, [(i, op)])):
                 return x
@@ -245,7 +244,7 @@ class Editor:
         if (x := next(filter(ok, merged(w)), None)) is not None:
             return x
         # two edits: only of characters that the model would rather change
-        top = [s for s in steps if s[0] > -1.0][:14]
+        top = [s for s in steps if s[0] > -1.0]
         for k, (_, i, op) in enumerate(top):
             for _, j, other in top[k + 1 :]:
                 if i != j and ok(x := self._apply(w, [(i, op), (j, other)])):
@@ -260,6 +259,57 @@ class Editor:
         return "".join(s)
 
 
+def halves(a: str, b: str) -> tuple[str, str, str, str]:
+    """The words whose being known tells of a break: with the hyphen, joined, and both halves."""
+    a, b = a.lower(), b.lower()
+    return f"{a}-{b}", a + b, a, b
+
+
+def join_features(a: str, sign: str, b: str, known: Callable[[str], bool]) -> list:
+    whole, joined, left, right = map(known, halves(a, b))
+    plain, case = sign == "-", (b[0].islower(), a.isupper() and b.isupper())
+    return ["*", ("s", plain), ("w", whole), ("j", joined), ("h", left, right), ("case", case), ("sc", plain, case), ("wj", plain, whole, joined), ("jh", plain, joined, left, right), ("all", plain, whole, joined, left, right, case)]
+
+
+def train_joins(words: list[str], hyphened: list[str], seed: int = 4) -> Perceptron:
+    """Whether a word broken at a line end is joined: from words broken within, known or not, against words with a hyphen of their own and two words with one between."""
+    r, model, known = random.Random(seed), Perceptron(), {*words, *hyphened}
+    odd, examples = _HYPHENS[1:], []
+
+    def add(a: str, sign: str, b: str, has: Callable[[str], bool], join: bool) -> None:
+        examples.append((join_features(a, sign, b, has), join))
+
+    for w in words:
+        if len(w) < 5:
+            continue
+        i = r.randrange(2, len(w) - 1)
+        a, b, unknown = w[:i], w[i:], known - {w}
+        for has in (known.__contains__, unknown.__contains__):
+            if not (has(a) and has(b)) or has(w):
+                add(a, "-", b, has, True)
+                add(a.upper(), "-", b.upper(), has, True)
+                add(a.capitalize(), "-", b, has, True)
+            add(a, r.choice(odd), b, has, True)
+        other = r.choice(words)
+        add(w, "-", other, lambda x, o=other, w=w: x in (o, w), False)
+        add(w, r.choice(odd), other, lambda x, o=other, w=w: x in (o, w), True)
+        for has in ((lambda x, o=other, w=w: x in (o, w)), lambda x: False):
+            add(w.capitalize(), "-", other.capitalize(), has, False)
+        add(a, "-", b.capitalize(), known.__contains__, False)
+        compound = f"{w}-{other}"
+        for has in ((lambda x, c=compound: x == c), (lambda x, c=compound, o=other, w=w: x in (c, o, w))):
+            add(w, "-", other, has, False)
+    for w in hyphened:
+        a, _, b = w.partition("-")
+        if a and b:
+            add(a, "-", b, known.__contains__, False)
+    for _ in range(6):
+        r.shuffle(examples)
+        for f, y in examples:
+            model.learn(f, y, [False, True])
+    return model.average()
+
+
 # --- lines
 
 
@@ -380,25 +430,19 @@ def simple_marks(text: str) -> bool:
 
 
 class Reader:
-    """Finds and repairs. known: frequency of the words of clean text, hyphened ones included."""
+    """Finds and repairs. table: {word: what it was, or None for a word that is known}, of the words that texts ask for; texts ask for no others."""
+
+    def __init__(self, models: Models, table: dict[str, str | None]):
+        self.models, self.table = models, table
+        self.editor = Editor(models)
 
-    def __init__(self, known: dict[str, int], pairs: list[tuple[str, str]], samples: list[str]):
-        self.known = known
-        self.editor = Editor(known, pairs)
-        self.judge = train_judge(samples)
-        self.judge_words: dict[str, bool] = {}
+    def known(self, w: str) -> bool:
+        return self.table.get(w, "") is None
 
     def joins(self, a: str, sign: str, b: str) -> str | None:
         """The joined word, or None where the hyphen belongs to it."""
-        if not b[0].islower() and not (a.isupper() and b.isupper()):
-            return None
-        if sign == "-":
-            whole = f"{a}-{b}".lower()
-            if whole in self.known:
-                return None
-            if (a + b).lower() not in self.known and a.lower() in self.known and b.lower() in self.known:
-                return None
-        return a + b
+        f = join_features(a, sign, b, self.known)
+        return a + b if self.models.joins.score(f, True) > self.models.joins.score(f, False) else None
 
     def furniture(self, text: str) -> set[int]:
         # a page leaves a number, a form feed or a header that comes again; without any there is nothing to judge
@@ -409,7 +453,7 @@ class Reader:
             seen = Counter(x for x in lines if _CODE.search(x) and len(x) <= 60)
             if not seen or max(seen.values()) < 2:
                 return set()
-        return {i for i, f in line_features(lines).items() if self.judge.score(f, True) > self.judge.score(f, False)}
+        return {i for i, f in line_features(lines).items() if self.models.judge.score(f, True) > self.models.judge.score(f, False)}
 
     def pages(self, text: str) -> bool:
         """Whether there is furniture beyond doubt: a page number, or a header that comes again."""
@@ -418,35 +462,27 @@ class Reader:
         forms = Counter(re.sub(r"\d+", "0", lines[i].strip()) for i in found)
         return any(_PAGE.match(lines[i]) for i in found) or max(forms.values(), default=0) > 1
 
-    def misread(self, words: set[str]) -> list[tuple[str, str]]:
-        got = []
-        for w in words:
-            if w not in self.known and _READ.fullmatch(w) and (x := self.editor.edit(w)) is not None:
-                got.append((w, x))
-        return got
-
-    def marks(self, text: str) -> dict[str, int]:
-        """Counts of each kind of mark that the text bears."""
-        broken = sum(self.joins(*x[2:]) is not None for x in breaks(text))
-        lines = len(self.furniture(text))
-        words = cores(text)
-        wrong = self.misread(words - self.known.keys())
-        return {"broken": broken, "furniture": lines if self.pages(text) else 0, "misread": len(wrong), "words": len(words)}
-
     def scanned(self, text: str) -> bool:
         if any(self.joins(*x[2:]) is not None for x in breaks(text)) or self.pages(text):
             return True
         words = cores(text)
-        enough, n = max(LEAST_MISREAD, LEAST_MISREAD_SHARE * len(words)), 0
-        for w in words - self.known.keys():
-            if _READ.fullmatch(w) and self.editor.edit(w) is not None:
-                n += 1
-                if n >= enough:
-                    return True
-        return False
+        return sum(self.table.get(w) is not None for w in words) >= max(LEAST_MISREAD, LEAST_MISREAD_SHARE * len(words))
 
-    def repair(self, text: str) -> str:
-        """Continuous paragraphs: furniture out, broken words joined, lines of a paragraph put together, misread words restored."""
+    @staticmethod
+    def names(text: str) -> set[str]:
+        """Words of letters that a text has more than once, by which its own rare ones may be told."""
+        return {w for w, n in Counter(filter(None, map(token_core, text.split()))).items() if n > 1 and w.isalpha()}
+
+    def asked(self, text: str) -> set[str]:
+        """The words that a repair looks up beyond those of finding: halves that stand on both sides of furniture, and what would be taken for a word of the text's own if it isn't known."""
+        bare = self.without_furniture(text)
+        whole = _BREAK.sub("", bare)
+        out = {w for _, _, a, _, b in breaks(bare) for w in halves(a, b)}
+        names = self.names(bare) | self.names(whole)
+        rest = {w for t in (bare, whole) for w in map(token_core, t.split()) if w and len(w) > 5}
+        return out | {w for w in rest if self.table.get(w) is None and self.editor.edit(w, names - {w}) is not None}
+
+    def without_furniture(self, text: str) -> str:
         lines = text.split("\n")
         out = self.furniture(text)
         kept: list[str] = []
@@ -455,20 +491,28 @@ class Reader:
             if i in out or (not x.strip() and kept and i and i - 1 in out and kept[-1].strip() and kept[-1].strip()[-1] not in ".!?:"):
                 continue
             kept.append(x)
-        whole, at, parts = "\n".join(kept), 0, []
-        for start, end, *word in breaks(whole):
+        return "\n".join(kept)
+
+    def joined(self, text: str) -> str:
+        """The text with its broken words joined."""
+        at, parts = 0, []
+        for start, end, *word in breaks(text):
             if start >= at and (j := self.joins(*word)) is not None:
-                parts += [whole[at:start], j]
+                parts += [text[at:start], j]
                 at = end
-        text = "".join([*parts, whole[at:]])
-        names = {w for w, n in Counter(filter(None, map(token_core, text.split()))).items() if n > 1 and w.isalpha()}
+        return "".join([*parts, text[at:]])
+
+    def repair(self, text: str) -> str:
+        """Continuous paragraphs: furniture out, broken words joined, lines of a paragraph put together, misread words restored."""
+        text = self.joined(self.without_furniture(text))
+        names = self.names(text)
 
         def fix(m: re.Match) -> str:
             token = m.group()
             w = token_core(token)
-            if w is None or w in self.known or w in names:
+            if w is None or w in names or self.known(w):
                 return token
-            x = self.editor.edit(w) or (self.editor.edit(w, names) if len(w) > 5 else None)
+            x = self.table.get(w) or (self.editor.edit(w, names) if len(w) > 5 else None)
             if x is None:
                 return token
             inner = token.strip(_OUTER)
@@ -490,73 +534,223 @@ class Reader:
         return re.sub(r"\S+", fix, "\n\n".join(x for x in paragraphs if x))
 
 
-def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(word, clean, marked): documents with the word among those without and with marks at first sight; '' counts all documents."""
-    src = spread(documents.select(F.col(text).cast("string").alias("_t")))
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, clean, marked): documents with a word among those without and with marks at first sight, '' for all of them; and (word, null, null): words that breaks ask for."""
+    two: tuple[Counter, Counter] = (Counter(), Counter())
+    asked: set[str] = set()
+
+    def told() -> pa.RecordBatch:
+        words, none = list(two[0].keys() | two[1].keys()), [None] * len(asked)
+        out = pa.RecordBatch.from_arrays([pa.array([*words, *asked], pa.string()), *[pa.array([*[c[w] for w in words], *none], pa.int64()) for c in two]], names=["word", "clean", "marked"])
+        two[0].clear(), two[1].clear(), asked.clear()
+        return out
+
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            if t and not t.isspace():
+                c = two[simple_marks(t)]
+                c.update(cores(t))
+                c[""] += 1
+                for _, _, left, _, right in breaks(t):
+                    asked.update(halves(left, right))
+        if len(two[0]) + len(asked) > 200_000:
+            yield told()
+    yield told()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def flush() -> pa.RecordBatch:
-            words = list(two[0].keys() | two[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in two]], names=["word", "clean", "marked"])
-            two[0].clear(), two[1].clear()
-            return out
+def variants(word: str, misread: bool) -> set[str]:
+    """Keys by which a misread word and the one that it was meet: the word, itself less a character, and for a misread one with two signs read as one."""
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    return {x for x in ({*out, *merged(word)} if misread else out) if len(x) > 1}
 
+
+def _with_variants(words: DataFrame, misread: bool) -> DataFrame:
+    """(v, word, n) of words (word, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t and not t.isspace():
-                    c = two[simple_marks(t)]
-                    c.update(cores(t))
-                    c[""] += 1
-            if len(two[0]) > 200_000:
-                yield flush()
-        yield flush()
-
-    return src.mapInArrow(run, "word string, clean bigint, marked bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("marked").alias("marked"))
-
-
-def fit_reader(documents: DataFrame, text: str = "text") -> Reader:
-    """A reader fitted to a corpus. The words it collects are bounded by LEAST_SHARE, its training samples by the parameters above."""
-    counts = word_counts(documents, text).persist()
-    top = {r["word"]: (r["clean"], r["marked"]) for r in counts.filter("word = ''").collect()}
-    n, m = top.get("", (0, 0))
-    least = max(LEAST_DOCS, int(LEAST_SHARE * n))
-    rate = f"(clean / {max(n, 1)}) >= {LEAST_RATIO} * (marked / {max(m, 1)})"
-    known = {r["word"]: r["clean"] for r in counts.filter(f"word <> '' and clean >= {least} and ({rate})").collect()}
-    wrong = [r["word"] for r in counts.filter(f"word <> '' and marked >= 2 and not ({rate})").orderBy(F.desc("marked"), "word").limit(TRAIN_PAIRS).collect()] if m else []
-    counts.unpersist()
-    near: dict[str, list[str]] = defaultdict(list)
-    for w in known:
-        if w.isalpha() and len(w) > 2:
-            for x in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
-                near[x].append(w)
-    pairs = []
-    for w in wrong:
-        if len(w) > 2 and w not in known:
-            found = {b for x in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} for b in near.get(x, ())}
-            found = [b for b in found if (ops := alignment(w, b)) and sum(o[0] != "keep" for o in ops) <= 2]
+            rows = [(v, w, n) for w, n in zip(*[c.to_pylist() for c in batch.columns]) for v in variants(w, misread)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["v", "word", "n"])
+
+    return words.mapInArrow(run, "v string, word string, n bigint")
+
+
+class Fitted:
+    """What a corpus tells: the models, the known words (word, n), and the table of the words that its texts ask for (word, restored).
+
+    Misread words are told word by word: an unknown one meets the known ones that it may have been in a join, so no table of words is
+    held as a whole anywhere. Only the training samples come to the driver; they are bounded by the parameters above.
+    """
+
+    def __init__(self, documents: DataFrame, text: str = "text"):
+        src = spread(documents.select(F.col(text).cast("string").alias("_t")))
+        first = cut(src.mapInArrow(_first_pass, "word string, clean bigint, marked bigint"))
+        counts = cut(first.filter("clean is not null").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("marked").alias("marked")))
+        n, m = next(((r["clean"], r["marked"]) for r in counts.filter("word = ''").collect()), (0, 0))
+        least = max(LEAST_DOCS, int(LEAST_SHARE * n))
+        rate = f"(clean / {max(n, 1)}) >= {LEAST_RATIO} * (marked / {max(m, 1)})"
+        words = counts.filter("word <> ''")
+        self.known = words.filter(f"clean >= {least} and ({rate})").select("word", F.col("clean").alias("n"))
+        unknown = words.filter(f"not (clean >= {least} and ({rate}))").filter(F.col("word").rlike(f"^(?:{_READ.pattern})$"))
+
+        near = cut(self._near(unknown))
+
+        letters, top = r"^\p{L}+$", lambda df: df.orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).collect()
+        often = [r["word"] for r in top(self.known.filter(F.col("word").rlike(letters) & (F.length("word") > 2)))]
+        hyphened = [r["word"] for r in top(self.known.filter(F.col("word").rlike(r"^\p{L}+-\p{L}+$")))]
+        wrong = words.filter(f"marked >= 2 and length(word) > 2 and not ({rate})").orderBy(F.desc("marked"), "word").limit(TRAIN_PAIRS).select(F.col("word").alias("wrong"), "marked")
+        pairs = []
+        for r in sorted(F.broadcast(wrong).join(near, "wrong").collect() if m else [], key=lambda r: (-r["marked"], r["wrong"])):
+            found = [(x["n"], x["word"]) for x in r["near"] if x["word"].isalpha() and (ops := alignment(r["wrong"], x["word"])) and sum(o[0] != "keep" for o in ops) <= 2]
             if found:
-                pairs.append((w, max(found, key=lambda b: (known[b], b))))
-    sample = documents.select(F.col(text).alias("t")).filter("length(t) between 300 and 6000").orderBy(F.xxhash64("t")).limit(2 * TRAIN_DOCS)
-    samples = [r["t"] for r in sample.collect() if not simple_marks(r["t"])][:TRAIN_DOCS]
-    return Reader(known, pairs, samples)
+                pairs.append((r["wrong"], max(found)[1]))
+        sample = documents.select(F.col(text).alias("t")).filter("length(t) between 300 and 6000").orderBy(F.xxhash64("t")).limit(2 * TRAIN_DOCS)
+        samples = [r["t"] for r in sample.collect() if not simple_marks(r["t"])][:TRAIN_DOCS]
+        self.models = Models(often, hyphened, pairs, samples)
+
+        asked = first.filter("clean is null").select("word").distinct()
+        self.table = cut(self._decided(near).unionByName(self._known_among(asked)))
+
+    def _near(self, words: DataFrame) -> DataFrame:
+        """(wrong, near): the known words, with their documents, that each unknown one may have been."""
+        met = _with_variants(words.select("word", F.lit(0).cast("bigint").alias("n")), True).select("v", F.col("word").alias("wrong"))
+        may = met.join(_with_variants(self.known.filter("length(word) > 2"), False), "v").select("wrong", "word", "n").distinct()
+        return may.groupBy("wrong").agg(F.collect_list(F.struct("word", "n")).alias("near"))
+
+    def _decided(self, near: DataFrame) -> DataFrame:
+        shared = near.sparkSession.sparkContext.broadcast(self.models)
+
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for w, near in zip(*[c.to_pylist() for c in batch.columns]):
+                    if (x := Editor(shared.value, {k["word"] for k in near}).edit(w)) is not None:
+                        rows.append((w, x))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["word", "restored"])
+
+        return near.mapInArrow(decide, "word string, restored string")
+
+    def told(self, words: DataFrame) -> DataFrame:
+        """(word, restored) of those among words that aren't known and were misread."""
+        unknown = words.join(self.known, "word", "left_anti").filter(F.col("word").rlike(f"^(?:{_READ.pattern})$"))
+        return self._decided(self._near(unknown))
+
+    def _known_among(self, words: DataFrame) -> DataFrame:
+        return self.known.select("word").join(words, "word", "left_semi").withColumn("restored", F.lit(None).cast("string"))
+
+
+def _asks(text: str, models: Models) -> set[str]:
+    """The words that a reader looks up for a text, with or without its furniture."""
+    every = {text}
+    if "\n" in text:
+        bare = Reader(models, {}).without_furniture(text)
+        every |= {bare, _BREAK.sub("", bare)}
+    return cores(text) | {w for t in every for w in map(token_core, t.split()) if w} | {w for t in every for _, _, a, _, b in breaks(t) for w in halves(a, b)}
+
+
+def _reading(src: DataFrame, models: Models, table: DataFrame, bound: int, run: Callable, schema: str) -> DataFrame:
+    """run(keys, texts, readers) over the rows (_k, _t) of src. A table of at most `bound` words, counted first, goes to the workers; of a larger one each text is joined with what it asks for."""
+    few = table.limit(bound + 1).collect()
+    shared = src.sparkSession.sparkContext.broadcast((models, {r["word"]: r["restored"] for r in few} if len(few) <= bound else None))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*shared.value)
+        for batch in batches:
+            yield run(batch.column(0), batch.column(1).to_pylist(), repeat(reader))
+
+    if len(few) <= bound:
+        return src.mapInArrow(same, schema)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value[0]
+        for batch in batches:
+            rows = [(h, w) for h, t in zip(*[c.to_pylist() for c in batch.columns]) if t for w in _asks(t, models)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["_h", "word"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value[0]
+        for batch in batches:
+            yield run(batch.column(0), batch.column(1).to_pylist(), (Reader(models, {x["word"]: x["restored"] for x in w or ()}) for w in batch.column(2).to_pylist()))
+
+    # equal texts are read alike, so a text's hash stands for it
+    texts = src.withColumn("_h", F.xxhash64("_t"))
+    words = lookup(texts.select("_h", "_t").mapInArrow(asked, "_h bigint, word string").distinct(), table, "word", bound=bound).groupBy("_h").agg(F.collect_list(F.struct("word", "restored")).alias("_w"))
+    return texts.join(words, "_h", "left").select("_k", "_t", "_w").mapInArrow(own, schema)
+
+
+def _some(keys: pa.Array, at: list[int], *columns: list) -> list[pa.Array]:
+    return [keys.take(pa.array(at, pa.int64())), *[pa.array(c, pa.string()) for c in columns]]
 
 
-def read_scans(documents: DataFrame, key: str = "doc_id", text: str = "text", reader: Reader | None = None, repair: bool = True) -> DataFrame:
+def read_scans(documents: DataFrame, key: str = "doc_id", text: str = "text", repair: bool = True, fitted: Fitted | None = None, bound: int = TABLE_WORDS) -> DataFrame:
     """(key, text) of the scanned documents, repaired; without repair only (key)."""
-    shared = documents.sparkSession.sparkContext.broadcast(reader or fit_reader(documents, text))
+    fitted = fitted or Fitted(documents, text)
     src = spread(documents.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")))
     kind = src.schema["_k"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = shared.value
-        for batch in batches:
-            keys, texts = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t and not t.isspace() and work.scanned(t):
-                    keys.append(k)
-                    texts.append(work.repair(t) if repair else None)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *([pa.array(texts, pa.string())] if repair else [])], names=[key, "text"][: 1 + repair])
-
-    return src.mapInArrow(run, f"`{key}` {kind}" + (", text string" if repair else ""))
+    def find(keys: pa.Array, texts: list, readers: Iterable[Reader]) -> pa.RecordBatch:
+        at = [i for i, (t, r) in enumerate(zip(texts, readers)) if t and not t.isspace() and r.scanned(t)]
+        return pa.RecordBatch.from_arrays(_some(keys, at, *[[texts[i] for i in at]] * repair), names=["_k", "_t"][: 1 + repair])
+
+    found = _reading(src, fitted.models, fitted.table, bound, find, f"_k {kind}" + ", _t string" * repair)
+    if not repair:
+        return found.withColumnRenamed("_k", key)
+    # of the words that would be taken for a text's own the known ones are told apart
+    found = cut(found)
+
+    def like(keys: pa.Array, texts: list, readers: Iterable[Reader]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sorted({w for t, r in zip(texts, readers) for w in r.asked(t)}), pa.string())], names=["word"])
+
+    asked = cut(_reading(found, fitted.models, fitted.table, bound, like, "word string").distinct())
+    table = cut(fitted.table.unionByName(fitted._known_among(asked)).dropDuplicates(["word"]))
+
+    def mend(keys: pa.Array, texts: list, readers: Iterable[Reader]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(_some(keys, list(range(len(texts))), [r.repair(t) for t, r in zip(texts, readers)]), names=[key, "text"])
+
+    return _reading(found, fitted.models, table, bound, mend, f"`{key}` {kind}, text string")
+
+
+def noisy(text: str, r: random.Random) -> str:
+    """A clean text as if it had been scanned: set into pages, words broken at line ends, characters misread."""
+    out = []
+    for x in paged(text, r)[0]:
+        x = "".join(r.choice(CONFUSIONS[c]) if c in CONFUSIONS and r.random() < 0.01 else c for c in x)
+        if out and (m := re.match(r"\s*([^\W\d_]{6,})", x)) and out[-1].strip() and out[-1][-1].isalpha() and r.random() < 0.4:
+            i = m.start(1) + r.randrange(2, len(m.group(1)) - 2)
+            out[-1] += " " + x[m.start(1) : i] + r.choice("--\xad¬")
+            x = x[i:]
+        out.append(x)
+    return "\n".join(out)
+
+
+def repair_accuracy(documents: DataFrame, text: str = "text", seed: int = 4) -> DataFrame:
+    """(documents, words, wrong_before, wrong_after, share_mended), one row: clean texts are made noisy, and repaired by a reader of the whole corpus, made of it and them.
+
+    Of the words of each clean text those count as wrong that the other doesn't have as often. All texts without marks take part that the reader doesn't find.
+    """
+    fitted = Fitted(documents, text)
+    src = spread(documents.select(F.xxhash64(text).alias("_k"), F.col(text).cast("string").alias("_t")).filter("_t is not null").dropDuplicates(["_k"]))
+
+    def score(keys: pa.Array, texts: list, readers: Iterable[Reader]) -> pa.RecordBatch:
+        total = [0] * 4
+        for k, t, r in zip(keys.to_pylist(), texts, readers):
+            if t.isspace() or len(t) < 200 or simple_marks(t) or r.scanned(t):
+                continue
+            bad, want = noisy(t, random.Random(k + seed)), Counter(t.split())
+            wrong = [(want - Counter(x.split())).total() for x in (bad, r.repair(bad))]
+            total = [a + b for a, b in zip(total, (1, want.total(), *wrong))]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in total], names=["documents", "words", "wrong_before", "wrong_after"])
+
+    def asked(keys: pa.Array, texts: list, readers: Iterable[Reader]) -> pa.RecordBatch:
+        words: set[str] = set()
+        for k, t, r in zip(keys.to_pylist(), texts, readers):
+            if not t.isspace() and len(t) >= 200:
+                bad = noisy(t, random.Random(k + seed))
+                words |= _asks(bad, r.models) | r.asked(bad)
+        return pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
+
+    # the words of the noisy texts are told as those of the corpus are
+    words = cut(_reading(src, fitted.models, fitted.table, TABLE_WORDS, asked, "word string").distinct())
+    table = cut(fitted.table.unionByName(fitted.told(words)).unionByName(fitted._known_among(words)).dropDuplicates(["word"]))
+    each = _reading(src, fitted.models, table, TABLE_WORDS, score, "documents bigint, words bigint, wrong_before bigint, wrong_after bigint")
+    return each.agg(*[F.sum(c).alias(c) for c in each.columns]).withColumn("share_mended", F.round(1 - F.try_divide("wrong_after", "wrong_before"), 3))

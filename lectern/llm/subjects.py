@@ -269,6 +269,10 @@ def posteriors(counts: dict[int, float], subjects: int, labelled: dict[tuple[int
             accuracy[j] = np.clip((right + weight * start[j]) / (cast + weight), 1e-3, 1 - 1e-3)
             coverage[j] = np.clip((cast + 5) / (some.sum() + 10), 1e-3, 1 - 1e-3)
             noise[j] = np.clip((w[voted, k].sum() + weight * idle[j]) / (w[:, k].sum() + weight), 1e-3, 1 - 1e-3)
+    # where no function votes nothing is told
+    bare = (v < 0).all(1) if len(v) else np.zeros(0, bool)
+    post[bare] = 0
+    post[bare, k] = 1
     return dict(zip(patterns, post)), {f: (float(a), float(b)) for f, a, b in zip(FUNCTIONS, accuracy, coverage)}
 
 

@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.llm import answers, encodings, grayindex, incremental, links, mixing, nearcopies, queries, scans, shingles, splitting, subjects, tokens
+from lectern.llm.subjects import posteriors
+from lectern.llm import answers, encodings, grayindex, incremental, links, mixing, nearcopies, probing, queries, scans, shingles, splitting, subjects, tokens
 
 WORDS = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in ("r", "n", "s", "l")]
 
@@ -70,6 +71,33 @@ def test_encodings(spark):
     assert encodings.repaired(d.limit(0)).count() == 0
 
 
+def test_words_beyond_the_bound(spark):
+    r = random.Random(31)
+    good = ["según", "revisión", "señal", "dosis", "cápsula", "niño", "también", "inyección"]
+    rows = [(i, " ".join(r.choice(good) for _ in range(30))) for i in range(60)]
+    bad = [(100 + i, t.encode().decode(c, "replace") if c != "cp1251" else t.encode("cp1252").decode("cp1251")) for i, ((_, t), c) in enumerate(zip(rows, ["cp1252", "latin-1", "cp1251", *["cp1252", "latin-1"] * 10, "cp1252"]))]
+    d = spark.createDataFrame([*rows, *bad, bad[0], (300, None), (301, ""), (302, "revisi\ufffdn según " + "ñ" * 500)], "doc_id bigint, text string")
+    one, two = (sorted(map(tuple, encodings.repaired(d, bound=b).collect()), key=str) for b in (10**6, 1))
+    assert one == two and {x[0] for x in one if x[1]} == {*range(100, 124), 302}
+    got = {x[0]: x[2] for x in one}
+    assert all(got[100 + i] == rows[i][1] for i in range(24)) and got[302].startswith("revisión según")
+
+
+def test_layers_without_end():
+    bad = "á" * 3
+    for _ in range(7):
+        bad = bad.encode().decode("latin-1")
+    assert encodings.unnest(bad) == "á" * 3
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_rare_and_frequent(times):
+    # what is told of a word is the same when everything is there forty times as often
+    known = {"revisión": 200 * times, "revisiуn": 3 * times, "según": 100 * times, "segъn": 30 * times}
+    work = encodings.Repairer(known)
+    assert work.word("revisiуn") == (True, "revisión") and not work.word("segъn")[0] and not work.word("revisión")[0]
+
+
 def test_frequent_lost_bytes():
     # lost bytes are found however many documents have the word; a frequent capital within a word is not
     work = encodings.Repairer({"revisi\ufffdn": 5000, "pausi\x93n": 5000, "miÉl": 5000, "según": 9000})
@@ -205,7 +233,12 @@ def test_similar_pairs(spark, hot, monkeypatch):
     got = {tuple(r) for r in nearcopies.similar_pairs(d, "pos").collect()}
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
     if hot == 8:
+        # shares of files, whose edges part groups, give the same
+        monkeypatch.setattr(grayindex, "candidate_pairs", lambda k: plain(k, hot=hot, share=3000))
+        assert {tuple(r) for r in nearcopies.similar_pairs(d, "pos", part=2).collect()} == got
         return
+    monkeypatch.setattr(grayindex, "candidate_pairs", plain)
+    assert {tuple(r) for r in nearcopies.similar_pairs(d, "pos", exact=True).collect()} == want
     groups = {r["pos"]: r["group_id"] for r in nearcopies.copy_groups(d, "pos").collect()}
     assert set(groups) == set(range(len(texts)))
     for i, j in got:
@@ -220,6 +253,53 @@ def test_hot_group(spark):
     assert nearcopies.similar_pairs(d, "pos").count() == 60 * 59 // 2
 
 
+def test_recall_of_the_index(spark):
+    """Against the exact join, on pairs of every similarity from the threshold on."""
+    r, texts = random.Random(41), []
+    for _ in range(400):
+        w = passage(r, 70).split()
+        texts.append(" ".join(w))
+        for _ in range(r.choice([1, 2, 3, 4])):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(texts)), "pos bigint, text string")
+    exact = {tuple(x) for x in nearcopies.similar_pairs(d, "pos", exact=True).collect()}
+    found = {tuple(x) for x in nearcopies.similar_pairs(d, "pos").collect()}
+    assert found <= exact and len(exact) > 250 and len(found) >= 0.99 * len(exact)
+
+
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 30)), max_size=60), st.integers(1, 9))
+@settings(max_examples=100, deadline=None)
+def test_scan_in_shares(rows, size):
+    """A stream in any shares, and any batches, gives every pair of a key once its blocks are paired."""
+    rows = sorted({(k, n * 7 % 31, n) for k, n in rows})
+    want = {(a[2], b[2]) if a[2] < b[2] else (b[2], a[2]) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0]}
+    for hot in (3, 1000):
+        pairs, blocks = set(), {}
+        shares = [rows[i : i + 3 * size] for i in range(0, len(rows), 3 * size)]
+        for i, share in enumerate(shares):
+            scan = grayindex.Scan(64, hot, len(shares) > 1, i << 20)
+            out = [b for at in range(0, len(share), size) for b in scan.add(*[np.array([x[c] for x in share[at : at + size]], np.int64) for c in range(3)])]
+            for batch in [*out, *scan.end()]:
+                for x in batch.to_pylist():
+                    if x["a"] is not None:
+                        pairs.add((x["a"], x["b"]))
+                    else:
+                        assert (x["key"], x["block"]) not in blocks
+                        blocks[x["key"], x["block"]] = x["nodes"]
+        for (k, p), x in blocks.items():
+            for (l, q), y in blocks.items():
+                if k == l and p <= q:
+                    pairs |= {(min(a, b), max(a, b)) for a in x for b in y if a != b}
+        assert pairs == want
+
+
+def test_components_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError, match="rounds"):
+        links.components(chain, most_rounds=1)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
@@ -249,23 +329,57 @@ def walk(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 64])
-def test_incremental(spark, hot, monkeypatch):
-    monkeypatch.setattr(incremental, "HOT_KEY", hot)
-    monkeypatch.setattr(incremental, "HOT_PART", 64 if hot == 4096 else 1)
+@pytest.mark.parametrize("hot", [4096, 16])
+def test_incremental(spark, hot, monkeypatch, tmp_path):
+    monkeypatch.setattr(grayindex, "HOT", hot)
+    monkeypatch.setattr(grayindex, "BLOCK", 8 if hot == 16 else 512)
     r = random.Random(6)
     rows = [(i, t or "", r.choice([1, 1, 2, 3])) for i, t in enumerate(passages(6, 150))]
     d = spark.createDataFrame([(p, "u", None, t, b, "x") for p, t, b in rows] + [(0, "u", None, rows[0][1], rows[0][2], "x")], "vector_pos bigint, uid string, document_id string, text string, batch_id int, node string")
     want = walk(rows)
     assert {x[0] for x in incremental.not_accepted(d).collect()} == want and len(want) > 30
-    if hot == 4096:
-        h = incremental.History(spark)
-        step = set()
-        for b in (1, 2, 3):
-            step |= {x[0] for x in h.apply(d.filter(F.col("batch_id") == b), texts=d).collect()}
-        h.close()
-        assert step == want
-        assert incremental.not_accepted(d.limit(0)).count() == 0
+    assert incremental.not_accepted(d.limit(0)).count() == 0
+    # three sessions, each of which knows no more than the path
+    step, at = set(), str(tmp_path / "history")
+    for b in (1, 2, 3):
+        step |= {x[0] for x in incremental.History(spark.newSession(), at, buckets=5).apply(d.filter(F.col("batch_id") == b)).collect()}
+    assert step == want
+    h = incremental.History(spark, at)
+    assert h.buckets == 5 and h.number == 2 and len(h.weights) == 4
+    assert h.apply(d.limit(0)).count() == 0
+    # every row of the three again: all but those without a shingle are there already
+    again = {x[0] for x in h.apply(d).collect()}
+    assert again == {p for p, t, _ in rows if sets(t)}
+
+
+def test_history_merges_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "FANOUT", 2)
+    rows = [(i, t or "", i % 6) for i, t in enumerate(passages(16, 120))]
+    d = spark.createDataFrame([(p, "u", "d", t, b) for p, t, b in rows], "vector_pos bigint, uid string, document_id string, text string, batch_id int")
+    at = str(tmp_path / "history")
+    got, want = {x[0] for x in incremental.not_accepted(d, path=at).collect()}, walk(rows)
+    # a link at the threshold may be missed, and others hang on it
+    assert len(got ^ want) <= 0.03 * len(want)
+    h = incremental.History(spark, at)
+    assert all(len(p) < 6 for p in h.state["parts"].values())
+    # a batch that broke off has left parts that no version names, and is taken again
+    (tmp_path / "history" / "keys" / "left").mkdir()
+    assert "left" in h.vacuum() and set(h.vacuum()) == set()
+    late = spark.createDataFrame([(1000, "u", "d", rows[3][1], 9), (1001, "u", "d", passage(random.Random(99), 50), 9)], d.schema)
+    assert {x[0] for x in incremental.History(spark, at).apply(late).collect()} == {1000}
+
+
+def test_probe_reads_what_it_needs(spark, tmp_path):
+    at = str(tmp_path / "part")
+    probing.write_part(spark.range(200_000).select("id", F.col("id").alias("x")), at, "id", 3)
+    files = probing.part_files(spark, at)
+    assert sorted(b for b, _, _ in files) == [0, 1, 2]
+    wanted = spark.createDataFrame([(5,), (5,), (77_777,), (199_999,), (-3,), (None,)], "id bigint")
+    assert sorted(r["id"] for r in probing.probe(wanted, probing.by_bucket([files]), "id", "id bigint, x bigint", 3).collect()) == [5, 77_777, 199_999]
+    low, high = np.array([0, 10, 20]), np.array([9, 19, 29])
+    assert probing.groups_with(low, high, np.array([10, 12, 40])).tolist() == [1]
+    got = [(i, j) for a, b in probing.matches(np.array([1, 3, 3, 9]), np.array([1, 1, 3, 4]), 2) for i, j in zip(a.tolist(), b.tolist())]
+    assert got == [(0, 0), (0, 1), (1, 2), (2, 2)]
 
 
 def test_incremental_any_weights(spark, monkeypatch):
@@ -280,21 +394,12 @@ def test_incremental_any_weights(spark, monkeypatch):
 # --- 4
 
 
-def noisy(text, r):
-    lines, marks = scans.paged(text, r)
-    out = []
-    for x in lines:
-        x = "".join({"e": "c", "o": "0", "i": "í"}.get(c, c) if r.random() < 0.04 else c for c in x)
-        out.append(x)
-    return "\n".join(out)
-
-
 def test_scans(spark):
     r = random.Random(9)
     vocabulary = ["paciente", "tratamiento", "durante", "medicina", "informe", "según", "revisión", "producto", "conserva", "temperatura", "envase", "nevera", "semana", "controla", "registro"]
     vocabulary += [w + end for w in WORDS[:60] for end in ("ando", "mente")]
     clean = [(i, ". ".join(" ".join(r.choice(vocabulary) for _ in range(12)).capitalize() for _ in range(50)) + ".") for i in range(150)]
-    bad = [(1000 + i, noisy(t, r)) for i, (_, t) in enumerate(clean[:40])]
+    bad = [(1000 + i, scans.noisy(t, r)) for i, (_, t) in enumerate(clean[:40])]
     other = [(2000, None), (2001, ""), (2002, "  \n"), (2003, "1\n2\n3\n\n" + clean[0][1]), (2004, "el medi-\ncina pro-\nducto " + clean[1][1]), (2005, "x" * 30000), (2006, "- paciente\n- envase\n- nevera\n\n" + clean[3][1])]
     d = spark.createDataFrame([(*x, 0) for x in [*clean, *bad, *other]], "doc_id bigint, text string, word int")
     got = {x["doc_id"]: x["text"] for x in scans.read_scans(d).collect()}
@@ -308,12 +413,44 @@ def test_scans(spark):
 
 
 def test_editor():
-    known = {"según": 50, "paciente": 60, "durante": 40, "tomar": 40}
-    e = scans.Editor(known, [("pacicnte", "paciente"), ("durarite", "durante")] * 3)
+    words = ["según", "paciente", "durante", "tomar"]
+    e = scans.Editor(scans.Models([*words, *(w + "ar" for w in WORDS)], [], [("pacicnte", "paciente"), ("durarite", "durante")] * 3, []), set(words))
     assert e.edit("pacicnte") == "paciente" and e.edit("durarite") == "durante" and e.edit("t·omar") == "tomar"
     assert e.edit("según") is None and e.edit("helicóptero") is None
 
 
+def test_joins_are_learned():
+    words = [f"{a}{b}" for a in WORDS for b in ("dor", "ción")][:300]
+    models = scans.Models(words, ["bardor-lerción"], [], [])
+    r = scans.Reader(models, {w: None for w in [*words, "bardor-lerción", "gel", "placa"]})
+    w = words[0]
+    assert r.joins(w[:3], "-", w[3:]) == w and r.joins(w[:3], "\xad", w[3:]) == w and r.joins(w[:3].upper(), "-", w[3:].upper()) == w.upper()
+    assert r.joins("xiloz", "-", "utano") == "xilozutano" and r.joins("gel", "-", "placa") is None and r.joins("bardor", "-", "lerción") is None
+    assert r.joins("gel", "¬", "placa") == "gelplaca" and r.joins("Anglo", "-", "Sajón") is None
+
+
+def test_margin():
+    # an edit that no example speaks for isn't made, though it would give a known word
+    words = ["paciente", "durante", "conserva", "producto"] * 20
+    models = scans.Models(words, [], [], [])
+    models.margin = 1e9
+    assert scans.Editor(models, {"paciente"}).edit("pacicnte") is None
+
+
+def test_scan_tables_by_join(spark):
+    r = random.Random(21)
+    vocabulary = [w + end for w in WORDS for end in ("ando", "mente", "al")]
+    clean = [". ".join(" ".join(r.choice(vocabulary) for _ in range(12)).capitalize() for _ in range(30)) + "." for _ in range(60)]
+    rows = [*enumerate(clean), *[(100 + i, scans.noisy(t, r)) for i, t in enumerate(clean[:20])], (100, scans.noisy(clean[0], r)), (200, None), (201, "")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fitted = scans.Fitted(d)
+    one, two = (sorted(map(tuple, scans.read_scans(d, fitted=fitted, bound=b).collect())) for b in (10**6, 1))
+    assert one == two and len(one) >= 18
+    a = scans.repair_accuracy(d).first()
+    assert a["documents"] >= 55 and a["wrong_after"] < 0.75 * a["wrong_before"]
+    assert scans.repair_accuracy(d.limit(0)).first()["share_mended"] is None
+
+
 # --- 6
 
 
@@ -336,6 +473,25 @@ def test_answers(spark):
     assert answers.defect_rows(d.limit(0)).count() == 0
 
 
+def test_truncation_does_not_fade(spark):
+    # answers that are whole, some of them without a full stop, and ones that are cut; ten times as many rows change nothing
+    whole = [f"Tome el comprimido con agua cada {i % 9 + 2} horas durante el día" for i in range(60)]
+    cut = [f"Tome el comprimido {i} con agua cada seis horas sin masti" for i in range(8)]
+    rows = [(i, "¿Cómo se toma?", t + ".") for i, t in enumerate(whole)] + [(100 + i, "¿Cómo se toma?", t) for i, t in enumerate([*whole[:5], *cut])]
+    for times in (1, 10):
+        d = spark.createDataFrame([(k * 1000 + i, q, a) for k in range(times) for i, q, a in rows], "qa_id bigint, question string, answer string")
+        got = {r["qa_id"] % 1000 for r in answers.defect_rows(d).filter("defect = 'truncated'").collect()}
+        assert got == {105 + i for i in range(8)}
+
+
+def test_known_endings_beyond_the_bound(spark, monkeypatch):
+    rows = [(i, "¿Cómo se toma el medicamento?", f"Se toma cada día con un vaso {'lleno' if i % 2 else 'grande'}" + "." * (i % 5 > 0)) for i in range(50)]
+    d = spark.createDataFrame([*rows, (99, "¿Cómo se toma el medicamento?", "Se toma cada día con un va")], "qa_id bigint, question string, answer string")
+    want = sorted(map(tuple, answers.scored(d).collect()))
+    monkeypatch.setattr(answers, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, answers.scored(d).collect())) == want and [x for x in want if x[1]] == [(99, ["truncated"])]
+
+
 # --- 7
 
 
@@ -432,6 +588,20 @@ def test_subjects(spark):
     got = {(r["doc_id"], r["subject"]) for r in subjects.document_subjects(d, lab, s).collect()}
     assert got == {(1, "law"), (2, "sport"), (3, "law"), (3, "sport"), (4, "law")}
     assert subjects.document_subjects(d.limit(0), lab.limit(0), s).count() == 0
+    assert {(r["doc_id"], r["subject"]) for r in subjects.document_subjects(d, lab.limit(0), s).collect()} == got
+    a = subjects.held_out_accuracy(d, lab, s).first()
+    assert 0 <= a["both"] <= min(a["labelled"], a["found"])
+    assert tuple(subjects.held_out_accuracy(d.limit(0), lab.limit(0), s).first()) == (0, 0, 0, None, None)
+
+
+def test_accuracies_are_learned():
+    n = 4
+    at = lambda lexicon, seeds, section, source: (((lexicon + 1) * n + seeds + 1) * n + section + 1) * n + source + 1
+    counts = {at(0, 0, -1, 0): 300, at(1, 1, -1, 1): 300, at(2, 2, -1, 2): 300, at(-1, -1, -1, -1): 300, at(-1, -1, -1, 0): 5, at(0, -1, -1, 0): 40}
+    _, good = posteriors(counts, 3, {(at(0, 0, -1, 0), 0): 50, (at(1, 1, -1, 1), 1): 50})
+    # a lexicon that the labels speak against isn't trusted, whatever it is called
+    post, bad = posteriors({**counts, at(0, 1, -1, 1): 900}, 3, {(at(0, 1, -1, 1), 1): 500})
+    assert good["lexicon"][0] > 0.9 and bad["lexicon"][0] < 0.6 and post[at(0, 1, -1, 1)].argmax() == 1
 
 
 def test_registered():
