@@ -439,3 +439,37 @@ def repaired(documents: DataFrame, key: str = "doc_id", text: str = "text", only
     own = met.groupBy("_h").agg(F.collect_list(F.struct("word", "restored", "read", "real")).alias("_w"))
     each = lambda batch: (Told({x["word"]: (x["restored"], x["read"], x["real"]) for x in w or ()}) for w in batch.column(2).to_pylist())
     return texts.join(own, "_h", "left").select("_k", "_t", "_w").mapInArrow(run(each), schema)
+
+
+#: Ways in which clean texts are spoiled to measure how they are restored: UTF-8 read as an encoding, once or twice, and one single-byte encoding read as another.
+SPOILED = (("cp1252", 1), ("latin-1", 1), ("mac_roman", 1), ("cp850", 1), ("cp1252", 2), ("latin-1", 2), ("cp1251", 0), ("cp850", 0), ("mac_roman", 0))
+
+
+def spoiled(text: str, codec: str, layers: int) -> str:
+    """A text as it would have been read: its UTF-8 bytes by a codec, `layers` times; with no layer its bytes in cp1252. What has no byte there stays."""
+    if not layers:
+        return "".join(c if c < "\x80" or (b := c.encode("cp1252", "ignore")) == b"" else b.decode(codec, "replace") for c in text)
+    table = {b: c for c, b in _BYTES[codec].items()}
+    for _ in range(layers):
+        text = "".join(chr(b) if b < 128 else table[b] for b in text.encode("utf-8"))
+    return text
+
+
+def repair_accuracy(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(way, documents, found, restored): clean texts with characters outside ASCII, of which every twentieth by its hash is spoiled, each way as often, and repaired by what is counted in all of them; restored are those that are as they were."""
+    src = spread(documents.select(F.col(text).cast("string").alias("_t")).filter("_t is not null").distinct())
+    clean = repaired(src.select(F.xxhash64("_t").alias("k"), F.col("_t").alias("text")), "k").filter("not garbled").select("k", "text")
+
+    def spoil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ways, out = [], []
+            for k, t in zip(*[c.to_pylist() for c in batch.columns]):
+                way = SPOILED[k // 20 % len(SPOILED)] if k % 20 == 0 and not t.isascii() else None
+                bad = spoiled(t, *way) if way else t
+                ways.append(f"{way[0]}, {way[1]} layers" if bad != t else None), out.append(bad)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, pa.string()), pa.array(out, pa.string())], names=["k", "text", "way", "bad"])
+
+    both = cut(clean.mapInArrow(spoil, "k bigint, text string, way string, bad string"))
+    got = repaired(both.select("k", F.col("bad").alias("text")), "k").select("k", "garbled", F.col("text").alias("got"))
+    told = both.filter("way is not null").select("k", "way", "text").join(got, "k")
+    return told.groupBy("way").agg(F.count("*").alias("documents"), F.sum(F.col("garbled").cast("int")).alias("found"), F.sum((F.col("got") == F.col("text")).cast("int")).alias("restored"))

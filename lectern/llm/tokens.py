@@ -192,6 +192,18 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", tok
     return src.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def decoded(ids: DataFrame, key: str = "doc_id", tokenizer: str = "byte_bpe_50k", directory: str = VOCABULARY_DIR) -> DataFrame:
+    """(key, text) of token ids (key, ids)."""
+    src = ids.select(F.col(key).alias("_k"), "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = encoder(tokenizer, directory)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])
+
+    return src.mapInArrow(run, f"`{key}` {src.schema['_k'].dataType.simpleString()}, text string")
+
+
 def chunk_reuse(documents: DataFrame, text: str = "text", tokenizer: str = "byte_bpe_50k", directory: str = VOCABULARY_DIR) -> DataFrame:
     """(chunks, reused, bytes, saved), one row: chunks met, chunks whose ids were looked up, bytes of all texts, bytes whose ids were looked up. It depends on how rows fall into tasks."""
     src = spread(documents.select(F.col(text).cast("string").alias("_t")))
