@@ -65,6 +65,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all written tables of this folder of the shared one. To be called when nothing reads them any more; checkpoints are Spark's own to clean."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lectern")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from reliable storage, its lineage cut; survives the loss of executors."""
     shared_dir(df.sparkSession)
