@@ -9,12 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern import schemas
 from lectern.functions import parsing
 from lectern.functions import text as tx
 from lectern.operators import answer, chunking, entities, evaluate, providers, qa, rerank, sections, vectors, vectortable
 from lectern.session import scratch, spread
+from lectern.sources import io
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -116,8 +118,6 @@ def uid_build(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, string_agg(line || chr(10) || chr(10), '' ORDER BY pos) AS text FROM l GROUP BY doc_id""")
 def join_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages put together; here the lines of a document stand for its pages."""
-    from lectern.sources import io
-
     pages = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page_no", "text"))
     return io.join_pages(pages, "doc_id")
 
@@ -211,6 +211,39 @@ def split_sections(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("body", F.md5("body"))
 
 
+# --- files
+
+
+@query(f"WITH {_MENTIONS} SELECT * FROM m UNION ALL SELECT * FROM m")
+def parse_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions out of tagger files, which are envelopes or bare arrays; each row of the table is written as both."""
+    n = _t(spark, d, "ner_entities").select("doc_id", "entities").filter("entities is not null").distinct()
+    envelope = F.to_json(F.struct(F.lit("in").alias("input_file"), F.lit("out").alias("output_file"), "entities"), {"ignoreNullFields": "false"})
+    at = scratch(spark, "tagged")
+    n.select("doc_id", F.explode(F.array(envelope, F.to_json("entities", {"ignoreNullFields": "false"}))).alias("raw")).write.parquet(at)
+    back = spark.read.parquet(at).select("doc_id", io.parse_entities(F.col("raw")).alias("entities"))
+    return back.select("doc_id", F.posexplode("entities").alias("ord", "m")).select("doc_id", "ord", "m.entity_group", "m.word", "m.start")
+
+
+@query("SELECT md5(question) AS question, md5(answer) AS answer, count(*) AS n FROM qa_pairs WHERE question <> '' AND answer <> '' AND NOT contains(question || answer, chr(13)) GROUP BY 1, 2")
+def qa_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs written as CSV and read back, whatever quotes and line ends they hold."""
+    at = scratch(spark, "csv")
+    io.write_qa_csv(_t(spark, d, "qa_pairs").filter("question <> '' and answer <> '' and not contains(question || answer, '\r')"), at)
+    back = spark.read.csv(at, schema="question string, answer string", header=True, escape='"', multiLine=True)
+    return back.groupBy(F.md5("question").alias("question"), F.md5("answer").alias("answer")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT document_id, chunk_id, md5(text) AS text, coalesce(\"start\", -1) AS \"start\", coalesce(\"end\", -1) AS \"end\", coalesce(cardinality(entities)::BIGINT, -1) AS kinds FROM chunks")
+def chunks_json(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as JSON lines and read back with their fixed schema; nulls and empty maps stay apart."""
+    at = scratch(spark, "json")
+    io.write_json(_t(spark, d, "chunks").select("document_id", "chunk_id", "text", "start", "end", "entities"), at)
+    back = spark.read.schema(T.StructType([T.StructField("document_id", T.StringType()), *schemas.CHUNK.fields])).json(at)
+    number = lambda c: F.coalesce(c, F.lit(-1))
+    return back.select("document_id", "chunk_id", F.md5("text").alias("text"), number(F.col("start")).alias("start"), number(F.col("end")).alias("end"), number(F.when(F.col("entities").isNotNull(), F.size("entities"))).cast("bigint").alias("kinds"))
+
+
 # --- vectors
 
 _COS = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))"

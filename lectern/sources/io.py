@@ -79,8 +79,8 @@ def write_envelopes(entities: DataFrame, path: str) -> None:
 
 
 def write_qa_csv(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """question and answer, quoted and escaped, with a header."""
-    pairs.select("question", "answer").write.mode(mode).csv(path, header=True, quoteAll=True, escape='"')
+    """question and answer, quoted and escaped, with a header; blanks at both ends stay."""
+    pairs.select("question", "answer").write.mode(mode).csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_texts(documents: DataFrame, path: str | None) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lectern.sources import io
 
 
@@ -22,6 +24,19 @@ def test_chunks_and_pairs(spark, tmp_path):
     io.write_qa_csv(qa, str(tmp_path / "csv"))
     back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').first()
     assert tuple(back) == ('di "sí"', "a,b")
+    io.write_qa_csv(spark.createDataFrame([(" q\n", "  ")], "question string, answer string"), str(tmp_path / "blank"))
+    assert tuple(spark.read.csv(str(tmp_path / "blank"), header=True, escape='"', multiLine=True).first()) == (" q\n", "  ")
+    with pytest.raises(Exception, match="(?i)not.*exist|path"):
+        io.read_qa(spark, str(tmp_path / "none.json")).count()
+
+
+def test_pages_to_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "hoja.v1.bin").write_text("uno  dos\fﬁn\x01\n\n\n\n")
+    (tmp_path / "in" / "empty.bin").write_text("")
+    got = {r["document_id"]: r["text"] for r in io.pages_to_documents(spark, str(tmp_path / "in"), io.plain_pages, str(tmp_path / "out")).collect()}
+    assert got == {"hoja.v1": "uno dos\n\nfin", "empty": ""}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
 def test_pages(spark, tmp_path):
