@@ -29,9 +29,25 @@ def bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.hash(key), F.lit(buckets))
 
 
+_PLACES: dict[int, list[int]] = {}
+
+
+def _placed_by(spark: SparkSession, buckets: int) -> list[int]:
+    """For each bucket a number that a shuffle into so many partitions puts into the partition of its own, so that no two buckets fall together."""
+    if buckets in _PLACES:
+        return _PLACES[buckets]
+    found, n = {}, 64
+    while len(found) < buckets:
+        n *= 4
+        found = {r["p"]: r["id"] for r in spark.range(n * buckets).groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("p")).agg(F.min("id").alias("id")).collect()}
+    _PLACES[buckets] = [found[b] for b in range(buckets)]
+    return _PLACES[buckets]
+
+
 def write_part(rows: DataFrame, path: str, key: str, buckets: int, then: tuple[str, ...] = ()) -> None:
     """Writes rows by bucket of a BIGINT key, a folder with one file each, sorted by the key and `then`."""
-    placed = rows.withColumn("_b", bucket(F.col(key), buckets)).repartition(buckets, "_b").sortWithinPartitions("_b", key, *then)
+    one = F.element_at(F.array(*map(F.lit, _placed_by(rows.sparkSession, buckets))), F.col("_b") + 1).cast("bigint")
+    placed = rows.withColumn("_b", bucket(F.col(key), buckets)).repartition(buckets, one).sortWithinPartitions("_b", key, *then)
     placed.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).option("maxRecordsPerFile", 0).partitionBy("_b").parquet(path)
 
 

@@ -83,6 +83,15 @@ def test_words_beyond_the_bound(spark):
     assert all(got[100 + i] == rows[i][1] for i in range(24)) and got[302].startswith("revisión según")
 
 
+def test_restoring_is_scored(spark):
+    r = random.Random(51)
+    good = ["según", "revisión", "señal", "dosis", "cápsula", "niño", "también", "inyección", "médico"]
+    d = spark.createDataFrame([(" ".join(r.choice(good) for _ in range(40)),) for _ in range(600)] + [(None,), ("",)], "text string")
+    got = encodings.repair_accuracy(d).collect()
+    assert sum(x["documents"] for x in got) > 10 and all(x["found"] == x["restored"] == x["documents"] for x in got if "0 layers" not in x["way"])
+    assert encodings.repair_accuracy(d.limit(0)).count() == 0
+
+
 def test_layers_without_end():
     bad = "á" * 3
     for _ in range(7):
@@ -530,6 +539,7 @@ def test_token_ids(spark):
     counts = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(d, ["doc_id"]).collect()}
     assert counts[0] == counts[1] == 0 and counts[7] == len(plain.encode_ordinary(texts[7]))
     assert tokens.token_ids(d.limit(0)).count() == 0
+    assert sorted(map(tuple, tokens.decoded(tokens.token_ids(d)).collect())) == sorted((r["doc_id"], r["text"] or "") for r in d.collect())
 
 
 # --- 8
