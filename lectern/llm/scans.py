@@ -32,7 +32,7 @@ from lectern.session import cut, lookup, spread
 #: Share of the clean documents that must have a word for it to be known, and least number; times its rate in marked ones.
 LEAST_SHARE, LEAST_DOCS, LEAST_RATIO = 5e-5, 2, 0.15
 #: Documents that the judge of lines is trained on, and words and pairs that the editor is, at most.
-TRAIN_DOCS, TRAIN_WORDS, TRAIN_PAIRS = 200, 1500, 1500
+TRAIN_DOCS, TRAIN_WORDS, TRAIN_PAIRS = 400, 1500, 1500
 #: Code points from which on a token is a run and no word.
 LONGEST = 60
 #: Misread words that mark a document without other marks, and their share of its words.
@@ -370,7 +370,9 @@ def paged(text: str, r: random.Random) -> tuple[list[str], set[int]]:
     header = r.choice([f"{word} · {code}", f"Rev. {code} / {word}", word.upper(), f"{word.upper()}   {code}", f"{word} {word.upper()}", f"{code} {word}", ""])
     n, height = r.randrange(1, 60), r.randrange(6, 40)
     total = n + len(lines) // height + r.randrange(0, 3)
-    form = r.choice(["{n}", "- {n} -", "[{n}]", "{n}/{t}", "Pág. {n} de {t}", "página {n}", "Page {n}", "page {n} of {t}", "({n})", ""])
+    # left and right pages may have headers of their own
+    other = r.choice([f"{word}   {code}", f"INFO   {code}", word.upper()]) if header and r.random() < 0.3 else header
+    form = r.choice(["{n}", "- {n} -", "[{n}]", "{n}/{t}", "Pág. {n} de {t}", "página {n}", "Page {n}", "page {n} of {t}", "({n})", f"{code}      {{n}}", f"{word}   {{n}}", f"{{n}}   {code}", ""])
     if not form and not header:
         form = "{n}"
     out, marks = [], set()
@@ -383,7 +385,7 @@ def paged(text: str, r: random.Random) -> tuple[list[str], set[int]]:
 
     for at in range(0, len(lines), height):
         if header:
-            add(header, True)
+            add(other if n % 2 else header, True)
             if r.random() < 0.3:
                 add("", False)
         for x in lines[at : at + height]:
@@ -561,7 +563,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def variants(word: str, misread: bool) -> set[str]:
     """Keys by which a misread word and the one that it was meet: the word, itself less a character, and for a misread one with two signs read as one."""
     out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-    return {x for x in ({*out, *merged(word)} if misread else out) if len(x) > 1}
+    # single letters only between words of two
+    return {x for x in ({*out, *merged(word)} if misread else out) if len(x) > 1 or len(word) == 2}
 
 
 def _with_variants(words: DataFrame, misread: bool) -> DataFrame:
@@ -604,7 +607,9 @@ class Fitted:
             found = [(x["n"], x["word"]) for x in r["near"] if x["word"].isalpha() and (ops := alignment(r["wrong"], x["word"])) and sum(o[0] != "keep" for o in ops) <= 2]
             if found:
                 pairs.append((r["wrong"], max(found)[1]))
-        sample = documents.select(F.col(text).alias("t")).filter("length(t) between 300 and 6000").orderBy(F.xxhash64("t")).limit(2 * TRAIN_DOCS)
+        # thinned by a hash first, so that no partition sends more than its share of the sample
+        thin = F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(max(1, (n + m) // (8 * TRAIN_DOCS)))) == 0
+        sample = documents.select(F.col(text).alias("t")).filter("length(t) between 300 and 6000").filter(thin).orderBy(F.xxhash64("t")).limit(2 * TRAIN_DOCS)
         samples = [r["t"] for r in sample.collect() if not simple_marks(r["t"])][:TRAIN_DOCS]
         self.models = Models(often, hyphened, pairs, samples)
 
@@ -614,7 +619,7 @@ class Fitted:
     def _near(self, words: DataFrame) -> DataFrame:
         """(wrong, near): the known words, with their documents, that each unknown one may have been."""
         met = _with_variants(words.select("word", F.lit(0).cast("bigint").alias("n")), True).select("v", F.col("word").alias("wrong"))
-        may = met.join(_with_variants(self.known.filter("length(word) > 2"), False), "v").select("wrong", "word", "n").distinct()
+        may = met.join(_with_variants(self.known, False), "v").select("wrong", "word", "n").distinct()
         return may.groupBy("wrong").agg(F.collect_list(F.struct("word", "n")).alias("near"))
 
     def _decided(self, near: DataFrame) -> DataFrame:
