@@ -40,6 +40,7 @@ GARBLED_WORDS = 500_000
 CACHE_WORDS = 300_000
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_BY_CHANCE = re.compile("[^\x00-\x7f][\u2010-\u2027\u2030-\u205e\xab\xbb\xb0\xb7]+(?![^\\W\\d_])")
 _LOST_BYTE = re.compile("[\ufffd\x80-\x9f]")
 _OUTER = "".join(chr(i) for i in range(33, 128) if not chr(i).isalnum()) + "“”‘’«»¿¡–—…•"
 _COMMON = set("áéíóúüñàèìòùâêîôûãõäëïöçœæøåßÁÉÍÓÚÜÑÀÈÌÒÙÂÊÎÔÛÃÕÄËÏÖÇŒÆØÅ¿¡ºª“”‘’–—•…€™®©°±µ½¼¾²³¹×·«»§¶†£≤≥≈αβ")
@@ -246,8 +247,8 @@ class Repairer:
 
     def decide(self, word: str) -> tuple[bool, str]:
         got = _unnested(word)
-        # a word that many documents have, and that would become one that none has, is correct as it is
-        if got != word and not key_of(got).isascii() and self._times(word) > self._times(got):
+        # a letter and the mark behind its word may decode by chance: if more documents have the word as it is, it stays
+        if got != word and _BY_CHANCE.search(word) and not key_of(got).isascii() and self._times(word) > self._times(got):
             got = word
         if got == word and (again := _with_lost_hyphens(word)) != word and self._times(again) > max(self.least, TIMES * self._times(word)) - 1:
             got = again
