@@ -33,7 +33,7 @@ def test_chunks_and_pairs(spark, tmp_path):
 def test_pages_to_documents(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "hoja.v1.bin").write_text("uno  dos\fﬁn\x01\n\n\n\n")
-    (tmp_path / "in" / "empty.bin").write_text("")
+    (tmp_path / "in" / "empty.bin").write_text(" ")
     got = {r["document_id"]: r["text"] for r in io.pages_to_documents(spark, str(tmp_path / "in"), io.plain_pages, str(tmp_path / "out")).collect()}
     assert got == {"hoja.v1": "uno dos\n\nfin", "empty": ""}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
