@@ -400,6 +400,42 @@ def test_incremental_any_weights(spark, monkeypatch):
     assert {x[0] for x in incremental.not_accepted(d).collect()} == walk([(p, t, b) for p, t, b in rows]) == {2, 3}
 
 
+def test_incremental_reads_rows_once(spark, tmp_path, monkeypatch):
+    # whatever the number of batches, each row is read and hashed once; joins that are too large for a broadcast give the same
+    rows = [(i, t or "", i % 4) for i, t in enumerate(passages(17, 80))]
+    plain = spark.createDataFrame([(p, "u", "d", t, b) for p, t, b in rows], "vector_pos bigint, uid string, document_id string, text string, batch_id int").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    at = str(tmp_path / "history")
+    got = {x[0] for x in incremental.not_accepted(plain.mapInArrow(count, plain.schema), path=at).collect()}
+    assert read.value == len(rows)
+    monkeypatch.setattr(incremental, "LOOKUP_ROWS", 0)
+    assert {x[0] for x in incremental.not_accepted(plain).collect()} == got and len(got ^ walk(rows)) <= 0.03 * len(got)
+    # classes that are there already write no keys again
+    h = incremental.History(spark, at)
+    before = len(h.state["parts"]["keys"])
+    assert {x[0] for x in h.apply(plain).collect()} == {p for p, t, _ in rows if sets(t)}
+    assert len(h.state["parts"]["keys"]) == before
+
+
+def test_incremental_copies_once(spark, tmp_path, monkeypatch):
+    # two texts that are nearly the same, of 60 rows each, in many tasks and in two batches: their keys meet once
+    one = passage(random.Random(18), 60)
+    two = one + " ban"
+    d = spark.createDataFrame([(b * 100 + i, "u", "d", (one, two)[b], b) for b in (0, 1) for i in range(60)], "vector_pos bigint, uid string, document_id string, text string, batch_id int")
+    at = str(tmp_path / "history")
+    assert {x[0] for x in incremental.not_accepted(d.repartition(20), path=at).collect()} == {*range(1, 60), *range(100, 160)}
+    h = incremental.History(spark, at)
+    assert h._read("keys", h.state["parts"]["keys"]).count() == 2 * incremental.KEYS
+    key, code, node = (np.repeat(np.array(x), 50) for x in ([3, 3, 7], [5, 5, 5], [1, 2, 2]))
+    assert [x.tolist() for x in incremental._once(key, code, node)] == [[3, 3, 7], [5, 5, 5], [1, 2, 2]]
+
+
 # --- 4
 
 
